@@ -4,10 +4,10 @@ Each word has a latent chain: it is as written, or it was written in one encodin
 than once. A chain can be undone, which gives a candidate for the original. The likelihood of a word under a chain is
 that of its original under a character model of clean text; expectation-maximization learns the weights of the chains
 in every source together with the character model, so that rare evidence is pooled over all records. Each record is
-then repaired by the posterior of its words, where chains seen elsewhere in the record count for more.
+then repaired by posterior: the passage of words that gains most under a chain is weighed against the chain's weight.
 
-Everything that reaches the driver or is sent to tasks has a fixed size: the character model is a table of
-2**MODEL_BITS hashed counts, chain weights are kept for SOURCE_POOLS hashed sources.
+Everything that reaches the driver or is sent to tasks has a fixed size: the character model is a count-min sketch of
+MODEL_ROWS times 2**MODEL_BITS counts, chain weights are kept for SOURCE_POOLS hashed sources.
 """
 
 import re
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from loamline.plans.storage import cut
 
 MODEL_BITS = 18
+MODEL_ROWS = 3
 SOURCE_POOLS = 64
 ROUNDS = 4
 #: Characters of a word that are looked at together; longer ones are cut.
@@ -220,51 +221,52 @@ def _pairs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(words)), length), before, codes
 
 
-def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a * 0x9E3779B1 + b * 0x85EBCA77 + (a ^ (b << 7)) * 0xC2B2AE3D) >> 7) & ((1 << MODEL_BITS) - 1)
+def _slots(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """The counters of a pair, one in each row of the sketch."""
+    x = (a.astype(np.uint64) << np.uint64(21)) | np.asarray(b).astype(np.uint64)
+    rows = []
+    for r, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[:MODEL_ROWS]):
+        y = (x ^ (x >> np.uint64(23))) * np.uint64(odd)
+        rows.append((y >> np.uint64(64 - MODEL_BITS)).astype(np.int64) + (r << MODEL_BITS))
+    return np.stack(rows)
 
 
-class Model:
-    """Chain weights by source pool and hashed counts of character pairs, leading characters and characters."""
+#: Stand-ins for "any character" after one, and for a character by itself; beyond Unicode.
+ANY, ALONE = 0x1FFFFE, 0x1FFFFF
 
-    def __init__(self, weights: np.ndarray, pairs: np.ndarray) -> None:
-        self.weights, self.pairs = weights, pairs
 
-    @staticmethod
-    def single(a: np.ndarray) -> np.ndarray:
-        return _slot(a, np.full_like(a, 0x1FFFFF))
+class Model:
+    """Chain weights by source pool and the sketch of character pairs, leading characters and characters."""
 
-    @staticmethod
-    def first(a: np.ndarray) -> np.ndarray:
-        return _slot(a, np.full_like(a, 0x1FFFFE))
+    def __init__(self, weights: np.ndarray, sketch: np.ndarray) -> None:
+        self.weights, self.sketch = weights, sketch
+
+    def count(self, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        return self.sketch[_slots(a, b)].min(axis=0)
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log likelihood of each word."""
         row, a, b = _pairs(words)
-        total = max(1.0, self.pairs[self.single(np.zeros(1, np.int64))[0]])  # every word has one end
-        alone = (self.pairs[self.single(b)] + 1e-3) / (8 * total)
-        p = (self.pairs[_slot(a, b)] + BACKOFF * alone) / (self.pairs[self.first(a)] + BACKOFF)
+        total = max(1.0, float(self.count(np.zeros(1, np.int64), ALONE)[0]))  # every word has one end
+        alone = np.minimum(1.0, (self.count(b, ALONE) + 1e-3) / (8 * total))
+        lead = self.count(a, ANY)
+        p = (np.minimum(self.count(a, b), lead) + BACKOFF * alone) / (lead + BACKOFF)
         return np.bincount(row, np.log(p), len(words))
 
 
 def expected(words: list[str], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(slots, amounts) that weighted words add to the model's counts."""
     row, a, b = _pairs(words)
-    w = weight[row]
-    slots = np.concatenate([_slot(a, b), Model.single(b), Model.first(a)])
+    slots = np.concatenate([_slots(a, b), _slots(b, ALONE), _slots(a, ANY)], axis=1).ravel()
     used, at = np.unique(slots, return_inverse=True)
-    return used, np.bincount(at, np.concatenate([w, w, w]), len(used))
+    return used, np.bincount(at, np.tile(weight[row], 3 * MODEL_ROWS), len(used))
 
 
-def posterior(model: Model, pool: np.ndarray, chains: list[list[int]], originals: list[list[str]], boost: np.ndarray | None = None) -> list[np.ndarray]:
+def posterior(model: Model, pool: np.ndarray, chains: list[list[int]], originals: list[list[str]]) -> list[np.ndarray]:
     """Of each word the probabilities of its candidates."""
     sizes = [len(c) for c in chains]
     flat = np.array([i for c in chains for i in c], np.int64)
-    score = model.score([o for os in originals for o in os])
-    prior = model.weights[np.repeat(pool, sizes), flat]
-    if boost is not None:
-        prior = prior + boost[flat]
-    score = score + np.log(prior)
+    score = model.score([o for os in originals for o in os]) + np.log(model.weights[np.repeat(pool, sizes), flat])
     out, at = [], 0
     for n in sizes:
         s = score[at : at + n]
@@ -316,15 +318,11 @@ def word_table(documents: DataFrame) -> DataFrame:
 
 
 def _first_guess(chains: list[list[int]], words: list[str]) -> list[np.ndarray]:
-    """Before anything is known: words all of whose wide characters read as UTF-8 aren't clean, all others are."""
+    """Before anything is known: words all of whose wide characters read as UTF-8 say nothing, all others are clean."""
     out = []
     for c, w in zip(chains, words, strict=True):
         p = np.zeros(len(c))
-        utf8 = IS_UTF8[c]
-        if utf8.any() and _all_utf8(w):
-            p[np.flatnonzero(utf8)] = 1 / utf8.sum()
-        else:
-            p[0] = 1.0
+        p[0] = not (IS_UTF8[c].any() and _all_utf8(w))
         out.append(p)
     return out
 
@@ -348,7 +346,7 @@ def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model:
     """Learn chain weights and character model from all words of all texts.
 
     Each round is one pass over the table of distinct words, which is written once; what comes back is at most
-    2**MODEL_BITS + SOURCE_POOLS * len(NAMES) numbers. Without words the model knows nothing and repairs nothing.
+    MODEL_ROWS * 2**MODEL_BITS + SOURCE_POOLS * len(NAMES) numbers. Without words the model knows nothing and repairs nothing.
     """
     words = cut(word_table(documents), "words")
     width = len(NAMES)
@@ -356,7 +354,7 @@ def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model:
     for _ in range(rounds):
 
         def step(batches: Iterator[pd.DataFrame], model: Model | None = model) -> Iterator[pd.DataFrame]:
-            counts = np.zeros(1 << MODEL_BITS)
+            counts = np.zeros(MODEL_ROWS << MODEL_BITS)
             weights = np.zeros(SOURCE_POOLS * width)
             for b in batches:
                 if not len(b):
@@ -376,47 +374,95 @@ def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model:
             yield pd.DataFrame({"slot": np.concatenate([c, p + len(counts)]), "amount": np.concatenate([counts[c], weights[p]])})
 
         got = words.mapInPandas(step, "slot bigint, amount double").groupBy("slot").agg(F.sum("amount").alias("amount")).toPandas()
-        all_ = np.zeros((1 << MODEL_BITS) + SOURCE_POOLS * width)
+        all_ = np.zeros((MODEL_ROWS << MODEL_BITS) + SOURCE_POOLS * width)
         all_[got["slot"].to_numpy(np.int64)] = got["amount"].to_numpy()
-        weights = all_[1 << MODEL_BITS :].reshape(SOURCE_POOLS, width)
+        weights = all_[MODEL_ROWS << MODEL_BITS :].reshape(SOURCE_POOLS, width)
         # a pool's weights lean on those of all pools, so that small sources aren't left to chance
         shared = (weights.sum(axis=0) + 0.5) / (weights.sum() + 0.5 * width)
         weights = (weights + 50 * shared) / (weights.sum(axis=1, keepdims=True) + 50)
-        model = Model(weights, all_[: 1 << MODEL_BITS])
+        model = Model(weights, all_[: MODEL_ROWS << MODEL_BITS])
     return model
 
 
-#: How much more a word's posterior odds must be for garbled than for clean.
+#: How much likelier garbled must be than clean.
 MARGIN = 3.0
+#: A chain's weight is per word; passages that it hit have about so many words.
+PASSAGE_WORDS = 20
+#: A word inside a garbled passage is repaired with it unless that makes it less likely by more than this.
+INSIDE = 3.0
+
+
+class Repairer:
+    """Repairs one text after another; keeps what it knows of words."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.known: dict[str, dict[int, tuple[float, str]]] = {}
+        self.hurdle = np.log(MARGIN) - np.log(np.minimum(0.5, PASSAGE_WORDS * model.weights))
+
+    def gains(self, words: list[str]) -> list[dict[int, tuple[float, str]]]:
+        """Of each word: chain -> (how much likelier its original is than the word, the original)."""
+        if len(self.known) > HELD_WORDS:
+            self.known.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        made = [candidates(w) for w in new]
+        scores, at = self.model.score([o for _, os in made for o in os]), 0
+        for w, (chains, originals) in zip(new, made, strict=True):
+            got: dict[int, tuple[float, str]] = {}
+            for i in range(1, len(chains)):
+                gain = scores[at + i] - scores[at]
+                if chains[i] not in got or got[chains[i]][0] < gain:
+                    got[chains[i]] = (gain, originals[i])
+            at += len(chains)
+            self.known[w] = got
+        return [self.known[w] for w in words]
 
-
-def repair_text(text: str, pool: int, model: Model) -> tuple[list[str], str, bool]:
-    """(chains found, text as it was before, whether some of it is lost)."""
-    places = list(words_of(text))
-    lost = LOST_CHAR in text
-    if not places:
-        return [], text, lost
-    words = [text[a:z] for a, z in places]
-    pairs = [candidates(w) for w in words]
-    chains, originals = [c for c, _ in pairs], [o for _, o in pairs]
-    pools = np.full(len(words), pool)
-    first = posterior(model, pools, chains, originals)
-    # second look: chains for which this record has evidence elsewhere count for more
-    seen = np.zeros(len(NAMES))
-    for c, p in zip(chains, first, strict=True):
-        np.add.at(seen, c, p)
-    seen[0] = 0
-    boost = seen / (len(words) + 1)
-    post = posterior(model, pools, chains, originals, boost) if seen.sum() > 0.5 else first
-    out, at, found = [], 0, set()
-    for (a, z), c, o, p in zip(places, chains, originals, post, strict=True):
-        best = int(np.argmax(p))
-        if best and p[best] > MARGIN * p[0]:
-            out += [text[at:a], o[best]]
+    @staticmethod
+    def passage(gain: list[float]) -> tuple[float, int, int]:
+        """The stretch of words with the greatest total gain: (total, first, end)."""
+        best, total, start = (0.0, 0, 0), 0.0, 0
+        for i, g in enumerate(gain):
+            if total <= 0:
+                total, start = 0.0, i
+            total += g
+            if total > best[0]:
+                best = (total, start, i + 1)
+        return best
+
+    def repair(self, text: str, pool: int) -> tuple[list[str], str]:
+        """(chains found, text as it was before).
+
+        For every chain the passage that gains most is weighed against the chain's weight in the source; the clearest
+        one is repaired, then what is left is looked at again. A word that recurs is evidence once.
+        """
+        places = list(words_of(text))
+        words = [text[a:z] for a, z in places]
+        known = self.gains(words)
+        fixed: dict[int, str] = {}
+        found: set[int] = set()
+        while True:
+            best = (0.0, 0, 0, 0)
+            for chain in {c for i, k in enumerate(known) if i not in fixed for c, (g, _) in k.items() if g > 0}:
+                seen: set[str] = set()
+                gain = []
+                for i, (w, k) in enumerate(zip(words, known, strict=True)):
+                    gain.append(0.0 if i in fixed or w in seen or chain not in k else k[chain][0])
+                    seen.add(w)
+                total, start, end = self.passage(gain)
+                best = max(best, (total - self.hurdle[pool, chain], chain, start, end))
+            over, chain, start, end = best
+            if over <= 0:
+                break
+            found.add(chain)
+            for i in range(start, end):
+                if i not in fixed and chain in known[i] and known[i][chain][0] > -INSIDE:
+                    fixed[i] = known[i][chain][1]
+        out, at = [], 0
+        for i in sorted(fixed):
+            a, z = places[i]
+            out += [text[at:a], fixed[i]]
             at = z
-            found.add(NAMES[c[best]])
-    out.append(text[at:])
-    return sorted(found), "".join(out), lost
+        return sorted(NAMES[c] for c in found), "".join([*out, text[at:]])
 
 
 def repair(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -430,10 +476,10 @@ def repair(documents: DataFrame, model: Model | None = None) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        at_work = Repairer(shared.value)
         for b in batches:
             rows = [
-                ([], t, False) if t is None or t.isascii() else repair_text(t, p, m)
+                ([], t, False) if t is None or t.isascii() else (*at_work.repair(t, p), LOST_CHAR in t)
                 for p, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
