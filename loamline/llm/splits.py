@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.plans.storage import cut, discard
+from loamline.operators.graph import components
+from loamline.plans.storage import cut
 
 BINS = 64
 #: Groups balanced in one task, and bin tuples merged in one task.
@@ -50,38 +51,6 @@ def rename_links(changes: DataFrame) -> DataFrame:
     )
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.withColumnRenamed("m", "v")).distinct()
-
-
-def components(links: DataFrame) -> DataFrame:
-    """links (u, v), u > v -> (node, label): label is the least node of the connected component; labels map to themselves.
-
-    Every round is written and the round before deleted; rounds grow with the logarithm of the longest chain. The end
-    is seen from two numbers (count and hash of the links), so no link reaches the driver.
-    """
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-    e = cut(links, "links")
-    before = mark(e)
-    while before[0]:
-        nxt = cut(_small_star(_large_star(e)), "links")
-        discard(e)
-        e, now = nxt, mark(nxt)
-        if now == before:
-            break
-        before = now
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
-
-
 def largest_differencing(loads: np.ndarray) -> np.ndarray:
     """loads[t, s]: load of slot s of tuple t -> bins[t, s], so that the bins come out nearly equal.
 

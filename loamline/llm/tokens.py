@@ -297,10 +297,12 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def encode(df: DataFrame, column: str, tokenizers: str = TOKENIZERS, counts_only: bool = False) -> DataFrame:
     """df with `ids` ARRAY<INT> in place of the text column, or with `tokens` BIGINT if counts_only.
 
-    Null and empty texts have an empty list (0 tokens). No special tokens are added, and their names in a text are
+    A column of that name that was there before is replaced. Null and empty texts have an empty list (0 tokens). No special tokens are added, and their names in a text are
     ordinary text. Other columns pass through. A text is encoded whole, however long.
     """
     lexicon, ranks = build_lexicon(df, column, tokenizers)
+    out = "tokens" if counts_only else "ids"
+    df = df.select([F.col(f"`{c}`") for c in df.columns if c != out])
     kept = [c for c in df.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +318,6 @@ def encode(df: DataFrame, column: str, tokenizers: str = TOKENIZERS, counts_only
                 part = b.slice(a, z - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), made], names=[*kept, out])
 
-    out = "tokens" if counts_only else "ids"
     passing = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != column)
     made_type = "tokens bigint" if counts_only else "ids array<int>"
     return df.mapInArrow(run, f"{passing}, {made_type}" if passing else made_type)
