@@ -136,8 +136,8 @@ def cap_cases(cases: DataFrame, most: int, seed: int = 42, buckets: int = 4096)
     Commits are taken in order of their hash while they fit; the first that doesn't fit ends it. A histogram over hash
     buckets finds the bucket in which a repository's cap lies, and only that bucket is put in order.
     """
-    d = cases.withColumn("_h", F.xxhash64("repo_id", "commit_sha", F.lit(seed)))
-    sizes = d.groupBy("repo_id", "commit_sha", "_h").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    sizes = cases.groupBy("repo_id", "commit_sha").agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.xxhash64("repo_id", "commit_sha", F.lit(seed)))
+    sizes = sizes.withColumn("_b", F.pmod("_h", F.lit(buckets)))
     upto = F.sum("_n").over(Window.partitionBy("repo_id").orderBy("_b"))
     hist = sizes.groupBy("repo_id", "_b").agg(F.sum("_n").alias("_n")).withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
     s = sizes.join(hist.select("repo_id", "_b", "_upto", "_before"), ["repo_id", "_b"])
@@ -145,7 +145,7 @@ def cap_cases(cases: DataFrame, most: int, seed: int = 42, buckets: int = 4096)
     run = F.sum("_n").over(Window.partitionBy("repo_id", "_b").orderBy("_h", "commit_sha").rowsBetween(Window.unboundedPreceding, 0))
     edge = inside.withColumn("_run", F.col("_before") + run).where(F.col("_run") <= most)
     keep = s.where(F.col("_upto") <= most).select("repo_id", "commit_sha").unionByName(edge.select("repo_id", "commit_sha"))
-    return d.drop("_h").join(keep, ["repo_id", "commit_sha"], "left_semi")
+    return cases.join(keep, ["repo_id", "commit_sha"], "left_semi")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float], bucket: int) -> DataFrame:
@@ -175,8 +175,10 @@ def chronological_splits(cases: DataFrame, holdout: Sequence[str] = (), train: f
 
     Cases before the train quantile of the times train, those before the next quantile validate. A null time is null.
     """
-    d = cases.drop("split").withColumn("_t", F.unix_micros(F.col("as_of").cast("timestamp")))
+    d = cases.drop("split").withColumn("_loamline_t", F.unix_micros(F.col("as_of").cast("timestamp")))
     held = F.col("repo_id").isin(*holdout) if holdout else F.lit(False)
-    q = quantiles(d.where(~held), ["repo_id"], "_t", (train, train + validation), 2**36)
-    when = F.when(held, "holdout").when(F.col("_t") < F.col("q0"), "train").when(F.col("_t") < F.col("q1"), "validation").when(F.col("_t").isNotNull(), "test")
-    return d.join(q, "repo_id", "left").withColumn("split", when).drop("_t", "q0", "q1")
+    q = quantiles(d.where(~held), ["repo_id"], "_loamline_t", (train, train + validation), 2**36)
+    q = q.withColumnsRenamed({"q0": "_loamline_q0", "q1": "_loamline_q1"})
+    t, a, b = (F.col(f"_loamline_{c}") for c in ("t", "q0", "q1"))
+    when = F.when(held, "holdout").when(t < a, "train").when(t < b, "validation").when(t.isNotNull(), "test")
+    return d.join(q, "repo_id", "left").withColumn("split", when).drop("_loamline_t", "_loamline_q0", "_loamline_q1")

@@ -133,11 +133,13 @@ def violations(df: DataFrame, suite: Suite, ids: Sequence[str], st: DataFrame |
     """
     flags = F.array(*[F.when(suite.broken(f), F.lit(f)) for f in suite.fields])
     if st is not None:
-        where = st.where("broken > 0").groupBy("partition").agg(F.collect_set("field").alias("_fields"))
-        df = df.join(F.broadcast(where), F.col(suite.partition).eqNullSafe(F.col("partition"))).drop("partition")
-    out = df.select(*ids, F.explode(F.array_compact(flags)).alias("field"), *(["_fields"] if st is not None else []))
+        where = st.where("broken > 0").groupBy(F.col("partition").alias("_loamline_part")).agg(F.collect_set("field").alias("_loamline_fields"))
+        df = df.join(where, F.col(suite.partition).eqNullSafe(F.col("_loamline_part")))  # a row per partition: small, so Spark sends it out
+    named = F.explode(F.array_compact(flags)).alias("_loamline_field")
+    out = df.select(*ids, named, *(["_loamline_fields"] if st is not None else []))
     if st is not None:
-        out = out.where(F.array_contains("_fields", F.col("field"))).drop("_fields")
+        out = out.where(F.array_contains("_loamline_fields", F.col("_loamline_field"))).drop("_loamline_fields")
+    out = out.withColumnRenamed("_loamline_field", "field")
     return out.distinct()
 
 

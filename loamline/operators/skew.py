@@ -19,6 +19,8 @@ from loamline.plans.storage import cut
 SPLIT = 4
 #: Buckets of light keys per task.
 BUCKETS_PER_TASK = 16
+#: Names that no table has.
+TASK, HEAVY, PLACES = "_loamline_task", "_loamline_heavy", "_loamline_places"
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,7 @@ class LoadPlan:
     key: str
     total: int
     tasks: int
-    heavy: DataFrame  # (key, _places ARRAY<INT>): the tasks that hold the key's shards
+    heavy: DataFrame  # (key, PLACES ARRAY<INT>): the tasks that hold the key's shards
     bucket_places: list[int]
 
     def place_light(self):
@@ -68,44 +70,47 @@ def plan_load(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
         else:
             places[i].add(t)
         heapq.heappush(free, (load + n, t))
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("_places", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(PLACES, T.ArrayType(T.IntegerType()))])
     return LoadPlan(key, total, tasks, spark.createDataFrame([(r[key], sorted(p)) for r, p in zip(heavy, places, strict=True)], schema), bucket_places)
 
 
 def fragment(df: DataFrame, plan: LoadPlan) -> DataFrame:
-    """df with `_task`: rows of a heavy key go round its tasks by their place in the scan, so copies of a row spread too."""
-    h = plan.heavy.withColumnRenamed(plan.key, "_heavy_key")
+    """df with TASK: rows of a heavy key go round its tasks by their place in the scan, so copies of a row spread too."""
+    h = plan.heavy.withColumnRenamed(plan.key, HEAVY)
     return (
-        df.join(F.broadcast(h), F.col(plan.key).eqNullSafe(F.col("_heavy_key")), "left")
+        df.join(F.broadcast(h), F.col(plan.key).eqNullSafe(F.col(HEAVY)), "left")
         .withColumn(
-            "_task",
+            TASK,
             F.when(
-                F.col("_places").isNotNull(),
-                F.element_at("_places", (F.pmod(F.monotonically_increasing_id(), F.size("_places")) + 1).cast("int")),
+                F.col(PLACES).isNotNull(),
+                F.element_at(PLACES, (F.pmod(F.monotonically_increasing_id(), F.size(PLACES)) + 1).cast("int")),
             ).otherwise(plan.place_light()),
         )
-        .drop("_heavy_key", "_places")
+        .drop(HEAVY, PLACES)
     )
 
 
 def replicate(df: DataFrame, plan: LoadPlan) -> DataFrame:
     """The matching side: one copy for each task that holds a shard of the key, one copy in all for light keys."""
-    h = plan.heavy.withColumnRenamed(plan.key, "_heavy_key")
+    h = plan.heavy.withColumnRenamed(plan.key, HEAVY)
     return (
-        df.join(F.broadcast(h), F.col(plan.key).eqNullSafe(F.col("_heavy_key")), "left")
-        .withColumn("_task", F.explode(F.coalesce("_places", F.array(plan.place_light()))))
-        .drop("_heavy_key", "_places")
+        df.join(F.broadcast(h), F.col(plan.key).eqNullSafe(F.col(HEAVY)), "left")
+        .withColumn(TASK, F.explode(F.coalesce(PLACES, F.array(plan.place_light()))))
+        .drop(HEAVY, PLACES)
     )
 
 
 def balanced_join(left: DataFrame, right: DataFrame, plan: LoadPlan, how: str = "inner") -> DataFrame:
     """left join right on the plan's key; left is fragmented, right replicated, each moved once to the planned task.
 
-    how: inner, left, left_semi or left_anti. Null keys match nothing, as in SQL.
+    how: inner, left, left_semi or left_anti. Null keys match nothing, as in SQL. Columns of right that left has too get
+    `_right` behind their names.
     """
-    a = fragment(left, plan).repartitionById(plan.tasks, F.col("_task"))
-    b = replicate(right, plan).repartitionById(plan.tasks, F.col("_task"))
-    return a.join(b, ["_task", plan.key], how).drop("_task")
+    taken = set(left.columns) - {plan.key}
+    right = right.withColumnsRenamed({c: f"{c}_right" for c in right.columns if c in taken})
+    a = fragment(left, plan).repartitionById(plan.tasks, F.col(TASK))
+    b = replicate(right, plan).repartitionById(plan.tasks, F.col(TASK))
+    return a.join(b, [TASK, plan.key], how).drop(TASK)
 
 
 def balanced_per_key(df: DataFrame, plan: LoadPlan, time: str, value: str) -> DataFrame:
@@ -119,13 +124,13 @@ def balanced_per_key(df: DataFrame, plan: LoadPlan, time: str, value: str) -> Da
         v = v.cast("double")
         v = F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
     part = (
-        fragment(df, plan)
-        .groupBy("_task", plan.key)
+        fragment(df.select(F.col(plan.key), F.col(time).alias("_time"), v.alias("_value")), plan)
+        .groupBy(TASK, plan.key)
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.max(time).alias("latest"),
-            F.sum(v).alias("_sum"),
-            F.count(v).alias("_values"),
+            F.max("_time").alias("latest"),
+            F.sum("_value").alias("_sum"),
+            F.count("_value").alias("_values"),
         )
     )
     return part.groupBy(plan.key).agg(
