@@ -136,8 +136,9 @@ def cap_cases(cases: DataFrame, most: int, seed: int = 42, buckets: int = 4096)
     Commits are taken in order of their hash while they fit; the first that doesn't fit ends it. A histogram over hash
     buckets finds the bucket in which a repository's cap lies, and only that bucket is put in order.
     """
-    sizes = cases.groupBy("repo_id", "commit_sha").agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.xxhash64("repo_id", "commit_sha", F.lit(seed)))
-    sizes = sizes.withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    sizes = cases.groupBy("repo_id", "commit_sha").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_h", F.shiftrightunsigned(F.xxhash64("repo_id", "commit_sha", F.lit(seed)), 1))
+    sizes = sizes.withColumn("_b", F.expr(f"_h div {-(-(1 << 63) // buckets)}L") if buckets > 1 else F.lit(0))
     upto = F.sum("_n").over(Window.partitionBy("repo_id").orderBy("_b"))
     hist = sizes.groupBy("repo_id", "_b").agg(F.sum("_n").alias("_n")).withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
     s = sizes.join(hist.select("repo_id", "_b", "_upto", "_before"), ["repo_id", "_b"])

@@ -30,7 +30,7 @@ def running_before(rows: DataFrame, keys: Sequence[str], time: str, sums: Sequen
     pieces = pieces.select(*keys, "_piece", *[f.over(earlier).alias(f"_old_{c}") for c, f in again.items()])
     r = r.withColumns({f"_new_{c}": f.over(inside) for c, f in total.items()}).join(pieces, [*keys, "_piece"])
     out = {f"before_{c}": F.coalesce(f"_new_{c}", F.lit(0)) + F.coalesce(f"_old_{c}", F.lit(0)) for c in sums}
-    out |= {f"before_{c}": F.coalesce(f"_new_{c}", f"_old_{c}") for c in latest}
+    out |= {f"before_{c}": F.greatest(f"_new_{c}", f"_old_{c}") for c in latest}
     return r.withColumns(out).drop("_piece", *[f"_{w}_{c}" for w in ("new", "old") for c in total])
 
 

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -39,25 +40,28 @@ class Suite:
 
 
 def states(df: DataFrame, suite: Suite) -> DataFrame:
-    """(partition, field, n, nulls, low, high, sketch, broken), from a single scan of df.
+    """(partition, field, n, nulls, low, high, low_num, high_num, sketch, broken), from a single scan of df.
 
-    low and high are texts; they and the sketch leave nulls out. A null partition is a partition of its own.
+    Numbers have their range in low_num and high_num, all others in low and high, as texts (times so that they compare
+    as texts). Ranges and the sketch leave nulls out. A null partition is a partition of its own.
     """
     parts: list[Column] = [F.count(F.lit(1)).alias("n")]
     names = list(dict.fromkeys([*suite.columns, *suite.fields]))
     for i, name in enumerate(names):
         if name in suite.columns:
             v = F.expr(suite.columns[name])
+            number = isinstance(df.select(v.alias("v")).schema["v"].dataType, T.NumericType)
+            tail, kind = ("_num", "double") if number else ("", "string")
             parts += [
                 F.count(F.when(v.isNull(), 1)).alias(f"nulls{i}"),
-                F.min(v).cast("string").alias(f"low{i}"),
-                F.max(v).cast("string").alias(f"high{i}"),
+                F.min(v.cast(kind)).alias(f"low{tail}{i}"),
+                F.max(v.cast(kind)).alias(f"high{tail}{i}"),
                 F.hll_sketch_agg(F.coalesce(v.cast("string"), F.lit(None).cast("string"))).alias(f"sketch{i}"),
             ]
         if name in suite.fields:
             parts.append(F.count(F.when(suite.broken(name), 1)).alias(f"broken{i}"))
     wide = df.groupBy(F.col(suite.partition).alias("partition")).agg(*parts)
-    nothing = {"nulls": "bigint", "low": "string", "high": "string", "sketch": "binary", "broken": "bigint"}
+    nothing = {"nulls": "bigint", "low": "string", "high": "string", "low_num": "double", "high_num": "double", "sketch": "binary", "broken": "bigint"}
     made = set(wide.columns)
     rows = [
         F.struct(F.lit(name).alias("field"), *[(F.col(f"{k}{i}") if f"{k}{i}" in made else F.lit(None)).cast(t).alias(k) for k, t in nothing.items()])
@@ -67,7 +71,7 @@ def states(df: DataFrame, suite: Suite) -> DataFrame:
 
 
 def merge_states(*tables: DataFrame) -> DataFrame:
-    """States of disjoint rows as one table; ranges are compared as texts of the same width, which suits one column."""
+    """States of disjoint rows as one table."""
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
@@ -76,6 +80,8 @@ def merge_states(*tables: DataFrame) -> DataFrame:
         F.sum("nulls").alias("nulls"),
         F.min("low").alias("low"),
         F.max("high").alias("high"),
+        F.min("low_num").alias("low_num"),
+        F.max("high_num").alias("high_num"),
         F.hll_union_agg("sketch").alias("sketch"),
         F.sum("broken").alias("broken"),
     )
@@ -96,8 +102,8 @@ def profile(st: DataFrame, sigmas: float = 3.0, least_history: int = 8) -> DataF
         "n",
         (F.col("nulls") / F.col("n")).alias("null_rate"),
         F.hll_sketch_estimate("sketch").alias("distinct"),
-        "low",
-        "high",
+        F.coalesce("low", F.col("low_num").cast("string")).alias("low"),
+        F.coalesce("high", F.col("high_num").cast("string")).alias("high"),
         "broken",
         (F.col("broken") / F.col("n")).alias("broken_rate"),
     )

@@ -31,6 +31,8 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     c.execute("set timezone = 'UTC'")
     for t in TABLES:
         p = f"{sf_dir}/{t}.parquet"
+        if not os.path.exists(p):
+            continue
         c.execute(f"create view {t} as select * from read_parquet('{p}{'/*.parquet' if os.path.isdir(p) else ''}')")
     return c
 
