@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loamline.llm import cooccurrence, encoding, mixing, splits, tokens
 from loamline.plans.registry import Registry
 from loamline.plans.storage import cut
-from loamline.sources.tables import table
+from loamline.sources.tables import micros, table
 
 R = Registry()
 
@@ -76,8 +76,8 @@ def _pair_scores(spark: SparkSession, d: str, least: int) -> DataFrame:
     """Counts built in two batches: commits up to a late moment, then the rest."""
     touches = table(spark, d, "touches")
     baskets = cut(cooccurrence.commit_baskets(touches, table(spark, d, "components")), "all-baskets")
-    last = touches.agg(F.max("ts")).first()[0]
-    late = touches.where(F.col("ts") > F.lit(last) - F.expr("interval 90 days")).select("repo_id", F.col("sha").alias("basket")).distinct()
+    last = touches.agg(F.max(micros("ts"))).first()[0] or 0
+    late = touches.where(micros("ts") > last - 90 * 86_400_000_000).select("repo_id", F.col("sha").alias("basket")).distinct()
     state = cooccurrence.PairCounts.empty(spark)
     for how in ("left_anti", "left_semi"):
         state = state.apply(baskets.join(late, ["repo_id", "basket"], how))
