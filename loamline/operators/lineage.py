@@ -37,15 +37,15 @@ def live_paths(components: DataFrame) -> DataFrame:
 
 
 def _lives(group: pd.DataFrame) -> pd.DataFrame:
-    """Stretches in which old paths stand for later ones, and where paths lead in general."""
-    group = group.sort_values("seq")
-    repo = group["repo_id"].iloc[0]
-    live = {p for p, is_live in [*zip(group["path"], group["path_live"]), *zip(group["old_path"], group["old_live"])] if is_live}
-    newest: dict[str, str] = {}
-    for old, new in zip(group["old_path"], group["path"]):
-        newest.setdefault(old, new)
-
-    def follow(path: str) -> str:
+    """Stretches in which old paths stand for later ones, and where paths lead in general; of many groups of paths at once."""
+    group = group.sort_values(["repo_id", "seq"])
+    new, old = list(zip(group["repo_id"], group["path"])), list(zip(group["repo_id"], group["old_path"]))
+    live = {p for p, is_live in [*zip(new, group["path_live"]), *zip(old, group["old_live"])] if is_live}
+    newest: dict[tuple[str, str], tuple[str, str]] = {}
+    for was, became in zip(old, new):
+        newest.setdefault(was, became)
+
+    def follow(path: tuple[str, str]) -> tuple[str, str]:
         seen = {path}
         while path not in live and path in newest:
             path = newest[path]
@@ -54,17 +54,17 @@ def _lives(group: pd.DataFrame) -> pd.DataFrame:
             seen.add(path)
         return path
 
-    now: dict[str, tuple[str, int]] = {}
+    now: dict[tuple[str, str], tuple[tuple[str, str], int]] = {}
     out = []
-    for seq, path, old in zip(group["seq"], group["path"], group["old_path"]):
-        final = now[path][0] if path in now else path if path in live else follow(path)
-        for gone in (path, old):
+    for seq, became, was in zip(group["seq"], new, old):
+        final = now[became][0] if became in now else follow(became)
+        for gone in (became, was):
             if gone in now:
                 to, since = now.pop(gone)
-                out.append((repo, gone, to, since, seq))
-        now[old] = (final, seq)
-    out += [(repo, p, to, since, LAST) for p, (to, since) in now.items()]
-    out += [(repo, p, follow(p), LEADS, LEADS) for p in newest if p not in live]
+                out.append((*gone, to[1], since, seq))
+        now[was] = (final, seq)
+    out += [(*p, to[1], since, LAST) for p, (to, since) in now.items()]
+    out += [(*p, follow(p)[1], LEADS, LEADS) for p in newest if p not in live]
     return pd.DataFrame(out, columns=["repo_id", "path", "final_path", "set_seq", "kill_seq"])
 
 
@@ -82,7 +82,10 @@ def rename_lives(ordered: DataFrame, live: DataFrame) -> DataFrame:
         is_live.withColumnsRenamed({"path": "old_path", "_is": "old_live"}), ["repo_id", "old_path"], "left"
     )
     r = r.fillna(False, ["path_live", "old_live"]).withColumn("node", name("path")).join(group, "node").drop("node")
-    return r.groupBy("_group").applyInPandas(lambda pdf: _lives(pdf), LIVES)
+    # whole groups of paths go to one bucket; a task works through the renames of many groups together
+    buckets = 4 * int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = r.withColumn("_bucket", F.pmod(F.xxhash64("_group"), F.lit(buckets)))
+    return r.groupBy("_bucket").applyInPandas(lambda pdf: _lives(pdf), LIVES)
 
 
 def attribute_changes(commits: DataFrame, changes: DataFrame, components: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Cutting lineage by tables in the folder that all executors share."""
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +43,25 @@ def discard(df: DataFrame) -> None:
     for f in df.inputFiles():
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(hadoop).delete(path, False)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, as --py-files would, once per session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loamline_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    at = os.path.join(folder, n)
+                    z.write(at, os.path.relpath(at, os.path.dirname(root)))
+    path = new_path(spark, "loamline.zip")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    sc._loamline_shipped = True
