@@ -20,7 +20,8 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 def _are_stars(e: DataFrame) -> bool:
     """Whether every node has one link to a smaller one, which has none itself; one yes or no comes back."""
-    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("top")), F.struct("v", F.lit(0), F.lit(1)))).alias("s"))
+    end = lambda c, low, top: F.struct(F.col(c).alias("x"), F.lit(low).alias("low"), F.lit(top).alias("top"))
+    ends = e.select(F.explode(F.array(end("u", 1, 0), end("v", 0, 1))).alias("s"))
     n = ends.groupBy("s.x").agg(F.sum("s.low").alias("low"), F.max("s.top").alias("top"))
     return n.where("low > 1 or (low = 1 and top = 1)").isEmpty()
 
