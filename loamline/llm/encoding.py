@@ -418,44 +418,59 @@ class Repairer:
         return [self.known[w] for w in words]
 
     @staticmethod
-    def passage(gain: list[float]) -> tuple[float, int, int]:
-        """The stretch of words with the greatest total gain: (total, first, end)."""
+    def passages(gain: list[float], hurdle: float) -> list[tuple[float, int, int]]:
+        """Stretches of words whose total gain is over the hurdle: (by how much, first, end), apart from each other."""
+        out: list[tuple[float, int, int]] = []
         best, total, start = (0.0, 0, 0), 0.0, 0
-        for i, g in enumerate(gain):
+        for i, g in enumerate([*gain, -np.inf]):
             if total <= 0:
-                total, start = 0.0, i
+                best, total, start = (0.0, 0, 0), 0.0, i
             total += g
             if total > best[0]:
                 best = (total, start, i + 1)
-        return best
+            if total <= 0 and best[0] > hurdle:
+                out.append((best[0] - hurdle, *best[1:]))
+        return out
 
     def repair(self, text: str, pool: int) -> tuple[list[str], str]:
         """(chains found, text as it was before).
 
-        For every chain the passage that gains most is weighed against the chain's weight in the source; the clearest
-        one is repaired, then what is left is looked at again. A word that recurs is evidence once.
+        For every chain the passages that gain most are weighed against the chain's weight in the source. The chain
+        with the clearest ones is undone there and in repeats of their words, then the other chains have their turn. A
+        word that recurs is evidence once.
         """
         places = list(words_of(text))
         words = [text[a:z] for a, z in places]
         known = self.gains(words)
+        first: dict[str, int] = {}
+        for i, w in enumerate(words):
+            first.setdefault(w, i)
         fixed: dict[int, str] = {}
-        found: set[int] = set()
-        while True:
-            best = (0.0, 0, 0, 0)
-            for chain in {c for i, k in enumerate(known) if i not in fixed for c, (g, _) in k.items() if g > 0}:
-                seen: set[str] = set()
-                gain = []
-                for i, (w, k) in enumerate(zip(words, known, strict=True)):
-                    gain.append(0.0 if i in fixed or w in seen or chain not in k else k[chain][0])
-                    seen.add(w)
-                total, start, end = self.passage(gain)
-                best = max(best, (total - self.hurdle[pool, chain], chain, start, end))
-            over, chain, start, end = best
-            if over <= 0:
+        found: list[int] = []
+        open_ = {c for k in known for c, (g, _) in k.items() if g > 0}
+        while open_:
+            best: tuple[float, int, list] = (0.0, 0, [])
+            for chain in sorted(open_):
+                gain = [0.0 if i in fixed or first[w] != i or chain not in k else k[chain][0] for i, (w, k) in enumerate(zip(words, known, strict=True))]
+                over = self.passages(gain, self.hurdle[pool, chain])
+                if over:
+                    best = max(best, (sum(o for o, _, _ in over), chain, over))
+                else:
+                    open_ = open_ - {chain}  # others only take evidence away
+            if not best[2]:
                 break
-            found.add(chain)
-            for i in range(start, end):
-                if i not in fixed and chain in known[i] and known[i][chain][0] > -INSIDE:
+            _, chain, over = best
+            found.append(chain)
+            open_ = open_ - {chain}
+            undone = set()
+            for _, start, end in over:
+                for i in range(start, end):
+                    if i not in fixed and chain in known[i] and known[i][chain][0] > -INSIDE:
+                        fixed[i] = known[i][chain][1]
+                        if known[i][chain][0] > 0:
+                            undone.add(words[i])
+            for i, w in enumerate(words):
+                if i not in fixed and w in undone:
                     fixed[i] = known[i][chain][1]
         out, at = [], 0
         for i in sorted(fixed):

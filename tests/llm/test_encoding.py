@@ -101,3 +101,18 @@ def test_places_of_words():
     for text in ("a é b  ö\nx", "完。次，完", "ж" * 300, "", "ascii only"):
         parts = [text[a:z] for a, z in encoding.words_of(text)]
         assert sum(not c.isascii() for c in text) == sum(not c.isascii() for p in parts for c in p)
+
+
+def test_passages():
+    of = encoding.Repairer.passages
+    assert of([1, 2, -9, 5, 0, 1, -1], 2.5) == [(0.5, 0, 2), (3.5, 3, 6)]
+    assert of([], 1) == [] and of([-1, 0.5], 1) == [] and of([4], 1) == [(3, 0, 1)]
+
+
+def test_repeats_are_repaired_too(spark, corpus):
+    rows, _ = corpus
+    bad = garble(CLEAN["es"], "utf-8", "cp1252")
+    text = "\n".join([bad, CLEAN["de"], CLEAN["de"], bad, bad])
+    df = spark.createDataFrame([*rows, (30_000, "s1", text)], "doc_id bigint, source string, text string")
+    got = encoding.repair(df).where("doc_id = 30000").first()
+    assert got["original"] == "\n".join([CLEAN["es"], CLEAN["de"], CLEAN["de"], CLEAN["es"], CLEAN["es"]])
