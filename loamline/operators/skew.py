@@ -32,8 +32,10 @@ class LoadPlan:
     bucket_places: list[int]
 
     def place_light(self):
-        places = F.array(*[F.lit(p) for p in self.bucket_places])
-        return F.element_at(places, (F.pmod(F.xxhash64(self.key), F.lit(len(self.bucket_places))) + 1).cast("int"))
+        """The task of a light key; the list is one constant, however long."""
+        places = F.split(F.lit(",".join(map(str, self.bucket_places))), ",")
+        at = F.pmod(F.xxhash64(self.key), F.lit(len(self.bucket_places))) + 1
+        return F.element_at(places, at.cast("int")).cast("int")
 
 
 def plan_load(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
