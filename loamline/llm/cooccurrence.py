@@ -9,7 +9,7 @@ net deltas are merged into the counts, bucket by bucket.
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.plans.storage import cut
@@ -33,10 +33,19 @@ def _signed_totals(baskets: DataFrame) -> DataFrame:
     return baskets.groupBy(*SCOPE).agg(F.sum("sign").alias("n"))
 
 
-def _keep(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Written in hash buckets, so that the next merge finds equal keys in the same bucket."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-    return cut(df.withColumn("bucket", bucket), name)
+def _bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _merge(state: DataFrame, delta: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The counts with net deltas added; zero counts go. Only buckets that deltas fall into are read and written again."""
+    net = cut(delta.where("n <> 0").withColumn("bucket", _bucket(keys)), f"{name}-deltas")
+    touched = [r[0] for r in net.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    if not touched:
+        return state
+    old = state.where(F.col("bucket").isin(touched)).unionByName(net)
+    new = cut(old.groupBy(*keys, "bucket").agg(F.sum("n").alias("n")).where("n <> 0"), name, by="bucket")
+    return new if len(touched) == BUCKETS else state.where(~F.col("bucket").isin(touched)).unionByName(new)
 
 
 @dataclass(frozen=True)
@@ -72,18 +81,13 @@ class PairCounts:
         old = self.baskets.alias("o").join(new.alias("n"), same("o", "n", key), "left_semi")
         deltas = new.withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1))).where(F.size("items") > 0)
 
-        def merge(state: DataFrame, delta: DataFrame, keys: list[str], name: str) -> DataFrame:
-            net = delta.where("n <> 0")
-            merged = state.drop("bucket").unionByName(net).groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
-            return _keep(merged, keys, name)
-
         rest = self.baskets.alias("o").join(new.alias("n"), same("o", "n", key), "left_anti")
         return replace(
             self,
             baskets=cut(rest.unionByName(new.where(F.size("items") > 0)), "baskets"),
-            pairs=merge(self.pairs, _signed_pairs(deltas), [*SCOPE, "a", "b"], "pairs"),
-            items=merge(self.items, _signed_items(deltas), [*SCOPE, "item"], "items"),
-            totals=merge(self.totals, _signed_totals(deltas), SCOPE, "totals"),
+            pairs=_merge(self.pairs, _signed_pairs(deltas), [*SCOPE, "a", "b"], "pairs"),
+            items=_merge(self.items, _signed_items(deltas), [*SCOPE, "item"], "items"),
+            totals=_merge(self.totals, _signed_totals(deltas), SCOPE, "totals"),
             changed=new.select(*SCOPE).distinct(),
         )
 
