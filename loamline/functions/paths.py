@@ -85,3 +85,9 @@ def reference_kind(path: Column | str) -> Column:
         .when(p.endswith(".factories") | p.endswith(".imports"), "AUTO_CONFIGURATION")
         .otherwise("CLASS_NAME")
     )
+
+
+def owner_and_name(url: Column | str) -> Column:
+    """`owner/name` of a repository's address, with or without `.git`; null if it isn't one."""
+    found = F.regexp_extract(F.trim(url), r"^(?:https?://|git@)[^/:]+[/:]([\w.-]+/[\w.-]+?)(?:\.git)?/?$", 1)
+    return F.when(found != "", found)

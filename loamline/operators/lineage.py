@@ -153,3 +153,9 @@ def contiguous_ranges(lines: DataFrame, keys: list[str], line: str) -> DataFrame
     d = lines.where(F.col(line).isNotNull()).select(*keys, line).distinct()
     island = F.col(line) - F.row_number().over(Window.partitionBy(*keys).orderBy(line))
     return d.withColumn("_i", island).groupBy(*keys, "_i").agg(F.min(line).alias("first"), F.max(line).alias("last")).drop("_i")
+
+
+def first_paths(attributed: DataFrame) -> DataFrame:
+    """(repo_id, sha, component_id, parent_path): where a commit found the component: the old path of its first change, else the path."""
+    first = F.min_by(F.coalesce("old_path", "path"), "file_ord")
+    return attributed.groupBy("repo_id", "sha", "component_id").agg(first.alias("parent_path"))

@@ -89,3 +89,15 @@ def review(rows: DataFrame, by: Sequence[str], predicted: str, actual: str) -> D
     )
     low, high = wilson(F.col("right"), F.col("predicted"))
     return g.withColumns({"precision": ratio(F.col("right"), F.col("predicted")), "recall": ratio(F.col("right"), F.col("actual")), "low": low, "high": high})
+
+
+def sample(df: DataFrame, keys: Sequence[str], most: int, seed: int = 42) -> DataFrame:
+    """At most `most` distinct keys for a review, the same ones for the same seed whatever the order of rows."""
+    d = df.select(*keys).distinct()
+    return d.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(most)
+
+
+def fixes_traced(links: DataFrame) -> DataFrame:
+    """(repo_id, inducing, fixes): commits that brought bugs in and fixes traced to them; links (repo_id, sha, fixes)."""
+    each = links.select("repo_id", "sha", F.explode("fixes").alias("fix"))
+    return each.groupBy("repo_id").agg(F.countDistinct("sha").alias("inducing"), F.countDistinct("fix").alias("fixes"))

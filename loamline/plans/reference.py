@@ -187,6 +187,18 @@ def built_touches(spark: SparkSession, d: str) -> DataFrame:
     return lineage.build_touches(_attributed(spark, d), table(spark, d, "commits"), table(spark, d, "file_changes"))
 
 
+@R.add("first_paths")
+def first_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Where each commit found the components that it changes."""
+    return lineage.first_paths(_attributed(spark, d))
+
+
+@R.add("review_sample")
+def review_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Thirty components to look at; the limit is the sample's size, the order Spark's hash, so no SQL."""
+    return quality.sample(table(spark, d, "components"), ["repo_id", "component_id"], 30)
+
+
 @R.add("touch_differences")
 def touch_differences(spark: SparkSession, d: str) -> DataFrame:
     """How the touches that we make differ from those delivered, per repository."""
@@ -311,6 +323,16 @@ def inducing_commits(spark: SparkSession, d: str) -> DataFrame:
     return cases.inducing_commits(table(spark, d, "touches"), table(spark, d, "commits")).withColumn("fixes", F.array_join("fixes", ","))
 
 
+@R.add(
+    "fixes_traced",
+    f"""with {_T}, {_BEFORE}, {_PRINT}, {_CANDIDATES}, {_INDUCING}, x as (select repo_id, sha, unnest(fixes) as fix from ind)
+select repo_id, count(distinct sha) as inducing, count(distinct fix) as fixes from x group by 1""",
+)
+def fixes_traced(spark: SparkSession, d: str) -> DataFrame:
+    """How many fixes each repository's links come from."""
+    return quality.fixes_traced(cases.inducing_commits(table(spark, d, "touches"), table(spark, d, "commits")))
+
+
 @R.add(
     "mined_cases",
     f"""with {_T}, {_BEFORE}, {_PRINT}, {_CANDIDATES}, {_INDUCING}

@@ -127,3 +127,8 @@ def test_tokens_and_resolution(spark):
         ("com.shop.Api", None, "SERVICE_INTERFACE"): ("RESOLVED", "com.shop.Api"),
         ("com.shop.impl.ApiImpl", 1, "SERVICE_LOADER"): ("UNRESOLVED", None),
     }
+
+
+def test_owner_and_name(spark):
+    urls = ["https://host.example/own/name.git", "git@host.example:own/na.me", "https://host.example/own/name/", "own/name", "https://host.example/x", None]
+    assert values(spark, urls, paths.owner_and_name("x")) == ["own/name", "own/na.me", "own/name", None, None, None]

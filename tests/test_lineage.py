@@ -104,3 +104,9 @@ def test_prints_and_duplicates(spark):
     c = spark.createDataFrame([("r", "old", 9), ("r", "new", 1), ("r", "x", 5), ("q", "new", 1)], "repo_id string, sha string, log_ord bigint")
     p = spark.createDataFrame([("r", "old", "P"), ("r", "new", "P"), ("r", "x", None), ("q", "new", "P")], "repo_id string, sha string, patch_id string")
     assert {(r["repo_id"], r["sha"]) for r in lineage.first_duplicate(c, p).where(F.col("duplicate")).collect()} == {("r", "new")}
+
+
+def test_first_paths(spark):
+    rows = [("r", "s", "c", 2, "b", None), ("r", "s", "c", 1, "b", "a"), ("r", "s", "d", 0, "x", None)]
+    df = spark.createDataFrame(rows, "repo_id string, sha string, component_id string, file_ord int, path string, old_path string")
+    assert {(r["component_id"], r["parent_path"]) for r in lineage.first_paths(df).collect()} == {("c", "a"), ("d", "x")}
