@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loamline.functions.paths import SERVICES_DIR, config_category, reference_kind
 from loamline.functions.text import BEAN_REFERENCE, CLASS_NAME, CONTEXT_CHARS, LINE_END, bean_name, package_of, strip_comments
 from loamline.operators import evidence
+from loamline.operators.history import clean_touches
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -127,3 +128,41 @@ def config_evidence(refs: DataFrame, scope: DataFrame, cutoffs: DataFrame) -> Da
         F.lit(evidence.CONFIG_METHOD).alias("extraction_method"),
     )
     return evidence.with_ids(d)
+
+
+def config_evidence_by_case(cases: DataFrame, tree: DataFrame, blobs: DataFrame, touches: DataFrame) -> DataFrame:
+    """Configuration evidence for each case as of its parent commit: (case_id, evidence_type, value, …).
+
+    tree (repo_id, revision, path, blob), blobs (repo_id, blob, text). Every distinct file content is scanned once,
+    whatever the number of revisions that hold it. A revision's references resolve to the components that were alive
+    just before the earliest of its cases; packages of components that ever existed count as ours. Only components that
+    some file could mean are looked up in the history. Cases without parent have no evidence.
+    """
+    asked = cases.where("parent_sha is not null").groupBy("repo_id", F.col("parent_sha").alias("revision")).agg(F.min(F.unix_micros(F.col("as_of").cast("timestamp"))).alias("_t"))
+    files = classify(tree.join(asked, ["repo_id", "revision"])).select("repo_id", "revision", "path", "blob", "category", "_t")
+    texts = files.select("repo_id", "path", "blob").distinct().join(blobs, ["repo_id", "blob"])
+    found = tokens(texts, ["repo_id", "blob"])
+    at = found.join(files, ["repo_id", "blob", "path"]).drop("blob")
+
+    t = clean_touches(touches)
+    ever = t.select("repo_id", "component_id").distinct()
+    parts = F.split(F.substring_index("token", "$", 1), r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    meant = found.where("kind <> 'BEAN_REFERENCE'").select("repo_id", F.explode(ends).alias("component_id"))
+    beans = found.where("kind = 'BEAN_REFERENCE'").select("repo_id", F.col("token").alias("_bean")).distinct()
+    # all components of a bean name, as only one alive of them makes it unambiguous
+    named = ever.withColumn("_bean", bean_name(F.regexp_extract("component_id", r"[^.]*$", 0))).join(beans, ["repo_id", "_bean"], "left_semi").select("repo_id", "component_id")
+    few = t.join(meant.unionByName(named).distinct(), ["repo_id", "component_id"], "left_semi")
+    last = few.join(asked, "repo_id").where(F.col("t") < F.col("_t")).groupBy("repo_id", "revision", "component_id").agg(F.max(F.struct("t", "sha", "removes_component")).alias("_l"))
+    alive = last.where("not _l.removes_component").select("repo_id", "revision", "component_id")
+    known = ever.join(asked.select("repo_id", "revision"), "repo_id")
+    refs = references(resolve(at, alive, ["repo_id", "revision"], known), ["repo_id", "revision"]).where("resolution = 'RESOLVED'")
+
+    target = cases.select("case_id", "repo_id", F.col("parent_sha").alias("revision"), F.col("target_component_id").alias("component_id"), "as_of").where("revision is not null")
+    # a case stands where a component stands in a snapshot: its id takes the repository's place
+    r = refs.join(target, ["repo_id", "revision", "component_id"]).drop("repo_id", "as_of").withColumnRenamed("case_id", "repo_id")
+    scope = target.select(F.col("case_id").alias("repo_id"), "component_id", F.col("revision").alias("snapshot"))
+    cutoffs = target.select(F.col("case_id").alias("repo_id"), F.unix_micros(F.col("as_of").cast("timestamp")).alias("as_of")).distinct()
+    e = config_evidence(r, scope, cutoffs).withColumnRenamed("repo_id", "case_id")
+    repo = target.select("case_id", "repo_id").distinct()
+    return evidence.with_ids(e.drop("evidence_id").join(repo, "case_id"))
