@@ -477,7 +477,7 @@ def feature_pivot(spark: SparkSession, d: str) -> DataFrame:
     f"""with e as (select distinct evidence_id, load_id, repo_id, snapshot, component_id, source, evidence_type, epoch_us(as_of) as t,
   epoch_us(time_window.start_ts) as a, epoch_us(time_window.end_ts) as b from evidence)
 select evidence_id, load_id, 'ev_' || left(sha1(concat_ws('|', coalesce(repo_id, ''), coalesce(snapshot, ''), coalesce(component_id, ''), coalesce(source, ''),
-  coalesce(evidence_type, ''), {_ISO("t")}, coalesce({_ISO("a")}, ''), coalesce({_ISO("b")}, ''))), 16) as made_id from e""",
+  coalesce(evidence_type, ''), coalesce({_ISO("t")}, ''), coalesce({_ISO("a")}, ''), coalesce({_ISO("b")}, ''))), 16) as made_id from e""",
 )
 def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
     """The id that each delivered row's identifying fields give."""
