@@ -12,6 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamline.plans.storage import cut
+
+
+#: Partitions with broken rows up to which their list is sent to all tasks; beyond, it is joined like any table.
+SENT_PARTITIONS = 10_000
+
 
 @dataclass(frozen=True)
 class Check:
@@ -140,7 +146,10 @@ def violations(df: DataFrame, suite: Suite, ids: Sequence[str], st: DataFrame |
     flags = F.array(*[F.when(suite.broken(f), F.lit(f)) for f in suite.fields])
     if st is not None:
         where = st.where("broken > 0").groupBy(F.col("partition").alias("_loamline_part")).agg(F.collect_set("field").alias("_loamline_fields"))
-        df = df.join(where, F.col(suite.partition).eqNullSafe(F.col("_loamline_part")))  # a row per partition: small, so Spark sends it out
+        where = cut(where, "broken")
+        if where.limit(SENT_PARTITIONS + 1).count() <= SENT_PARTITIONS:
+            where = F.broadcast(where)
+        df = df.join(where, F.col(suite.partition).eqNullSafe(F.col("_loamline_part")))
     named = F.explode(F.array_compact(flags)).alias("_loamline_field")
     out = df.select(*ids, named, *(["_loamline_fields"] if st is not None else []))
     if st is not None:
