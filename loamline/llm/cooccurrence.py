@@ -18,15 +18,24 @@ SCOPE = ["repo_id", "module"]
 BUCKETS = 32
 
 
+def _ids(items: str, seed: int) -> Column:
+    """Items of a scope as 64-bit numbers."""
+    return F.transform(items, lambda x: F.xxhash64(F.lit(seed), "repo_id", F.coalesce(F.concat(F.lit("="), "module"), F.lit("")), x))
+
+
 def _signed_pairs(baskets: DataFrame) -> DataFrame:
-    """(scope, a, b, n): net change of each pair, a < b. Items are sorted; a basket is worked off item by item."""
-    first = baskets.select(*SCOPE, "sign", "items", F.posexplode("items").alias("_i", "a"))
-    both = first.select(*SCOPE, "sign", "a", F.explode(F.expr("slice(items, _i + 2, size(items))")).alias("b"))
-    return both.groupBy(*SCOPE, "a", "b").agg(F.sum("sign").alias("n"))
+    """(a, b, n): net change of each pair of item numbers, a < b. A basket is worked off item by item."""
+    first = baskets.select("sign", F.array_sort("ids").alias("ids")).select("sign", "ids", F.posexplode("ids").alias("_i", "a"))
+    both = first.select("sign", "a", F.explode(F.expr("slice(ids, _i + 2, size(ids))")).alias("b"))
+    return both.groupBy("a", "b").agg(F.sum("sign").alias("n"))
 
 
 def _signed_items(baskets: DataFrame) -> DataFrame:
-    return baskets.select(*SCOPE, "sign", F.explode("items").alias("item")).groupBy(*SCOPE, "item").agg(F.sum("sign").alias("n"))
+    """(id, item, n): item is a struct of scope and name, null where a batch only takes the item away."""
+    names = F.coalesce("items", F.transform("ids", lambda _: F.lit(None).cast("string"))).alias("items")
+    each = baskets.select(*SCOPE, "sign", "ids", names).select(*SCOPE, "sign", F.explode(F.arrays_zip("ids", "items")).alias("_x"))
+    item = F.when(F.col("_x.items").isNotNull(), F.struct(*SCOPE, F.col("_x.items").alias("item")))
+    return each.select("sign", F.col("_x.ids").alias("id"), item.alias("item")).groupBy("id").agg(F.max("item").alias("item"), F.min("item").alias("_low"), F.sum("sign").alias("n"))
 
 
 def _signed_totals(baskets: DataFrame) -> DataFrame:
@@ -38,35 +47,47 @@ def _bucket(keys: Sequence[str]) -> Column:
 
 
 def _merge(state: DataFrame, delta: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The counts with net deltas added; zero counts go. Only buckets that deltas fall into are read and written again."""
-    net = cut(delta.where("n <> 0").withColumn("bucket", _bucket(keys)), f"{name}-deltas")
-    touched = [r[0] for r in net.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    """The counts with net deltas added; zero counts go. Only buckets that deltas fall into are read and written again.
+
+    Two items under one number are an error; another seed gives other numbers.
+    """
+    net = cut(delta.withColumn("bucket", _bucket(keys)), f"{name}-deltas")
+    touched = [r[0] for r in net.where("n <> 0").select("bucket").distinct().collect()]  # at most BUCKETS numbers
     if not touched:
         return state
-    old = state.where(F.col("bucket").isin(touched)).unionByName(net)
-    new = cut(old.groupBy(*keys, "bucket").agg(F.sum("n").alias("n")).where("n <> 0"), name, by="bucket")
+    old = state.where(F.col("bucket").isin(touched)).unionByName(net.where(F.col("bucket").isin(touched)), allowMissingColumns=True)
+    aggs = [F.sum("n").alias("n")]
+    if name == "items":
+        low = F.min(F.least("item", F.coalesce("_low", "item")))
+        clash = F.raise_error(F.lit("two items have the same number: take another seed")).cast(state.schema["item"].dataType)
+        aggs.append(F.when(low == F.max("item"), F.max("item")).when(low.isNotNull(), clash).alias("item"))
+    new = cut(old.groupBy(*keys, "bucket").agg(*aggs).where("n <> 0"), name, by="bucket")
     return new if len(touched) == BUCKETS else state.where(~F.col("bucket").isin(touched)).unionByName(new)
 
 
 @dataclass(frozen=True)
 class PairCounts:
-    """A version of the state; apply() gives the next one and leaves this one readable."""
+    """A version of the state; apply() gives the next one and leaves this one readable.
 
-    baskets: DataFrame  # repo_id, module, basket, items
-    pairs: DataFrame  # repo_id, module, a, b, n, bucket
-    items: DataFrame  # repo_id, module, item, n, bucket
+    Items go by numbers, which the items table translates; the pair table, by far the largest, holds nothing else.
+    """
+
+    baskets: DataFrame  # repo_id, module, basket, ids
+    pairs: DataFrame  # a, b, n, bucket
+    items: DataFrame  # id, item (repo_id, module, item), n, bucket
     totals: DataFrame  # repo_id, module, n, bucket
     changed: DataFrame | None = None  # scopes that the last batch changed
+    seed: int = 0
 
     @staticmethod
-    def empty(spark: SparkSession) -> "PairCounts":
-        scope = "repo_id string, module string, "
-        make = lambda s: spark.createDataFrame([], scope + s)
+    def empty(spark: SparkSession, seed: int = 0) -> "PairCounts":
+        make = lambda s: spark.createDataFrame([], s)
         return PairCounts(
-            make("basket string, items array<string>"),
-            make("a string, b string, n bigint, bucket int"),
-            make("item string, n bigint, bucket int"),
-            make("n bigint, bucket int"),
+            make("repo_id string, module string, basket string, ids array<bigint>"),
+            make("a bigint, b bigint, n bigint, bucket int"),
+            make("id bigint, item struct<repo_id: string, module: string, item: string>, n bigint, bucket int"),
+            make("repo_id string, module string, n bigint, bucket int"),
+            seed=seed,
         )
 
     def apply(self, batch: DataFrame) -> "PairCounts":
@@ -76,39 +97,38 @@ class PairCounts:
         repo_id, module and basket.
         """
         key = [*SCOPE, "basket"]
-        new = cut(batch.select(*key, F.array_sort(F.array_distinct(F.array_compact(F.coalesce("items", F.array().cast("array<string>"))))).alias("items")), "batch")
+        clean = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("items", F.array().cast("array<string>")))))
+        new = cut(batch.select(*key, clean.alias("items")).withColumn("ids", _ids("items", self.seed)), "batch")
         same = lambda a, b, names: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names]
         old = self.baskets.alias("o").join(new.alias("n"), same("o", "n", key), "left_semi")
-        deltas = new.withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1))).where(F.size("items") > 0)
-
+        deltas = new.withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1)), allowMissingColumns=True).where(F.size("ids") > 0)
         rest = self.baskets.alias("o").join(new.alias("n"), same("o", "n", key), "left_anti")
         return replace(
             self,
-            baskets=cut(rest.unionByName(new.where(F.size("items") > 0)), "baskets"),
-            pairs=_merge(self.pairs, _signed_pairs(deltas), [*SCOPE, "a", "b"], "pairs"),
-            items=_merge(self.items, _signed_items(deltas), [*SCOPE, "item"], "items"),
-            totals=_merge(self.totals, _signed_totals(deltas), SCOPE, "totals"),
+            baskets=cut(rest.unionByName(new.where(F.size("ids") > 0).drop("items")), "baskets"),
+            pairs=_merge(self.pairs, _signed_pairs(deltas).where("n <> 0"), ["a", "b"], "pairs"),
+            items=_merge(self.items, _signed_items(deltas), ["id"], "items"),
+            totals=_merge(self.totals, _signed_totals(deltas).where("n <> 0"), SCOPE, "totals"),
             changed=new.select(*SCOPE).distinct(),
         )
 
     def scores(self, least_pairs: int = 1, only_changed: bool = False) -> DataFrame:
-        """(repo_id, module, a, b, n_ab, n_a, n_b, n, lift): lift is n_ab * n / (n_a * n_b).
+        """(repo_id, module, a, b, n_ab, n_a, n_b, n, lift), a < b by name: lift is n_ab * n / (n_a * n_b).
 
         only_changed: just the scopes of the last batch, as all their scores may have moved with n.
         """
-        pairs = self.pairs.where(F.col("n") >= least_pairs).select(*SCOPE, "a", "b", F.col("n").alias("n_ab"))
+        of = lambda side: self.items.select(F.col("id").alias(side), F.col("item").alias(f"_{side}"), F.col("n").alias(f"_n{side}"))
+        p = self.pairs.where(F.col("n") >= least_pairs).select("a", "b", F.col("n").alias("n_ab")).join(of("a"), "a").join(of("b"), "b")
+        p = p.withColumns({c: F.col(f"_a.{c}") for c in SCOPE}).withColumn("_first", F.col("_a.item") < F.col("_b.item"))
         if only_changed and self.changed is not None:
-            pairs = pairs.alias("p").join(self.changed.alias("c"), F.expr("p.repo_id <=> c.repo_id and p.module <=> c.module"), "left_semi")
+            p = p.alias("p").join(self.changed.alias("c"), F.expr("p.repo_id <=> c.repo_id and p.module <=> c.module"), "left_semi")
         # null modules join as themselves
         named = lambda df: df.withColumn("_m", F.coalesce(F.concat(F.lit("="), "module"), F.lit("")))
-        items = named(self.items).select("repo_id", "_m", "item", "n")
-        out = (
-            named(pairs)
-            .join(items.withColumnsRenamed({"item": "a", "n": "n_a"}), ["repo_id", "_m", "a"])
-            .join(items.withColumnsRenamed({"item": "b", "n": "n_b"}), ["repo_id", "_m", "b"])
-            .join(named(self.totals).select("repo_id", "_m", "n"), ["repo_id", "_m"])
-        )
-        return out.select(*SCOPE, "a", "b", "n_ab", "n_a", "n_b", "n", (F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))).alias("lift"))
+        p = named(p).join(named(self.totals).select("repo_id", "_m", "n"), ["repo_id", "_m"])
+        pick = lambda x, y: F.when(F.col("_first"), F.col(x)).otherwise(F.col(y))
+        n_a, n_b = pick("_na", "_nb"), pick("_nb", "_na")
+        out = p.select(*SCOPE, pick("_a.item", "_b.item").alias("a"), pick("_b.item", "_a.item").alias("b"), "n_ab", n_a.alias("n_a"), n_b.alias("n_b"), "n")
+        return out.withColumn("lift", F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b")))
 
 
 def commit_baskets(touches: DataFrame, components: DataFrame) -> DataFrame:

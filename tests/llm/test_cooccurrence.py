@@ -65,3 +65,13 @@ def test_found_on_dirty_touches(spark, tmp_path):
     for q in ("p2_found", "p2_scores"):
         assert compare(spark, d, R.queries[q], R.sql[q]) == ""
     assert R.queries["p2_found"](spark, write(tmp_path, "touches", [])).count() == 0
+
+
+def test_two_items_under_one_number_are_an_error(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from loamline.llm import cooccurrence
+
+    monkeypatch.setattr(cooccurrence, "_ids", lambda items, seed: F.transform(items, lambda x: F.length(x).cast("bigint")))
+    with pytest.raises(Exception, match="another seed"):
+        PairCounts.empty(spark).apply(spark.createDataFrame([("a", "m", "1", ["x", "y"])], SHAPE))
