@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.plans.storage import cut
+from loamline.sources.tables import micros
 
 SCOPE = ["repo_id", "module"]
-BUCKETS = 32
+BUCKETS = 8
 
 
 def _ids(items: str, seed: int) -> Column:
@@ -132,17 +133,19 @@ class PairCounts:
 
 
 def commit_baskets(touches: DataFrame, components: DataFrame) -> DataFrame:
-    """(repo_id, module, basket, items): per commit and module the components that its non-bulk touches name.
+    """(repo_id, module, basket, items, t): per commit and module the components that its non-bulk touches name.
 
     A touch names its component and its non-null partners; repeats and nulls don't count, nor do names that
-    `components` doesn't hold for the repository. A null is_bulk is not false, so such touches are left out.
+    `components` doesn't hold for the repository. A null is_bulk is not false, so such touches are left out. t is the
+    latest time of the touches in microseconds, null if none has one.
     """
     t = touches.where("is_bulk = false and repo_id is not null and sha is not null")
     names = F.array_distinct(F.array_append(F.coalesce("partners", F.array().cast("array<string>")), F.col("component_id")))
-    members = t.select("repo_id", "sha", F.explode(names).alias("component_id")).where("component_id is not null").distinct()
+    each = t.select("repo_id", "sha", micros("ts").alias("t"), F.explode(names).alias("component_id")).where("component_id is not null")
+    members = each.groupBy("repo_id", "sha", "component_id").agg(F.max("t").alias("t"))
     modules = components.select("repo_id", "component_id", "module").distinct()
     return (
         members.join(modules, ["repo_id", "component_id"])
         .groupBy("repo_id", "module", F.col("sha").alias("basket"))
-        .agg(F.array_sort(F.collect_set("component_id")).alias("items"))
+        .agg(F.array_sort(F.collect_set("component_id")).alias("items"), F.max("t").alias("t"))
     )

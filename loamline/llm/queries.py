@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loamline.llm import cooccurrence, encoding, mixing, splits, tokens
 from loamline.plans.registry import Registry
 from loamline.plans.storage import cut
-from loamline.sources.tables import micros, table
+from loamline.sources.tables import table
 
 R = Registry()
 
@@ -74,13 +74,11 @@ s as (select p.repo_id, p.module, p.a, p.b, p.n as n_ab, ia.n as n_a, ib.n as n_
 
 def _pair_scores(spark: SparkSession, d: str, least: int) -> DataFrame:
     """Counts built in two batches: commits up to a late moment, then the rest."""
-    touches = table(spark, d, "touches")
-    baskets = cut(cooccurrence.commit_baskets(touches, table(spark, d, "components")), "all-baskets")
-    last = touches.agg(F.max(micros("ts"))).first()[0] or 0
-    late = touches.where(micros("ts") > last - 90 * 86_400_000_000).select("repo_id", F.col("sha").alias("basket")).distinct()
+    baskets = cut(cooccurrence.commit_baskets(table(spark, d, "touches"), table(spark, d, "components")), "all-baskets")
+    late = F.coalesce(F.col("t"), F.lit(0)) > (baskets.agg(F.max("t")).first()[0] or 0) - 90 * 86_400_000_000
     state = cooccurrence.PairCounts.empty(spark)
-    for how in ("left_anti", "left_semi"):
-        state = state.apply(baskets.join(late, ["repo_id", "basket"], how))
+    for batch in (baskets.where(~late), baskets.where(late)):
+        state = state.apply(batch)
     return state.scores(least)
 
 
