@@ -31,49 +31,20 @@ ROUNDS = 4
 WORD_CHARS = 128
 #: Weight of the backed-off probability in the character model, in counts.
 BACKOFF = 0.05
+#: Characters of originals that are scored at once.
+SCORED_CHARS = 1_000_000
 #: Distinct words that a task holds before it passes its counts on.
 HELD_WORDS = 200_000
 
-#: Fixed values: (encoding in which the text was written, encoding in which it was read).
-CHAINS = (
-    ("utf-8", "cp1252"),
-    ("utf-8", "cp1251"),
-    ("utf-8", "cp1250"),
-    ("utf-8", "iso8859-2"),
-    ("utf-8", "koi8-r"),
-    ("utf-8", "mac-roman"),
-    ("utf-8", "cp437"),
-    ("utf-8", "cp850"),
-    ("utf-8", "gb18030"),
-    ("utf-8", "cp932"),
-    ("utf-8", "big5"),
-    ("utf-8", "euc-kr"),
-    ("gb18030", "cp1252"),
-    ("cp932", "cp1252"),
-    ("euc-jp", "cp1252"),
-    ("big5", "cp1252"),
-    ("euc-kr", "cp1252"),
-    ("cp1251", "cp1252"),
-    ("koi8-r", "cp1252"),
-    ("koi8-r", "cp1251"),
-    ("cp1251", "koi8-r"),
-    ("cp1252", "cp1251"),
-    ("cp1252", "koi8-r"),
-    ("cp1250", "cp1252"),
-    ("cp1252", "cp1250"),
-    ("iso8859-2", "cp1252"),
-    ("cp1252", "iso8859-2"),
-    ("iso8859-2", "cp1250"),
-    ("cp1250", "iso8859-2"),
-    ("mac-roman", "cp1252"),
-    ("cp1252", "mac-roman"),
-    ("cp437", "cp1252"),
-    ("cp1252", "cp437"),
-    ("cp850", "cp1252"),
-    ("cp1252", "cp850"),
-    ("iso8859-7", "cp1252"),
-    ("iso8859-9", "cp1252"),
-)
+#: Encodings of one byte a character, and of several.
+SINGLE = (
+    "cp1252", "cp1251", "cp1250", "iso8859-2", "koi8-r", "mac-roman", "cp437", "cp850", "cp866", "koi8-u", "iso8859-5", "mac-cyrillic", "cp855",
+    "cp852", "cp1253", "cp1254", "cp1257", "iso8859-7", "iso8859-9", "iso8859-15",
+)
+MULTIBYTE = ("gb18030", "cp932", "euc-jp", "big5", "euc-kr")
+#: (encoding in which the text was written, encoding in which it was read): all pairs. Text read as UTF-8 is lost, not garbled.
+UTF8_CHAINS = tuple(("utf-8", r) for r in (*SINGLE, *MULTIBYTE))
+CHAINS = (*UTF8_CHAINS, *((w, r) for r in (*SINGLE, *MULTIBYTE) for w in (*MULTIBYTE, *SINGLE) if w != r))
 #: How often a UTF-8 chain may have happened to a word.
 DEPTH = 3
 CLEAN, LOST = "clean", "lost"
@@ -83,7 +54,8 @@ BLANK = re.compile(r"[ \t\r\n]+")
 WIDE_STOP = re.compile(r"(?<=[。，、；：！？])")
 #: A character beyond ASCII as UTF-8 bytes, each byte shown as the character of the same number.
 UTF8_CHARS = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
-MULTIBYTE = ("gb18030", "cp932", "euc-jp", "big5", "euc-kr")
+#: Characters that text seldom has: controls and private use.
+ODD = re.compile("[\x7f-\x9f\ue000-\uf8ff]")
 
 
 # -- chains -------------------------------------------------------------------------------------------------------
@@ -112,6 +84,13 @@ def _chars_of(charset: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=None)
+def _swaps(written: str, read: str) -> dict[int, str]:
+    """Of two single-byte charsets: character as read -> character as written, U+FFFF where there is none."""
+    chars = _chars_of(written)
+    return {ord(c): chars[b] or "\uffff" for c, b in _bytes_of(read).items() if b >= 128}
+
+
 def _runs(word: str, table: dict[str, int]) -> Iterator[tuple[str, bool]]:
     """The word in pieces, each wholly within the charset or wholly outside."""
     at = 0
@@ -137,12 +116,15 @@ def _from_utf8(shown: str) -> str:
 
 def undo(word: str, written: str, read: str) -> str | None:
     """What the word was before it was read wrongly, or None if this chain can't have made it."""
-    if read in MULTIBYTE:  # text in UTF-8 read as two-byte characters
+    if read in MULTIBYTE:
         try:
-            out = word.encode(read).decode(written)
+            made = word.encode(read).decode(written)
         except (UnicodeEncodeError, UnicodeDecodeError):
             return None
-        return out if out != word else None
+        return _plausible(made, word)
+    if written in SINGLE:
+        made = word.translate(_swaps(written, read))
+        return None if "\uffff" in made and "\uffff" not in word else _plausible(made, word)
     table, out = _bytes_of(read), []
     for piece, inside in _runs(word, table):
         if not inside or piece.isascii():
@@ -154,19 +136,16 @@ def undo(word: str, written: str, read: str) -> str | None:
                 was += [piece[at : m.start()], _from_utf8(m.group())]
                 at = m.end()
             out += [*was, piece[at:]]
-        elif written in MULTIBYTE:
+        else:
             try:
                 out.append(bytes(table[c] for c in piece).decode(written))
             except UnicodeDecodeError:
                 return None
-        else:
-            chars = _chars_of(written)
-            was = [chars[table[c]] for c in piece]
-            if not all(was):
-                return None
-            out += was
-    made = "".join(out)
-    if made == word or any("\x7f" <= c < "\xa0" or "\ue000" <= c <= "\uf8ff" for c in made if c not in word):
+    return _plausible("".join(out), word)
+
+
+def _plausible(made: str, word: str) -> str | None:
+    if made == word or (ODD.search(made) and any(c not in word for c in ODD.findall(made))):
         return None
     return made
 
@@ -175,22 +154,41 @@ NAMES = [CLEAN, *(f"{w}>{r}" for w, r in CHAINS)]
 IS_UTF8 = np.array([False, *(w == "utf-8" for w, _ in CHAINS)])
 
 
-def candidates(word: str) -> tuple[list[int], list[str]]:
-    """Chains (by number in NAMES) and originals; the word itself, clean, comes first. Equal originals occur once."""
-    seen = {word: 0}
-    for i, (w, r) in enumerate(CHAINS, 1):
-        made = undo(word, w, r)
-        if made is None or made in seen:
+READS = tuple((r, tuple((i, w) for i, (w, x) in enumerate(CHAINS, 1) if x == r)) for r in (*SINGLE, *MULTIBYTE))
+NESTED = UTF8_CHAINS[:8]
+
+
+def candidates(word: str) -> tuple[list[int], list[int], list[str]]:
+    """Chains (by number in NAMES), the place of each one's original in the last list, and the distinct originals.
+
+    The word itself, clean, comes first. Chains that lead to the same original all have their entry.
+    """
+    chains, which, seen = [0], [0], {word: 0}
+
+    def add(i: int, made: str) -> None:
+        chains.append(i)
+        which.append(seen.setdefault(made, len(seen)))
+
+    wide = {c for c in word if c > "\x7f"}
+    for r, by in READS:
+        if r in SINGLE and wide.isdisjoint(_bytes_of(r)):
             continue
-        seen[made] = i
-        if w == "utf-8":
-            again = made
-            for _ in range(DEPTH - 1):
-                again = next((x for x in (undo(again, *c) for c in CHAINS[:8]) if x is not None), None)
+        if r in MULTIBYTE:
+            try:
+                word.encode(r)
+            except UnicodeEncodeError:
+                continue
+        for i, w in by:
+            again = undo(word, w, r)
+            if again is None:
+                continue
+            add(i, again)
+            for _ in range(DEPTH - 1 if w == "utf-8" else 0):
+                again = next((x for x in (undo(again, *c) for c in NESTED) if x is not None), None)
                 if again is None:
                     break
-                seen.setdefault(again, i)
-    return list(seen.values()), list(seen.keys())
+                add(i, again)
+    return chains, which, list(seen)
 
 
 def words_of(text: str) -> Iterator[tuple[int, int]]:
@@ -262,11 +260,13 @@ def expected(words: list[str], weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return used, np.bincount(at, np.tile(weight[row], 3 * MODEL_ROWS), len(used))
 
 
-def posterior(model: Model, pool: np.ndarray, chains: list[list[int]], originals: list[list[str]]) -> list[np.ndarray]:
-    """Of each word the probabilities of its candidates."""
+def posterior(model: Model, pool: np.ndarray, chains: list[list[int]], which: list[list[int]], originals: list[list[str]]) -> list[np.ndarray]:
+    """Of each word the probabilities of its chains."""
     sizes = [len(c) for c in chains]
+    first = np.repeat(np.cumsum([0, *(len(o) for o in originals)])[:-1], sizes)
     flat = np.array([i for c in chains for i in c], np.int64)
-    score = model.score([o for os in originals for o in os]) + np.log(model.weights[np.repeat(pool, sizes), flat])
+    at_original = first + np.array([i for c in which for i in c], np.int64)
+    score = model.score([o for os in originals for o in os])[at_original] + np.log(model.weights[np.repeat(pool, sizes), flat])
     out, at = [], 0
     for n in sizes:
         s = score[at : at + n]
@@ -284,7 +284,7 @@ def _pool(source: str) -> str:
 
 
 def word_table(documents: DataFrame) -> DataFrame:
-    """(pool, word, n, chains, originals) of the distinct words beyond ASCII, counted over all texts."""
+    """(pool, word, n, chains, which, originals) of the distinct words beyond ASCII, counted over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[tuple[int, str]] = Counter()
@@ -306,15 +306,27 @@ def word_table(documents: DataFrame) -> DataFrame:
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [candidates(w) for w in b.column(1).to_pylist()]
+            last = None
+            found: list[tuple[list[int], list[int], list[str]]] = []
+            for w in b.column(1).to_pylist():
+                found.append(found[-1] if w == last else candidates(w))
+                last = w
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([c for c, _ in found], pa.list_(pa.int32())), pa.array([o for _, o in found], pa.list_(pa.string()))],
-                names=["pool", "word", "n", "chains", "originals"],
+                [*b.columns, *(pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), kinds, strict=True))] if found else [*b.columns, *(pa.array([], k) for k in kinds)],
+                names=["pool", "word", "n", "chains", "which", "originals"],
             )
 
     texts = documents.select(F.expr(_pool("source")).alias("pool"), "text").where("text is not null").where(F.length("text") < F.octet_length("text"))
     words = texts.mapInArrow(count, "pool int, word string, n bigint").groupBy("pool", "word").agg(F.sum("n").alias("n"))
-    return words.mapInArrow(explain, "pool int, word string, n bigint, chains array<int>, originals array<string>")
+    # a word costs far more than its bytes, so tasks aren't joined by size; repeats in other pools lie side by side
+    spark = documents.sparkSession
+    words = words.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "word").sortWithinPartitions("word")
+    return words.mapInArrow(explain, "pool int, word string, n bigint, chains array<int>, which array<int>, originals array<string>")
+
+
+#: In the charsets left out, ordinary words (such as those of [р-я][а-п][а-п] in cp866) are valid UTF-8 by chance.
+TELLING_READS = tuple(r for _, r in UTF8_CHAINS if r not in ("cp866", "cp855", "koi8-u"))
 
 
 def _first_guess(chains: list[list[int]], words: list[str]) -> list[np.ndarray]:
@@ -328,8 +340,8 @@ def _first_guess(chains: list[list[int]], words: list[str]) -> list[np.ndarray]:
 
 
 def _all_utf8(word: str) -> bool:
-    """Whether every character beyond ASCII belongs to a UTF-8 sequence in some reading."""
-    for _, read in CHAINS[:12]:
+    """Whether every character beyond ASCII belongs to a UTF-8 sequence in some reading that shows none by chance."""
+    for read in TELLING_READS:
         if read in MULTIBYTE:
             if undo(word, "utf-8", read) is not None:
                 return True
@@ -353,23 +365,27 @@ def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model:
     model: Model | None = None
     for _ in range(rounds):
 
-        def step(batches: Iterator[pd.DataFrame], model: Model | None = model) -> Iterator[pd.DataFrame]:
+        def add_part(b: pd.DataFrame, counts: np.ndarray, weights: np.ndarray, model: Model | None = model) -> None:
+            chains, which, originals = ([list(x) for x in b[c]] for c in ("chains", "which", "originals"))
+            pool, n = b["pool"].to_numpy(np.int64), b["n"].to_numpy(np.float64)
+            post = _first_guess(chains, list(b["word"])) if model is None else posterior(model, pool, chains, which, originals)
+            w = np.concatenate([p * k for p, k in zip(post, n, strict=True)])
+            some = np.flatnonzero(w > 1e-9)
+            flat = [o[i] for o, at in zip(originals, which, strict=True) for i in at]
+            slots, add = expected([flat[i] for i in some], w[some])
+            counts[slots] += add
+            at = np.repeat(pool, [len(c) for c in chains]) * width + np.array([i for c in chains for i in c])
+            weights += np.bincount(at, w, len(weights))
+
+        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts = np.zeros(MODEL_ROWS << MODEL_BITS)
             weights = np.zeros(SOURCE_POOLS * width)
             for b in batches:
                 if not len(b):
                     continue
-                chains = [list(c) for c in b["chains"]]
-                originals = [list(o) for o in b["originals"]]
-                pool, n = b["pool"].to_numpy(np.int64), b["n"].to_numpy(np.float64)
-                post = _first_guess(chains, list(b["word"])) if model is None else posterior(model, pool, chains, originals)
-                w = np.concatenate([p * k for p, k in zip(post, n, strict=True)])
-                some = w > 1e-9
-                flat = [o for os in originals for o in os]
-                slots, add = expected([o for o, s in zip(flat, some, strict=True) if s], w[some])
-                counts[slots] += add
-                at = np.repeat(pool, [len(c) for c in chains]) * width + np.array([i for c in chains for i in c])
-                weights += np.bincount(at, w, len(weights))
+                size = np.array([sum(map(len, os)) + len(os) for os in b["originals"]])
+                for _, part in b.groupby(np.cumsum(size) // SCORED_CHARS, sort=False):
+                    add_part(part, counts, weights)
             c, p = np.flatnonzero(counts), np.flatnonzero(weights)
             yield pd.DataFrame({"slot": np.concatenate([c, p + len(counts)]), "amount": np.concatenate([counts[c], weights[p]])})
 
@@ -398,23 +414,26 @@ class Repairer:
     def __init__(self, model: Model) -> None:
         self.model = model
         self.known: dict[str, dict[int, tuple[float, str]]] = {}
+        self.better: dict[str, list[tuple[int, float]]] = {}  # the gains above 0 of known
         self.hurdle = np.log(MARGIN) - np.log(np.minimum(0.5, PASSAGE_WORDS * model.weights))
 
     def gains(self, words: list[str]) -> list[dict[int, tuple[float, str]]]:
         """Of each word: chain -> (how much likelier its original is than the word, the original)."""
         if len(self.known) > HELD_WORDS:
             self.known.clear()
+            self.better.clear()
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         made = [candidates(w) for w in new]
-        scores, at = self.model.score([o for _, os in made for o in os]), 0
-        for w, (chains, originals) in zip(new, made, strict=True):
+        scores, at = self.model.score([o for _, _, os in made for o in os]), 0
+        for w, (chains, which, originals) in zip(new, made, strict=True):
             got: dict[int, tuple[float, str]] = {}
-            for i in range(1, len(chains)):
-                gain = scores[at + i] - scores[at]
-                if chains[i] not in got or got[chains[i]][0] < gain:
-                    got[chains[i]] = (gain, originals[i])
-            at += len(chains)
+            for c, o in zip(chains[1:], which[1:], strict=True):
+                gain = float(scores[at + o] - scores[at])
+                if c not in got or got[c][0] < gain:
+                    got[c] = (gain, originals[o])
+            at += len(originals)
             self.known[w] = got
+            self.better[w] = [(c, g) for c, (g, _) in got.items() if g > 0]
         return [self.known[w] for w in words]
 
     @staticmethod
@@ -447,7 +466,11 @@ class Repairer:
             first.setdefault(w, i)
         fixed: dict[int, str] = {}
         found: list[int] = []
-        open_ = {c for k in known for c, (g, _) in k.items() if g > 0}
+        most: Counter[int] = Counter()  # no passage gains more than all words do that gain at all
+        for w in first:
+            for c, g in self.better[w]:
+                most[c] += g
+        open_ = {c for c, g in most.items() if g > self.hurdle[pool, c]}
         while open_:
             best: tuple[float, int, list] = (0.0, 0, [])
             for chain in sorted(open_):

@@ -116,3 +116,29 @@ def test_repeats_are_repaired_too(spark, corpus):
     df = spark.createDataFrame([*rows, (30_000, "s1", text)], "doc_id bigint, source string, text string")
     got = encoding.repair(df).where("doc_id = 30000").first()
     assert got["original"] == "\n".join([CLEAN["es"], CLEAN["de"], CLEAN["de"], CLEAN["es"], CLEAN["es"]])
+
+
+def test_chains_beyond_the_usual(spark, corpus):
+    rows, _ = corpus
+    pairs = [("ru", "cp866", "cp1251"), ("ru", "mac-cyrillic", "cp1252"), ("ru", "iso8859-5", "koi8-r"), ("pl", "cp852", "cp1257"), ("fr", "cp1252", "cp866")]
+    texts = {40_000 + k: "\n".join((CLEAN["de"], garble(CLEAN[lang], w, r), CLEAN["fr"])) for k, (lang, w, r) in enumerate(pairs)}
+    truth = {40_000 + k: "\n".join((CLEAN["de"], CLEAN[lang].encode(w, "ignore").decode(w), CLEAN["fr"])) for k, (lang, w, r) in enumerate(pairs)}
+    df = spark.createDataFrame([*rows, *((i, "s2", t) for i, t in texts.items())], "doc_id bigint, source string, text string").repartition(4)
+    got = {r["doc_id"]: r for r in encoding.repair(df).where("doc_id >= 40000").collect()}
+    assert all(r["garbled"] for r in got.values())
+    assert {i: r["original"] for i, r in got.items()} == truth
+
+
+def test_every_pair_is_undone():
+    sample = {"cp1251": "Проверка", "cp866": "Проверка", "koi8-r": "Проверка", "koi8-u": "Проверка", "iso8859-5": "Проверка", "mac-cyrillic": "Проверка", "cp855": "Проверка", "iso8859-7": "έλεγχος", "cp1253": "έλεγχος"}
+    for written, read in encoding.CHAINS:
+        if written not in encoding.SINGLE or read not in encoding.SINGLE:
+            continue
+        text = sample.get(written, "déjà größer")
+        try:
+            bad = "".join(bytes([b]).decode(read) for b in text.encode(written))
+        except UnicodeError:
+            continue
+        if bad != text:
+            chains, which, originals = encoding.candidates(bad)
+            assert text in {originals[o] for c, o in zip(chains, which, strict=True) if encoding.NAMES[c] == f"{written}>{read}"}, (written, read)
