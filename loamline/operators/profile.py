@@ -138,6 +138,88 @@ def category_shares(df: DataFrame, partition: str, column: str) -> DataFrame:
     return d.join(order, "partition").select("partition", F.when(F.col("_last").isNotNull(), F.col("distance")).alias("distance"))
 
 
+#: Parts of a doubling that a bin of numbers spans.
+BINS_PER_DOUBLING = 2
+
+
+def distribution_states(df: DataFrame, partition: str, group: str, number: str, categories: dict[str, str]) -> DataFrame:
+    """(partition, group, *categories, bin, n, total, squares) of all rows, from one scan; sums of equal keys merge.
+
+    number and categories are SQL expressions. bin is the number's place on a fixed logarithmic scale, mirrored below
+    zero, "nan" or infinite; null for null. total and squares are sums over finite numbers.
+    """
+    x = F.expr(number).cast("double")
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    step = F.floor(F.log2(F.abs(x)) * BINS_PER_DOUBLING).cast("string")
+    place = (
+        F.when(x.isNull(), None).when(F.isnan(x), "nan").when(~finite, F.when(x > 0, "inf").otherwise("-inf")).when(x == 0, "0").otherwise(F.concat(F.when(x > 0, "+").otherwise("-"), step))
+    )
+    keys = [F.expr(partition).alias("partition"), F.expr(group).alias("group"), *[F.expr(e).cast("string").alias(c) for c, e in categories.items()], place.alias("bin")]
+    kept = F.when(finite, x)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(kept).alias("total"), F.sum(kept * kept).alias("squares"))
+
+
+def merge_distributions(*tables: DataFrame) -> DataFrame:
+    """Distribution states of disjoint rows as one table."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    keys = [c for c in out.columns if c not in ("n", "total", "squares")]
+    return out.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")])
+
+
+def drift(st: DataFrame, number: str, sigmas: float = 3.0, least_history: int = 8) -> DataFrame:
+    """Where distributions change: one row per (partition, group, field) with the number's name or a category's as field.
+
+    A row has n, the mean and deviation of the finite numbers, mean_change and the total variation distance of bins or
+    categories to the earlier partition that has this group and field. mean_alarm: the mean lies more than `sigmas`
+    deviations from the mean of earlier means; the deviation is that of earlier means, or that of a mean of so many
+    rows if larger. distance_alarm: the distance lies so far above earlier distances and above what chance gives for
+    so few rows. Field "group" is the mix of groups of a whole partition. `least_history` earlier values must exist.
+    """
+    names = [c for c in st.columns if c not in ("partition", "group", "bin", "n", "total", "squares")]
+    none = F.lit(None)
+
+    def side(field: str, group: Column, category: Column, num: bool) -> Column:
+        sums = [(F.col(c) if num else none).cast("double").alias(f"_{c}") for c in ("total", "squares")]
+        finite = F.when(~F.col("bin").isin("nan", "inf", "-inf"), F.col("n")) if num else none
+        return F.struct(F.lit(field).alias("field"), group.cast("string").alias("group"), category.alias("category"), *sums, finite.cast("bigint").alias("_finite"))
+
+    sides = [side(number, F.col("group"), F.col("bin"), True), *[side(c, F.col("group"), F.col(c), False) for c in names], side("group", none, F.col("group"), False)]
+    long = st.select("partition", "n", F.explode(F.array(*sides)).alias("_s")).select("partition", "n", "_s.*").where((F.col("field") != number) | F.col("category").isNotNull())
+    # keys that hold no null: of partition, and of group and field
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    long = long.withColumn("_p", mark("partition")).withColumn("_key", F.concat("field", F.lit("\n"), mark("group")))
+    sums = [F.sum(c).alias(c) for c in ("n", "_total", "_squares", "_finite")]
+    cells = cut(long.groupBy("_p", "_key", "category").agg(*sums, *[F.first(c).alias(c) for c in ("partition", "group", "field")]), "cells")
+    w = Window.partitionBy("_key").orderBy("partition")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = cells.groupBy("_p", "_key").agg(*sums, F.count(F.lit(1)).alias("_cells"), *[F.first(c).alias(c) for c in ("partition", "group", "field")])
+    whole = whole.withColumn("_next", F.lead("_p").over(w)).withColumn("_n_before", F.lag("n").over(w))
+
+    # each share counts for its own partition and against the next one that has this key
+    share = cells.select("_p", "_key", "category", F.col("n").alias("_n")).join(whole.select("_p", "_key", "_next", F.col("n").alias("_all")), ["_p", "_key"])
+    signed = share.select(
+        "_key", "category", F.explode(F.array(F.struct(F.col("_p").alias("at"), (F.col("_n") / F.col("_all")).alias("s")), F.struct(F.col("_next").alias("at"), (-F.col("_n") / F.col("_all")).alias("s")))).alias("_e")
+    ).where("_e.at is not null")
+    gaps = signed.groupBy("_key", F.col("_e.at").alias("_p"), "category").agg(F.sum("_e.s").alias("_gap"))
+    gaps = gaps.groupBy("_key", "_p").agg((F.sum(F.abs("_gap")) / 2).alias("_distance"))
+
+    out = whole.join(gaps, ["_p", "_key"]).withColumn("distance", F.when(F.col("_n_before").isNotNull(), F.col("_distance")))
+    out = out.withColumn("mean", F.col("_total") / F.expr("nullif(_finite, 0)"))
+    out = out.withColumn("deviation", F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") / F.expr("nullif(_finite, 0)") - F.col("mean") * F.col("mean"))))
+    seen = F.sum("_finite").over(before)
+    pooled = F.greatest(F.lit(0.0), F.sum("_squares").over(before) / F.nullif(seen, F.lit(0)) - F.pow(F.sum("_total").over(before) / F.nullif(seen, F.lit(0)), 2))
+    usual = F.avg("mean").over(before)
+    spread = F.greatest(F.stddev_samp("mean").over(before), F.sqrt(pooled / F.nullif(F.col("_finite"), F.lit(0))), F.abs(usual) * 0.001)
+    out = out.withColumn("mean_alarm", F.coalesce((F.count("mean").over(before) >= least_history) & (F.abs(F.col("mean") - usual) > sigmas * spread), F.lit(False)))
+    out = out.withColumn("mean_change", F.col("mean") - F.lag("mean").over(w))
+    chance = F.sqrt(F.col("_cells") * (1 / F.col("n") + 1 / F.col("_n_before")) / 6.283)  # the mean of a distance by chance is at most this
+    limit = F.greatest(F.avg("distance").over(before), chance) + sigmas * F.greatest(F.stddev_samp("distance").over(before), F.lit(0.001))
+    out = out.withColumn("distance_alarm", F.coalesce((F.count("distance").over(before) >= least_history) & (F.col("distance") > limit), F.lit(False)))
+    return out.select("partition", "group", "field", "n", "mean", "deviation", "mean_change", "mean_alarm", "distance", "distance_alarm")
+
+
 def violations(df: DataFrame, suite: Suite, ids: Sequence[str], st: DataFrame | None = None) -> DataFrame:
     """(*ids, field), one row per row of df and field that breaks a constraint, repeats once.
 

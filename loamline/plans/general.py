@@ -242,6 +242,15 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.profile(profile.states(table(spark, d, "evidence"), profile.evidence_suite()))
 
 
+@R.add("p7_value_drift")
+def p7_value_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Loads whose values, words or kinds of an evidence type, or mix of types, are distributed unlike those before; no SQL."""
+    words = {"value.str": "value.str", "value.kind": "value.kind", "availability": "availability"}
+    st = profile.distribution_states(table(spark, d, "evidence"), "load_id", "evidence_type", "value.num", {k.replace(".", "_"): v for k, v in words.items()})
+    out = profile.drift(st, "value_num")
+    return out.select(F.col("partition").alias("load_id"), F.col("group").alias("evidence_type"), *out.columns[2:])
+
+
 @R.add(
     "p7_availability_drift",
     """

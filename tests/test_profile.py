@@ -71,3 +71,22 @@ def test_alarms(spark):
 def test_drift(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a"), (3, None)], "p int, v string")
     assert {r["partition"]: r["distance"] for r in profile.category_shares(df, "p", "v").collect()} == {1: None, 2: 0.5, 3: 1.0}
+
+
+def test_value_drift(spark, tmp_path):
+    num = lambda p, i: {"num": float(1 + i % 10) * (12 if p in (12, 13) else 1), "str": None, "kind": "int"}
+    rows = [GOOD | {"evidence_id": f"{p}-{i}", "load_id": p, "value": num(p, i), "evidence_type": t} for p in range(16) for i in range(60) for t in ("lines_added",)]
+    rows += [r | {"evidence_type": None, "value": {"num": 2.0, "str": None, "kind": "int"}} for r in rows]
+    d = write(tmp_path, "evidence", rows)
+    got = R.queries["p7_value_drift"](spark, d).collect()
+    assert {(r["load_id"], r["evidence_type"], r["field"]) for r in got if r["mean_alarm"]} == {(12, "lines_added", "value_num"), (13, "lines_added", "value_num")}
+    far = {r["load_id"] for r in got if r["field"] == "value_num" and r["distance_alarm"]}
+    assert 12 in far and all(r["distance"] == 0 for r in got if r["field"] == "availability" and r["load_id"] > 0)
+    one = next(r for r in got if r["load_id"] == 12 and r["mean_alarm"])
+    assert abs(one["mean"] - 66) < 1e-9 and abs(one["mean_change"] - 60.5) < 1e-9 and one["n"] == 60
+
+
+def test_distributions_merge(spark):
+    df = spark.createDataFrame([(1, "a", float(x)) for x in (-8, -1, 0, 1, 1.2, 3, float("nan"), float("inf"))] + [(1, None, None)], "p int, g string, x double")
+    make = lambda e: profile.distribution_states(e, "p", "g", "x", {"c": "g"})
+    assert {tuple(map(str, r)) for r in make(df).collect()} == {tuple(map(str, r)) for r in profile.merge_distributions(make(df.where("x < 1")), make(df.where("not coalesce(x < 1, false)"))).collect()}
