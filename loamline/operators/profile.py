@@ -32,6 +32,7 @@ class Suite:
     partition: str
     columns: dict[str, str]  # name -> SQL expression of an orderable value
     checks: tuple[Check, ...]
+    unordered: frozenset[str] = frozenset()  # names of columns that have no range
 
     def broken(self, field: str) -> Column:
         conditions = [F.coalesce(F.expr(c.broken), F.lit(False)) for c in self.checks if c.field == field]
@@ -49,19 +50,20 @@ def states(df: DataFrame, suite: Suite) -> DataFrame:
     """(partition, field, n, nulls, low, high, low_num, high_num, sketch, broken), from a single scan of df.
 
     Numbers have their range in low_num and high_num, all others in low and high, as texts (times so that they compare
-    as texts). Ranges and the sketch leave nulls out. A null partition is a partition of its own.
+    as texts). Ranges and the sketch leave nulls out, ranges NaN too. A null partition is a partition of its own.
     """
     parts: list[Column] = [F.count(F.lit(1)).alias("n")]
     names = list(dict.fromkeys([*suite.columns, *suite.fields]))
     for i, name in enumerate(names):
         if name in suite.columns:
             v = F.expr(suite.columns[name])
-            number = isinstance(df.select(v.alias("v")).schema["v"].dataType, T.NumericType)
+            of = df.select(v.alias("v")).schema["v"].dataType
+            number = isinstance(of, T.NumericType)
+            ranged = F.when(~F.isnan(v), v) if isinstance(of, (T.FloatType, T.DoubleType)) else v
             tail, kind = ("_num", "double") if number else ("", "string")
             parts += [
                 F.count(F.when(v.isNull(), 1)).alias(f"nulls{i}"),
-                F.min(v.cast(kind)).alias(f"low{tail}{i}"),
-                F.max(v.cast(kind)).alias(f"high{tail}{i}"),
+                *([] if name in suite.unordered else [F.min(ranged.cast(kind)).alias(f"low{tail}{i}"), F.max(ranged.cast(kind)).alias(f"high{tail}{i}")]),
                 F.hll_sketch_agg(F.coalesce(v.cast("string"), F.lit(None).cast("string"))).alias(f"sketch{i}"),
             ]
         if name in suite.fields:
@@ -255,7 +257,8 @@ def evidence_suite() -> Suite:
     """The contract of the evidence table.
 
     A null or empty identifier breaks its pattern. value is judged only where availability is one of the three valid
-    words; NaN counts as present.
+    words; NaN counts as present. value is null where it holds neither number nor text; structs and lists as wholes have
+    no range, their fields and sizes do.
     """
     pairs = ", ".join(f"'{s}:{t}'" for s, types in REGISTRY.items() for t in types.split())
     registered = f"coalesce(concat(source, ':', evidence_type) in ({pairs}), false)"
@@ -283,9 +286,10 @@ def evidence_suite() -> Suite:
         Check("value", f"{valid} and {present} and {registered} and not ({typed_ok})"),
     )
     plain = "evidence_id schema_version repo_id snapshot component_id source evidence_type unit availability as_of extraction_method"
-    columns = {c: c for c in plain.split()} | {
-        "value": "coalesce(value.str, cast(value.num as string))",
-        "time_window": "time_window.start_ts",
-        "provenance": "provenance.note",
-    }
-    return Suite("load_id", columns, checks)
+    json = lambda c: f"case when {c} is not null then to_json({c}) end"
+    lists = ("provenance.commits", "provenance.files", "provenance.trace_ids")
+    fields = ("value.num", "value.str", "value.kind", "time_window.start_ts", "time_window.end_ts", "provenance.note")
+    unordered = {"value": "coalesce(value.str, cast(value.num as string))"} | {c: json(c) for c in ("time_window", "provenance", *lists)}
+    sizes = {f"{c}.size": f"case when {c} is not null then size({c}) end" for c in lists}
+    columns = {c: c for c in (*plain.split(), *fields)} | unordered | sizes
+    return Suite("load_id", columns, checks, frozenset(unordered))

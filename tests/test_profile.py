@@ -90,3 +90,16 @@ def test_distributions_merge(spark):
     df = spark.createDataFrame([(1, "a", float(x)) for x in (-8, -1, 0, 1, 1.2, 3, float("nan"), float("inf"))] + [(1, None, None)], "p int, g string, x double")
     make = lambda e: profile.distribution_states(e, "p", "g", "x", {"c": "g"})
     assert {tuple(map(str, r)) for r in make(df).collect()} == {tuple(map(str, r)) for r in profile.merge_distributions(make(df.where("x < 1")), make(df.where("not coalesce(x < 1, false)"))).collect()}
+
+
+def test_every_field_has_its_entry(spark, tmp_path):
+    num = lambda n, s=None: {"num": n, "str": s, "kind": "x"}
+    values = [num(9.0), num(10.0), num(float("nan")), num(None, "TEST"), num(-2.0), None]
+    rows = [GOOD | {"evidence_id": f"e{i}", "value": v, "time_window": {"start_ts": at(1), "end_ts": at(i) if i < 2 else None}} for i, v in enumerate(values)]
+    rows[0]["provenance"] = {"commits": ["a", "b"], "files": None, "trace_ids": [], "note": None}
+    got = {r["field"]: r for r in R.queries["p7_profile"](spark, write(tmp_path, "evidence", rows)).collect()}
+    assert (float(got["value.num"]["low"]), float(got["value.num"]["high"])) == (-2.0, 10.0) and got["value.num"]["null_rate"] == 2 / 6
+    assert (got["value.str"]["low"], got["value.str"]["high"], got["value"]["high"]) == ("TEST", "TEST", None) and got["value"]["null_rate"] == 1 / 6
+    assert got["time_window.end_ts"]["null_rate"] == 4 / 6 and got["time_window.end_ts"]["distinct"] == 2
+    assert got["provenance.commits"]["distinct"] == 1 and float(got["provenance.commits.size"]["high"]) == 2 and got["provenance.files"]["null_rate"] == 1
+    assert float(got["provenance.trace_ids.size"]["low"]) == 0 and got["provenance.trace_ids"]["null_rate"] == 5 / 6
