@@ -191,6 +191,14 @@ def candidates(word: str) -> tuple[list[int], list[int], list[str]]:
     return chains, which, list(seen)
 
 
+def _once(chains: list[int], which: list[int], originals: list[str]) -> tuple[list[int], list[int], list[str]]:
+    """Of chains with equal originals only the first, so that its weight isn't split among look-alikes."""
+    first: dict[int, int] = {}
+    for c, o in zip(chains, which, strict=True):
+        first.setdefault(o, c)
+    return list(first.values()), list(first), originals
+
+
 def words_of(text: str) -> Iterator[tuple[int, int]]:
     """Places of the text's words beyond ASCII: cut at blanks, after wide punctuation, and every WORD_CHARS characters."""
     if text.isascii():
@@ -309,7 +317,7 @@ def word_table(documents: DataFrame) -> DataFrame:
             last = None
             found: list[tuple[list[int], list[int], list[str]]] = []
             for w in b.column(1).to_pylist():
-                found.append(found[-1] if w == last else candidates(w))
+                found.append(found[-1] if w == last else _once(*candidates(w)))
                 last = w
             kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(
