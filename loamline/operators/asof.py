@@ -109,7 +109,7 @@ def stab(events: DataFrame, intervals: DataFrame, hot: DataFrame, time: str, sta
 def evidence_asof_cases(cases: DataFrame, evidence: DataFrame, loads: DataFrame, types: Sequence[str]) -> DataFrame:
     """(case_id, evidence_type, evidence_id, load_id): for each case and type the evidence known at the case's cutoff.
 
-    Evidence counts with availability AVAILABLE, a value.num that is neither null nor NaN, as_of and its load's
+    Evidence counts with availability AVAILABLE, a value.num that isn't null (NaN isn't), as_of and its load's
     loaded_at not after the case's as_of, and a snapshot other than the case's commit. Precedence: taken at the parent
     commit, latest as_of, largest load_id, smallest evidence_id. Cases with a null as_of, repo_id or target give no
     row; repeated rows count once; a null parent_sha has no precedence and a null commit_sha rules nothing out.
@@ -129,7 +129,7 @@ def evidence_asof_cases(cases: DataFrame, evidence: DataFrame, loads: DataFrame,
     )
     e = (
         evidence.where(F.col("evidence_type").isin(*types))
-        .where("availability = 'AVAILABLE' and value.num is not null and not isnan(value.num) and as_of is not null and snapshot is not null")
+        .where("availability = 'AVAILABLE' and value.num is not null and as_of is not null and snapshot is not null")
         .join(loads.where("loaded_at is not null").select("load_id", "loaded_at").distinct(), "load_id")
         .select(
             "repo_id",

@@ -94,7 +94,7 @@ with c as (select distinct case_id, repo_id, target_component_id, as_of, parent_
 e as (select distinct e.repo_id, component_id, evidence_type, evidence_id, e.load_id, snapshot, as_of, loaded_at
   from evidence e join loads l on e.load_id = l.load_id
   where evidence_type in ('total_churn', 'unique_contributors', 'config_reference_count') and availability = 'AVAILABLE'
-    and value.num is not null and not isnan(value.num))
+    and value.num is not null)
 select case_id, evidence_type, evidence_id, load_id from (
   select case_id, evidence_type, evidence_id, load_id,
     row_number() over (partition by case_id, evidence_type

@@ -58,6 +58,15 @@ def test_hot_entities_in_pieces(spark, tmp_path, monkeypatch, seed):
     assert compare(spark, d, R.queries["p4_found"], R.sql["p4_found"]) == ""
 
 
+def test_nan_is_a_value_and_wins(spark, tmp_path):
+    shared = {"repo_id": "r/a", "component_id": "p.A", "snapshot": "1" * 40, "evidence_type": "total_churn", "availability": "AVAILABLE", "load_id": 1}
+    nan, one = {"num": float("nan"), "str": None, "kind": "f"}, {"num": 1.0, "str": None, "kind": "i"}
+    write(tmp_path, "evidence", [shared | {"evidence_id": "early", "value": one, "as_of": at(1)}, shared | {"evidence_id": "late", "value": nan, "as_of": at(2)}])
+    write(tmp_path, "cases", [{"case_id": "c", "repo_id": "r/a", "target_component_id": "p.A", "as_of": at(9), "commit_sha": "2" * 40}])
+    d = write(tmp_path, "loads", [{"load_id": 1, "loaded_at": at(3)}])
+    assert [tuple(r) for r in R.queries["p4_found"](spark, d).collect()] == [("c", "total_churn", "late", 1)]
+
+
 def test_empty_tables(spark, tmp_path):
     for empty in ("cases", "evidence", "loads"):
         d = tables(tmp_path, 1, 20, 40)
