@@ -1,8 +1,8 @@
 """Column-level quality profile: declared constraints, one shared aggregate scan, mergeable states per load.
 
 A suite names the columns to profile and the constraints on them as SQL conditions that hold for a *broken* row. It is
-compiled into one aggregation over the partition key: rows, nulls, range, a distinct sketch and broken rows per
-column, all in one pass. The resulting states merge, so a new load adds its own states and touches no old ones.
+compiled into one aggregation over the partition key: rows, nulls, range, moments, a distinct sketch and broken rows
+per column, all in one pass. The resulting states merge, so a new load adds its own states and touches no old ones.
 """
 
 from collections.abc import Sequence
@@ -15,10 +15,6 @@ from pyspark.sql import types as T
 from loamline.plans.storage import cut
 
 
-#: Partitions with broken rows up to which their list is sent to all tasks; beyond, it is joined like any table.
-SENT_PARTITIONS = 10_000
-
-
 @dataclass(frozen=True)
 class Check:
     """field: the column it is reported under; broken: SQL condition, where null counts as kept."""
@@ -46,11 +42,19 @@ class Suite:
         return list(dict.fromkeys(c.field for c in self.checks))
 
 
+#: What a state holds besides n: columns and their types; all but sketch are sums, low and low_num least, high and high_num greatest values.
+STATE = {
+    "nulls": "bigint", "low": "string", "high": "string", "low_num": "double", "high_num": "double", "finite": "bigint", "total": "double", "squares": "double",
+    "sketch": "binary", "broken": "bigint",
+}
+
+
 def states(df: DataFrame, suite: Suite) -> DataFrame:
-    """(partition, field, n, nulls, low, high, low_num, high_num, sketch, broken), from a single scan of df.
+    """(partition, field, n, *STATE), from a single scan of df.
 
-    Numbers have their range in low_num and high_num, all others in low and high, as texts (times so that they compare
-    as texts). Ranges and the sketch leave nulls out, ranges NaN too. A null partition is a partition of its own.
+    Numbers have their range in low_num and high_num and the count, sum and sum of squares of the finite ones in finite,
+    total and squares; all others have a range in low and high, as texts (times so that they compare as texts). Ranges
+    and the sketch leave nulls out, ranges NaN too. A null partition is a partition of its own.
     """
     parts: list[Column] = [F.count(F.lit(1)).alias("n")]
     names = list(dict.fromkeys([*suite.columns, *suite.fields]))
@@ -66,16 +70,19 @@ def states(df: DataFrame, suite: Suite) -> DataFrame:
                 *([] if name in suite.unordered else [F.min(ranged.cast(kind)).alias(f"low{tail}{i}"), F.max(ranged.cast(kind)).alias(f"high{tail}{i}")]),
                 F.hll_sketch_agg(F.coalesce(v.cast("string"), F.lit(None).cast("string"))).alias(f"sketch{i}"),
             ]
+            if number:
+                x = v.cast("double")
+                x = F.when(F.abs(x) < float("inf"), x)  # NaN is above infinity
+                parts += [F.count(x).alias(f"finite{i}"), F.sum(x).alias(f"total{i}"), F.sum(x * x).alias(f"squares{i}")]
         if name in suite.fields:
             parts.append(F.count(F.when(suite.broken(name), 1)).alias(f"broken{i}"))
     wide = df.groupBy(F.col(suite.partition).alias("partition")).agg(*parts)
-    nothing = {"nulls": "bigint", "low": "string", "high": "string", "low_num": "double", "high_num": "double", "sketch": "binary", "broken": "bigint"}
     made = set(wide.columns)
     rows = [
-        F.struct(F.lit(name).alias("field"), *[(F.col(f"{k}{i}") if f"{k}{i}" in made else F.lit(None)).cast(t).alias(k) for k, t in nothing.items()])
+        F.struct(F.lit(name).alias("field"), *[(F.col(f"{k}{i}") if f"{k}{i}" in made else F.lit(None)).cast(t).alias(k) for k, t in STATE.items()])
         for i, name in enumerate(names)
     ]
-    return wide.select("partition", "n", F.explode(F.array(*rows)).alias("_s")).select("partition", F.col("_s.field").alias("field"), "n", *[f"_s.{k}" for k in nothing])
+    return wide.select("partition", "n", F.explode(F.array(*rows)).alias("_s")).select("partition", F.col("_s.field").alias("field"), "n", *[f"_s.{k}" for k in STATE])
 
 
 def merge_states(*tables: DataFrame) -> DataFrame:
@@ -83,61 +90,48 @@ def merge_states(*tables: DataFrame) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return out.groupBy("partition", "field").agg(
-        F.sum("n").alias("n"),
-        F.sum("nulls").alias("nulls"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.min("low_num").alias("low_num"),
-        F.max("high_num").alias("high_num"),
-        F.hll_union_agg("sketch").alias("sketch"),
-        F.sum("broken").alias("broken"),
-    )
+    merge = {"low": F.min, "low_num": F.min, "high": F.max, "high_num": F.max, "sketch": F.hll_union_agg}
+    return out.groupBy("partition", "field").agg(F.sum("n").alias("n"), *[merge.get(k, F.sum)(k).alias(k) for k in STATE])
+
+
+#: Metrics held against control limits, with the deviation that is always allowed: absolute, and as a part of the usual value.
+LIMITS = {
+    "n": (0.0, 0.001), "null_rate": (0.001, 0.0), "broken_rate": (0.001, 0.0), "distinct": (0.0, 0.02), "mean": (0.0, 0.001), "low_num": (0.0, 0.001), "high_num": (0.0, 0.001),
+}
 
 
 def profile(st: DataFrame, sigmas: float = 3.0, least_history: int = 8) -> DataFrame:
-    """Metrics of each (partition, field) with control-limit alarms against the earlier partitions.
+    """Metrics of each (partition, field) with their change since the partition before and control-limit alarms.
 
-    null_rate and broken_rate are null where the field has none of that kind. A rate is out of control if it lies more
-    than `sigmas` deviations (0.001 at least) from the mean over all earlier partitions, of which `least_history` must
-    exist. distinct is an estimate from the sketch.
+    A metric is null where the field has none of that kind. It is out of control if it lies more than `sigmas`
+    deviations from the mean over all earlier partitions that have it, of which `least_history` must exist; LIMITS
+    gives the least deviation. distinct is an estimate from the sketch. A null partition comes first.
     """
-    w = Window.partitionBy("field").orderBy("partition")
+    w = Window.partitionBy("field").orderBy("partition")  # a row per partition and field
     before = w.rowsBetween(Window.unboundedPreceding, -1)
+    mean = F.col("total") / F.nullif(F.col("finite"), F.lit(0))
     out = st.select(
         "partition",
         "field",
         "n",
         (F.col("nulls") / F.col("n")).alias("null_rate"),
         F.hll_sketch_estimate("sketch").alias("distinct"),
-        F.coalesce("low", F.col("low_num").cast("string")).alias("low"),
-        F.coalesce("high", F.col("high_num").cast("string")).alias("high"),
+        "low",
+        "high",
+        "low_num",
+        "high_num",
+        mean.alias("mean"),
+        F.when(mean.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("finite") - mean * mean))).alias("deviation"),
         "broken",
         (F.col("broken") / F.col("n")).alias("broken_rate"),
     )
-    for m in ("null_rate", "broken_rate"):
-        off = F.abs(F.col(m) - F.avg(m).over(before)) > F.lit(sigmas) * F.greatest(F.stddev_samp(m).over(before), F.lit(0.001))
-        out = out.withColumn(f"{m}_alarm", F.coalesce((F.count(m).over(before) >= least_history) & off, F.lit(False)))
-    out = out.withColumn("null_rate_change", F.col("null_rate") - F.lag("null_rate").over(w))
-    return out.withColumn("broken_rate_change", F.col("broken_rate") - F.lag("broken_rate").over(w))
-
-
-def category_shares(df: DataFrame, partition: str, column: str) -> DataFrame:
-    """Shares of a column's values per partition, and the total variation distance to the partition before.
-
-    (partition, distance): half the sum of absolute differences of shares; null for the first partition. Null is a
-    value like any other. The column should have few values; each (partition, value) is one row.
-    """
-    counts = df.groupBy(F.col(partition).alias("partition"), F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-    share = counts.withColumn("_share", F.col("_n") / F.sum("_n").over(Window.partitionBy("partition")))
-    w = Window.orderBy("partition")
-    order = counts.select("partition").distinct().select("partition", F.lead("partition").over(w).alias("_next"), F.lag("partition").over(w).alias("_last"))
-    earlier = share.join(order, "partition").where("_next is not null").select(F.col("_next").alias("partition"), "_value", F.col("_share").alias("_earlier"))
-    both = share.alias("a").join(earlier.alias("b"), F.expr("a.partition = b.partition and a._value <=> b._value"), "full")
-    d = both.groupBy(F.expr("coalesce(a.partition, b.partition)").alias("partition")).agg(
-        (F.sum(F.abs(F.coalesce("_share", F.lit(0.0)) - F.coalesce("_earlier", F.lit(0.0)))) / 2).alias("distance")
-    )
-    return d.join(order, "partition").select("partition", F.when(F.col("_last").isNotNull(), F.col("distance")).alias("distance"))
+    made = {}
+    for m, (least, part) in LIMITS.items():
+        usual = F.avg(m).over(before)
+        far = F.abs(F.col(m) - usual) > sigmas * F.greatest(F.stddev_samp(m).over(before), F.lit(least), F.abs(usual) * part)
+        made[f"{m}_alarm"] = F.coalesce((F.count(m).over(before) >= least_history) & far, F.lit(False))
+        made[f"{m}_change"] = F.col(m) - F.lag(m).over(w)
+    return out.withColumns(made)
 
 
 #: Parts of a doubling that a bin of numbers spans.
@@ -209,7 +203,7 @@ def drift(st: DataFrame, number: str, sigmas: float = 3.0, least_history: int =
 
     out = whole.join(gaps, ["_p", "_key"]).withColumn("distance", F.when(F.col("_n_before").isNotNull(), F.col("_distance")))
     out = out.withColumn("mean", F.col("_total") / F.expr("nullif(_finite, 0)"))
-    out = out.withColumn("deviation", F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") / F.expr("nullif(_finite, 0)") - F.col("mean") * F.col("mean"))))
+    out = out.withColumn("deviation", F.when(F.col("mean").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") / F.col("_finite") - F.col("mean") * F.col("mean")))))
     seen = F.sum("_finite").over(before)
     pooled = F.greatest(F.lit(0.0), F.sum("_squares").over(before) / F.nullif(seen, F.lit(0)) - F.pow(F.sum("_total").over(before) / F.nullif(seen, F.lit(0)), 2))
     usual = F.avg("mean").over(before)
@@ -222,24 +216,28 @@ def drift(st: DataFrame, number: str, sigmas: float = 3.0, least_history: int =
     return out.select("partition", "group", "field", "n", "mean", "deviation", "mean_change", "mean_alarm", "distance", "distance_alarm")
 
 
-def violations(df: DataFrame, suite: Suite, ids: Sequence[str], st: DataFrame | None = None) -> DataFrame:
-    """(*ids, field), one row per row of df and field that breaks a constraint, repeats once.
+def broken_states(df: DataFrame, suite: Suite, ids: Sequence[str]) -> DataFrame:
+    """(partition, fields, row, n), from a single scan of df: the counts of rows by what is broken in them.
 
-    With states, only partitions and fields whose counts of broken rows aren't zero are visited.
+    fields are the names of the fields whose constraints a row breaks. row holds the row's ids where there are any, else
+    null, so that all sound rows of a partition are one state, combined within each task of the scan. Sums of equal
+    keys merge.
     """
-    flags = F.array(*[F.when(suite.broken(f), F.lit(f)) for f in suite.fields])
-    if st is not None:
-        where = st.where("broken > 0").groupBy(F.col("partition").alias("_loamline_part")).agg(F.collect_set("field").alias("_loamline_fields"))
-        where = cut(where, "broken")
-        if where.limit(SENT_PARTITIONS + 1).count() <= SENT_PARTITIONS:
-            where = F.broadcast(where)
-        df = df.join(where, F.col(suite.partition).eqNullSafe(F.col("_loamline_part")))
-    named = F.explode(F.array_compact(flags)).alias("_loamline_field")
-    out = df.select(*ids, named, *(["_loamline_fields"] if st is not None else []))
-    if st is not None:
-        out = out.where(F.array_contains("_loamline_fields", F.col("_loamline_field"))).drop("_loamline_fields")
-    out = out.withColumnRenamed("_loamline_field", "field")
-    return out.distinct()
+    fields = F.array_compact(F.array(*[F.when(suite.broken(f), F.lit(f)) for f in suite.fields]))
+    d = df.select(F.col(suite.partition).alias("partition"), fields.alias("fields"), F.struct(*ids).alias("row"))
+    return d.groupBy("partition", "fields", F.when(F.size("fields") > 0, F.col("row")).alias("row")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def broken_counts(st: DataFrame, suite: Suite) -> DataFrame:
+    """(partition, field, n, broken) of every field with constraints, from broken states."""
+    counts = [F.struct(F.lit(f).alias("field"), F.when(F.array_contains("fields", f), F.col("n")).otherwise(0).alias("broken")) for f in suite.fields]
+    each = st.select("partition", "n", F.explode(F.array(*counts)).alias("_c"))
+    return each.groupBy("partition", "_c.field").agg(F.sum("n").alias("n"), F.sum("_c.broken").alias("broken"))
+
+
+def violations(st: DataFrame) -> DataFrame:
+    """(*ids, field) from broken states: one row per row and field that breaks a constraint, repeats once."""
+    return st.where("row is not null").select("row.*", F.explode("fields").alias("field")).distinct()
 
 
 #: Which evidence types each source may report.

@@ -1,7 +1,5 @@
 """Queries of the general operators: skew, as-of, features, rolling totals, quality profile."""
 
-import dataclasses
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,8 +219,7 @@ _P7_FIELDS = (("repo_id", "b_repo"), ("component_id", "b_comp"), ("snapshot", "b
 @R.add("p7_found", _P7 + " union ".join(f"select evidence_id, load_id, '{f}' as field from b where {c}" for f, c in _P7_FIELDS))
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Evidence rows and the fields in which they break the contract."""
-    e, suite = table(spark, d, "evidence"), dataclasses.replace(profile.evidence_suite(), columns={})  # only counts of broken rows are read
-    return profile.violations(e, suite, ["evidence_id", "load_id"], profile.states(e, suite))
+    return profile.violations(profile.broken_states(table(spark, d, "evidence"), profile.evidence_suite(), ["evidence_id", "load_id"]))
 
 
 @R.add(
@@ -233,15 +230,59 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_states(spark: SparkSession, d: str) -> DataFrame:
     """Rows and broken rows of each load and constrained field, merged from the states of two halves of the loads."""
     e, suite = table(spark, d, "evidence"), profile.evidence_suite()
-    old, new = (profile.states(e.where(c), suite) for c in ("load_id < 70", "load_id >= 70"))
-    merged = profile.merge_states(old, new)
-    return merged.where("broken is not null").select(F.col("partition").alias("load_id"), "field", "n", "broken")
+    late = F.coalesce(F.col("load_id") >= 70, F.lit(False))
+    halves = (profile.broken_counts(profile.broken_states(e.where(c), suite, ["evidence_id", "load_id"]), suite) for c in (~late, late))
+    old, new = (h.withColumns({k: F.lit(None).cast(t) for k, t in profile.STATE.items() if k != "broken"}) for h in halves)
+    return profile.merge_states(old, new).select(F.col("partition").alias("load_id"), "field", "n", "broken")
+
+
+_P7_LISTS = ("commits", "files", "trace_ids")
+_P7_NUMBERS = {"value.num": "value.num"} | {f"provenance.{c}.size": f"len(provenance.{c})" for c in _P7_LISTS}
+_P7_TEXTS = {
+    c: c for c in "evidence_id schema_version repo_id snapshot component_id source evidence_type unit availability extraction_method value.str value.kind provenance.note".split()
+}
+_P7_TIMES = {c: f"strftime({c}, '%Y-%m-%d %H:%M:%S') || case when epoch_us({c}) % 1000000 <> 0 then rtrim(strftime({c}, '.%f'), '0') else '' end" for c in ("as_of", "time_window.start_ts", "time_window.end_ts")}
+_P7_WHOLE = {"value": "coalesce(value.str, value.num::varchar)", "time_window": "time_window", "provenance": "provenance"} | {f"provenance.{c}": f"provenance.{c}" for c in _P7_LISTS}
+_P7_ENTRIES = [
+    *[(f, v, f"{v}::varchar", "null") for f, v in (_P7_TEXTS | _P7_TIMES).items()],
+    *[(f, v, "null", f"{v}::double") for f, v in _P7_NUMBERS.items()],
+    *[(f, v, "null", "null") for f, v in _P7_WHOLE.items()],
+]
+_P7_LIMITS = {m: x for m, x in profile.LIMITS.items() if m != "distinct"}
+
+
+def _limit_sql(m: str, least: float, part: float) -> str:
+    usual = f"avg({m}) over w"
+    far = f"abs({m} - {usual}) > 3 * greatest(coalesce(stddev_samp({m}) over w, 0), {least}, abs({usual}) * {part})"
+    return f"coalesce(count({m}) over w >= 8 and {far}, false) as {m}_alarm, {m} - lag({m}) over (partition by field order by load_id nulls first) as {m}_change"
 
 
-@R.add("p7_profile")
+@R.add(
+    "p7_profile",
+    _P7
+    + ", k as ("
+    + " union all ".join(f"select load_id, '{f}' as field, count(*) filter (where {c}) as broken from b group by 1" for f, c in _P7_FIELDS)
+    + "), v as ("
+    + " union all ".join(f"select load_id, '{f}' as field, ({v}) is null as void, {t} as t, {x} as x from evidence" for f, v, t, x in _P7_ENTRIES)
+    + """), s as (select load_id, field, count(*) as n, avg(void::integer) as null_rate, min(t) as low, max(t) as high,
+    min(x) filter (where not isnan(x)) as low_num, max(x) filter (where not isnan(x)) as high_num, avg(x) filter (where isfinite(x)) as mean,
+    stddev_pop(x) filter (where isfinite(x)) as deviation from v group by 1, 2),
+p as (select s.*, broken, broken / n as broken_rate from s left join k on s.load_id is not distinct from k.load_id and s.field = k.field)
+select *, """
+    + ", ".join(_limit_sql(m, *x) for m, x in _P7_LIMITS.items())
+    + " from p window w as (partition by field order by load_id nulls first rows between unbounded preceding and 1 preceding)",
+)
 def p7_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Every column's rates, range and distinct count by load, with control-limit alarms. Distinct counts are estimates, so no SQL."""
-    return profile.profile(profile.states(table(spark, d, "evidence"), profile.evidence_suite()))
+    """Every column's rates, range and moments by load, with changes and control-limit alarms; p7_distincts has the distinct counts."""
+    out = profile.profile(profile.states(table(spark, d, "evidence"), profile.evidence_suite()))
+    return out.withColumnRenamed("partition", "load_id").drop("distinct", "distinct_alarm", "distinct_change")
+
+
+@R.add("p7_distincts")
+def p7_distincts(spark: SparkSession, d: str) -> DataFrame:
+    """Every column's distinct count by load with its alarm: estimates, so no SQL; a test bounds their error."""
+    out = profile.profile(profile.states(table(spark, d, "evidence"), profile.evidence_suite()))
+    return out.select(F.col("partition").alias("load_id"), "field", "distinct", "distinct_change", "distinct_alarm")
 
 
 @R.add("p7_value_drift")
@@ -257,16 +298,16 @@ def p7_value_drift(spark: SparkSession, d: str) -> DataFrame:
     "p7_availability_drift",
     """
 with n as (select load_id, availability as v, count(*) as n from evidence group by 1, 2),
-s as (select load_id, v, n / sum(n) over (partition by load_id) as share from n),
-o as (select load_id, lag(load_id) over (order by load_id) as earlier from (select distinct load_id from n)),
-p as (select o.load_id, s.v, s.share from o join s on s.load_id = o.earlier)
-select o.load_id, round(case when o.earlier is not null then
-    (select sum(abs(coalesce(s.share, 0) - coalesce(p.share, 0))) / 2 from (select * from s where s.load_id = o.load_id) s
-     full join (select * from p where p.load_id = o.load_id) p on s.v is not distinct from p.v) end, 6) as distance
-from o
+o as (select load_id, row_number() over (order by load_id nulls first) as i from (select distinct load_id from n)),
+s as (select i, v, n / sum(n) over (partition by i) as share from n join o on n.load_id is not distinct from o.load_id),
+g as (select i, v, share from s union all select i + 1, v, -share from s),
+x as (select i, v, abs(sum(share)) as gap from g group by 1, 2),
+t as (select i, sum(gap) / 2 as distance from x group by 1)
+select o.load_id, round(case when o.i > 1 then t.distance end, 6) as distance from o join t using (i)
 """,
 )
 def p7_availability_drift(spark: SparkSession, d: str) -> DataFrame:
     """How far the mix of availability words in a load is from the load before."""
-    c = profile.category_shares(table(spark, d, "evidence"), "load_id", "availability")
-    return c.select(F.col("partition").alias("load_id"), F.round("distance", 6).alias("distance"))
+    st = profile.distribution_states(table(spark, d, "evidence"), "load_id", "null", "cast(null as double)", {"availability": "availability"})
+    out = profile.drift(st, "none").where("field = 'availability'")
+    return out.select(F.col("partition").alias("load_id"), F.round("distance", 6).alias("distance"))

@@ -45,11 +45,12 @@ def test_violations(spark, tmp_path):
 def test_clashing_columns_and_empty(spark, tmp_path):
     d = write(tmp_path, "evidence", variants())
     e, suite = spark.read.parquet(f"{d}/evidence.parquet"), profile.evidence_suite()
-    plain = {tuple(r) for r in profile.violations(e, suite, ["evidence_id", "load_id"]).collect()}
+    found = lambda df: profile.violations(profile.broken_states(df, suite, ["evidence_id", "load_id"]))
+    plain = {tuple(r) for r in found(e).collect()}
     more = e.withColumn("partition", F.lit(1)).withColumn("field", F.lit("x")).withColumn("n", F.lit(0))
-    assert {tuple(r) for r in profile.violations(more, suite, ["evidence_id", "load_id"], profile.states(more, suite)).collect()} == plain
+    assert {tuple(r) for r in found(more).collect()} == plain
     none = e.where("false")
-    assert profile.violations(none, suite, ["evidence_id"], profile.states(none, suite)).count() == 0
+    assert found(none).count() == 0
 
 
 def test_states_merge(spark):
@@ -68,9 +69,25 @@ def test_alarms(spark):
     assert [r["partition"] for r in prof.where("null_rate_alarm").collect()] == [15]
 
 
-def test_drift(spark):
-    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a"), (3, None)], "p int, v string")
-    assert {r["partition"]: r["distance"] for r in profile.category_shares(df, "p", "v").collect()} == {1: None, 2: 0.5, 3: 1.0}
+def test_alarms_of_counts_ranges_and_means(spark):
+    suite = profile.Suite("p", {"x": "x"}, ())
+    rows = [(p, float(i % 10 + (90 if p == 12 and i == 0 else 0))) for p in range(16) for i in range(300 if p == 14 else 100 + p % 2)]
+    got = {r["partition"]: r for r in profile.profile(profile.states(spark.createDataFrame(rows, "p int, x double"), suite)).collect()}
+    assert [p for p, r in got.items() if r["n_alarm"]] == [14] and got[14]["n_change"] == 199
+    assert [p for p, r in got.items() if r["high_num_alarm"]] == [12] and 12 in [p for p, r in got.items() if r["mean_alarm"]]
+    assert not any(r["low_num_alarm"] or r["distinct_alarm"] for p, r in got.items() if p != 12)
+
+
+def test_distinct_counts_are_close(spark):
+    df = spark.range(40_000).selectExpr("cast(id % 2 as int) as p", "id % 9000 as x", "id % 3 as y")
+    got = {(r["partition"], r["field"]): r["distinct"] for r in profile.profile(profile.states(df, profile.Suite("p", {"x": "x", "y": "y"}, ()))).collect()}
+    assert all(abs(got[p, "x"] - 4500) < 0.05 * 4500 and got[p, "y"] == 3 for p in (0, 1))
+
+
+def test_profile_sql(spark, tmp_path):
+    d = write(tmp_path, "evidence", [r | {"load_id": r["load_id"] if i % 5 else None} for i, r in enumerate(variants() * 2)])
+    for q in ("p7_profile", "p7_states", "p7_availability_drift"):
+        assert compare(spark, d, R.queries[q], R.sql[q]) == "", q
 
 
 def test_value_drift(spark, tmp_path):
@@ -98,8 +115,9 @@ def test_every_field_has_its_entry(spark, tmp_path):
     rows = [GOOD | {"evidence_id": f"e{i}", "value": v, "time_window": {"start_ts": at(1), "end_ts": at(i) if i < 2 else None}} for i, v in enumerate(values)]
     rows[0]["provenance"] = {"commits": ["a", "b"], "files": None, "trace_ids": [], "note": None}
     got = {r["field"]: r for r in R.queries["p7_profile"](spark, write(tmp_path, "evidence", rows)).collect()}
-    assert (float(got["value.num"]["low"]), float(got["value.num"]["high"])) == (-2.0, 10.0) and got["value.num"]["null_rate"] == 2 / 6
+    assert (got["value.num"]["low_num"], got["value.num"]["high_num"], got["value.num"]["mean"]) == (-2.0, 10.0, 17 / 3) and got["value.num"]["null_rate"] == 2 / 6
     assert (got["value.str"]["low"], got["value.str"]["high"], got["value"]["high"]) == ("TEST", "TEST", None) and got["value"]["null_rate"] == 1 / 6
-    assert got["time_window.end_ts"]["null_rate"] == 4 / 6 and got["time_window.end_ts"]["distinct"] == 2
-    assert got["provenance.commits"]["distinct"] == 1 and float(got["provenance.commits.size"]["high"]) == 2 and got["provenance.files"]["null_rate"] == 1
-    assert float(got["provenance.trace_ids.size"]["low"]) == 0 and got["provenance.trace_ids"]["null_rate"] == 5 / 6
+    assert got["time_window.end_ts"]["null_rate"] == 4 / 6
+    counts = {r["field"]: r["distinct"] for r in R.queries["p7_distincts"](spark, str(tmp_path)).collect()}
+    assert counts["time_window.end_ts"] == 2 and counts["provenance.commits"] == 1 and got["provenance.commits.size"]["high_num"] == 2 and got["provenance.files"]["null_rate"] == 1
+    assert got["provenance.trace_ids.size"]["low_num"] == 0 and got["provenance.trace_ids"]["null_rate"] == 5 / 6
