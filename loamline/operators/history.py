@@ -15,14 +15,15 @@ DAY = 86_400_000_000
 PIECE = 2**41
 
 
-def running_before(rows: DataFrame, keys: Sequence[str], time: str, sums: Sequence[str], latest: Sequence[str] = ()) -> DataFrame:
+def running_before(rows: DataFrame, keys: Sequence[str], time: str, sums: Sequence[str], latest: Sequence[str] = (), piece: int = PIECE) -> DataFrame:
     """Adds before_<c>: the sum (or for `latest` the maximum) of c over rows of the same keys with a strictly smaller time.
 
-    Without such rows a sum is 0 and a maximum null. Rows of equal time don't see each other. Times are whole numbers.
+    Without such rows a sum is 0 and a maximum null. Rows of equal time don't see each other. Times are whole numbers;
+    piece is how many of them one window spans.
     """
     keys = list(keys)
     total: dict[str, Column] = {c: F.sum(c) for c in sums} | {c: F.max(c) for c in latest}
-    r = rows.withColumn("_piece", F.floor(F.col(time) / F.lit(PIECE)))
+    r = rows.withColumn("_piece", F.floor(F.col(time) / F.lit(piece)))
     inside = Window.partitionBy(*keys, "_piece").orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = r.groupBy(*keys, "_piece").agg(*[f.alias(c) for c, f in total.items()])

@@ -1,16 +1,24 @@
 """Rolling totals over trailing periods, days without activity included.
 
-Time is cut into shards of SHARD days. For each entity and shard, one row keeps a segment tree: an array whose element
-i is the sum of elements 2i and 2i + 1, with the days as leaves. A range sum adds a few nodes; a late correction adds
-its amount to the leaf's ancestors only.
+Time is cut into shards of SHARD days. For each entity and shard, one row keeps a segment tree of counts and sums:
+element i covers elements 2i and 2i + 1, with the days as leaves. A range adds a few nodes; a late correction adds its
+amounts to the leaf's ancestors only.
 """
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Days per shard, a power of two; trailing periods may be up to this long.
+from loamline.operators.history import running_before
+
+#: Days per shard, a power of two.
 SHARD = 64
 LEVELS = 6
+#: A tree: heap number of a node -> how many records it covers and the sum of their amounts. Empty nodes have no entry.
+TREE = "map<int, struct<n: bigint, total: double>>"
+#: Places in the log whose running maximum one task works out.
+LOG_PIECE = 1 << 16
 
 
 def day_number(ts: str) -> Column:
@@ -18,83 +26,107 @@ def day_number(ts: str) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(86_400_000_000)).cast("int")
 
 
-def _ancestors(leaf: str) -> Column:
-    return F.expr(f"transform(sequence(0, {LEVELS}), k -> shiftright({SHARD} + {leaf}, k))")
+def _keys(entity: str | Sequence[str]) -> list[str]:
+    return [entity] if isinstance(entity, str) else list(entity)
 
 
-def build_trees(daily: DataFrame, entity: str) -> DataFrame:
-    """daily (entity, day, n) -> (entity, shard, tree MAP<node, sum>): only nodes above days with activity are kept.
+def build_trees(daily: DataFrame, entity: str | Sequence[str]) -> DataFrame:
+    """daily (entity, day, n, total) -> (entity, shard, tree): only nodes above days with activity are kept.
 
-    A day that occurs in several rows adds up.
+    A day that occurs in several rows adds up. Without a column total, n is summed. entity may be several columns.
     """
+    keys = _keys(entity)
+    total = F.col("total" if "total" in daily.columns else "n").cast("double")
     nodes = daily.select(
-        entity,
+        *keys,
         F.floor(F.col("day") / F.lit(SHARD)).cast("int").alias("shard"),
         F.col("n").cast("bigint").alias("n"),
-        F.explode(_ancestors(f"pmod(day, {SHARD})")).alias("node"),
+        total.alias("total"),
+        F.explode(F.expr(f"transform(sequence(0, {LEVELS}), k -> shiftright({SHARD} + pmod(day, {SHARD}), k))")).alias("node"),
     )
-    sums = nodes.groupBy(entity, "shard", "node").agg(F.sum("n").alias("n"))
-    return sums.groupBy(entity, "shard").agg(F.map_from_entries(F.collect_list(F.struct("node", "n"))).alias("tree"))
+    sums = nodes.groupBy(*keys, "shard", "node").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    entry = F.struct("node", F.struct("n", "total"))
+    return sums.groupBy(*keys, "shard").agg(F.map_from_entries(F.collect_list(entry)).cast(TREE).alias("tree"))  # at most 2 * SHARD nodes
 
 
-def correct_trees(trees: DataFrame, corrections: DataFrame, entity: str) -> DataFrame:
-    """Apply late corrections (entity, day, n to add, may be negative).
+def correct_trees(trees: DataFrame, corrections: DataFrame, entity: str | Sequence[str]) -> DataFrame:
+    """Apply late corrections (entity, day, n, total to add, may be negative).
 
     Only the shards named in the corrections change, and in them only the ancestors of the corrected days.
     """
+    keys = _keys(entity)
     delta = build_trees(corrections, entity).withColumnRenamed("tree", "_delta")
-    merged = F.expr(
-        "map_zip_with(coalesce(tree, cast(map() as map<int,bigint>)), coalesce(_delta, cast(map() as map<int,bigint>)),"
-        " (k, a, b) -> coalesce(a, 0L) + coalesce(b, 0L))"
-    )
-    return trees.join(delta, [entity, "shard"], "full").select(entity, "shard", merged.alias("tree"))
-
-
-def _range_sum(tree: str, lo: str, hi: str) -> str:
-    """SQL for the sum of leaves lo .. hi - 1 (0 <= lo, hi <= SHARD); an empty range gives 0."""
-    a, b = f"shiftright({lo} + {SHARD} + shiftleft(1, k) - 1, k)", f"shiftright({hi} + {SHARD}, k)"
-    return (
-        f"aggregate(sequence(0, {LEVELS}), 0L, (s, k) -> s"
-        f" + if(({a} & 1) = 1 and {a} < {b}, coalesce({tree}[{a}], 0L), 0L)"
-        f" + if(({b} & 1) = 1 and {a} < {b}, coalesce({tree}[{b} - 1], 0L), 0L))"
-    )
-
-
-def trailing(tree: str, before: str, leaf: str, days: int) -> Column:
-    """Sum over the leaf's day and the days - 1 before it; `before` is the tree of the shard before."""
-    return F.expr(
-        _range_sum(tree, f"greatest({leaf} - {days - 1}, 0)", f"({leaf} + 1)")
-        + " + "
-        + _range_sum(before, f"least({leaf} - {days - 1} + {SHARD}, {SHARD})", f"{SHARD}")
-    )
-
-
-def rolling_totals(daily: DataFrame, entity: str, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
-    """(entity, day, n<p>, mean<p> for each period p) for every day from the entity's first to its last day.
-
-    mean<p> is the total divided by p, quiet days counted as zero. Null entities and null days give no row; an empty
-    table gives an empty one.
+    add = lambda f: f"coalesce(a.{f}, 0) + coalesce(b.{f}, 0)"
+    merged = F.expr(f"map_zip_with(tree, _delta, (k, a, b) -> named_struct('n', {add('n')}, 'total', {add('total')}))").cast(TREE)
+    both = trees.join(delta, [*keys, "shard"], "full")
+    return both.select(*keys, "shard", F.when(F.col("tree").isNotNull() & F.col("_delta").isNotNull(), merged).otherwise(F.coalesce("tree", "_delta")).alias("tree"))
+
+
+def _range(tree: str, lo: str, hi: str) -> str:
+    """SQL for the struct (n, total) of leaves lo .. hi - 1 (0 <= lo, hi <= SHARD): at most two nodes of each level."""
+    a, b = f"shiftright({lo} + {SHARD - 1} + shiftleft(1, k), k)", f"shiftright({hi} + {SHARD}, k)"
+    nodes = f"flatten(transform(sequence(0, {LEVELS}), k -> array(if({a} % 2 = 1 and {a} < {b}, {a}, 0), if({b} % 2 = 1 and {a} < {b}, {b} - 1, 0))))"
+    add = "named_struct('n', s.n + coalesce(t[i].n, 0L), 'total', s.total + coalesce(t[i].total, 0D))".replace("t[", f"{tree}[")
+    return f"aggregate(filter({nodes}, i -> i > 0 and {tree} is not null), named_struct('n', 0L, 'total', 0D), (s, i) -> {add})"
+
+
+def trailing(trees: Sequence[str], leaf: str, days: int) -> Column:
+    """(n, total) over the leaf's day and the days - 1 before it; trees: columns of the shard, the one before it, ..."""
+    parts = []
+    for back, tree in enumerate(trees):
+        if back == 0 or days - 1 > (back - 1) * SHARD:  # else the period never reaches so far back
+            lo = f"least(greatest({leaf} - {days - 1} + {back * SHARD}, 0), {SHARD})"
+            parts.append(F.expr(_range(tree, lo, f"({leaf} + 1)" if back == 0 else f"{SHARD}")))
+    if len(parts) == 1:
+        return parts[0]
+    add = lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), (s["total"] + x["total"]).alias("total"))
+    return F.aggregate(F.array(*parts), F.expr("named_struct('n', 0L, 'total', 0D)"), add)
+
+
+def rolling_totals(daily: DataFrame, entity: str | Sequence[str], periods: Sequence[int] = (7, 30), late: DataFrame | None = None) -> DataFrame:
+    """(entity, day, first_day, n<p>, total<p>, mean<p> for each period p) for every day from the entity's first to its last day.
+
+    n<p> counts records, total<p> sums their amounts, mean<p> is the total divided by p, quiet days counted as zero. Null
+    entities and null days give no row; an empty table gives an empty one. late (entity, day, n, total) corrects the
+    trees of daily. Periods may be of any length: earlier shards are looked up as far back as the longest needs.
     """
-    if max(periods) > SHARD:
-        raise ValueError(f"periods go up to {SHARD} days")
-    daily = daily.where(F.col(entity).isNotNull() & F.col("day").isNotNull())
-    trees = build_trees(daily, entity)
-    span = daily.groupBy(entity).agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
-    shards = span.withColumn("shard", F.explode(F.expr(f"sequence(cast(floor(_first / {SHARD}) as int), cast(floor(_last / {SHARD}) as int))")))
-    full = shards.join(trees, [entity, "shard"], "left")
-    before = trees.select(entity, (F.col("shard") + 1).alias("shard"), F.col("tree").alias("_before"))
-    rows = full.join(before, [entity, "shard"], "left").withColumn(
-        "day", F.explode(F.expr(f"sequence(greatest(_first, shard * {SHARD}), least(_last, shard * {SHARD} + {SHARD - 1}))"))
-    )
+    keys = _keys(entity)
+    known = lambda df: df.where(" and ".join(f"`{k}` is not null" for k in [*keys, "day"]))
+    daily = known(daily)
+    trees = build_trees(daily, keys)
+    days = daily.select(*keys, "day")
+    if late is not None:
+        late = known(late)
+        trees = correct_trees(trees, late, keys)
+        days = days.unionByName(late.select(*keys, "day"))
+    span = days.groupBy(*keys).agg(F.min("day").alias("first_day"), F.max("day").alias("_last"))
+    shards = span.withColumn("shard", F.explode(F.expr(f"sequence(cast(floor(first_day / {SHARD}) as int), cast(floor(_last / {SHARD}) as int))")))
+    back = -(-(max(periods) - 1) // SHARD)
+    by_shard = Window.partitionBy(*keys).orderBy("shard")  # a row per shard, however many records
+    names = ["tree", *(f"_tree{j}" for j in range(1, back + 1))]
+    rows = shards.join(trees, [*keys, "shard"], "left").withColumns({f"_tree{j}": F.lag("tree", j).over(by_shard) for j in range(1, back + 1)})
+    rows = rows.withColumn("day", F.explode(F.expr(f"sequence(greatest(first_day, shard * {SHARD}), least(_last, shard * {SHARD} + {SHARD - 1}))")))
     rows = rows.withColumn("_leaf", F.expr(f"pmod(day, {SHARD})"))
-    out = [entity, "day", "_first"]
-    for p in periods:
-        rows = rows.withColumn(f"n{p}", trailing("tree", "_before", "_leaf", p))
-        out += [f"n{p}", (F.col(f"n{p}") / F.lit(float(p))).alias(f"mean{p}")]
-    return rows.select(*out).withColumnRenamed("_first", "first_day")
+    rows = rows.select(*keys, "day", "first_day", *[trailing(names, "_leaf", p).alias(f"_s{p}") for p in periods])
+    made = [c for p in periods for c in (F.col(f"_s{p}.n").alias(f"n{p}"), F.col(f"_s{p}.total").alias(f"total{p}"), (F.col(f"_s{p}.total") / F.lit(float(p))).alias(f"mean{p}"))]
+    return rows.select(*keys, "day", "first_day", *made)
 
 
 def commits_per_day(commits: DataFrame) -> DataFrame:
     """(repo_id, day, n): distinct commits by UTC day of ts; rows without repo_id, sha or ts don't count."""
     d = commits.where("repo_id is not null and sha is not null and ts is not null").select("repo_id", "sha", day_number("ts").alias("day")).distinct()
     return d.groupBy("repo_id", "day").agg(F.count(F.lit(1)).alias("n"))
+
+
+def late_commits(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Daily counts (repo_id, day, n) of commits that came in order of days, and of those that came late.
+
+    The log lists the newest commit first, so it arrives from its end. A commit is late if one of a later day arrived
+    before it. A repeated commit arrives once, at its earliest; a null log_ord arrives first.
+    """
+    c = commits.where("repo_id is not null and sha is not null and ts is not null").select("repo_id", "sha", day_number("ts").alias("day"), (-F.coalesce("log_ord", F.lit((1 << 62)))).alias("_at"))
+    c = c.groupBy("repo_id", "sha", "day").agg(F.min("_at").alias("_at"))
+    c = running_before(c.withColumn("_newest", F.col("day")), ["repo_id"], "_at", [], ["_newest"], piece=LOG_PIECE)
+    late = F.coalesce(F.col("before__newest") > F.col("day"), F.lit(False))
+    n = c.groupBy("repo_id", "day", late.alias("_late")).agg(F.count(F.lit(1)).alias("n"))
+    return n.where("not _late").drop("_late"), n.where("_late").drop("_late")

@@ -166,7 +166,9 @@ r as (select g.repo_id, g.a, g.day,
 
 
 def _rolling(spark: SparkSession, d: str) -> DataFrame:
-    r = rolling.rolling_totals(rolling.commits_per_day(table(spark, d, "commits")), "repo_id")
+    """Trees of the commits that came in order, corrected by those that came late."""
+    on_time, late = rolling.late_commits(table(spark, d, "commits"))
+    r = rolling.rolling_totals(on_time, "repo_id", late=late)
     return r.withColumn("date", F.date_from_unix_date("day"))
 
 
@@ -192,6 +194,37 @@ def p6_rolling(spark: SparkSession, d: str) -> DataFrame:
     return _rolling(spark, d).select("repo_id", "date", "n7", F.round("mean7", 6).alias("mean7"), "n30", F.round("mean30", 6).alias("mean30"))
 
 
+@R.add(
+    "p6_windows",
+    """
+with e as (select distinct repo_id, evidence_id, load_id, cast(time_window.end_ts as date) as day,
+    (epoch_us(time_window.end_ts) - epoch_us(time_window.start_ts)) / 86400000000 as window_days,
+    case when isfinite(value.num) then value.num else 0 end as v from evidence where evidence_type = 'recent_commit_count'),
+c as (select * from e where repo_id is not null and window_days in (7, 30, 90)),
+n as (select repo_id, window_days, day, count(*) as n, sum(v) as v from c group by 1, 2, 3),
+s as (select repo_id, window_days, min(day) as a, max(day) as b from n group by 1, 2),
+g as (select repo_id, window_days, cast(unnest(generate_series(a, b, interval 1 day)) as date) as day from s),
+r as (select g.repo_id, g.window_days, g.day, coalesce(n, 0) as n, coalesce(v, 0) as v from g left join n on g.repo_id = n.repo_id and g.window_days = n.window_days and g.day = n.day)
+select repo_id, window_days::integer as window_days, day as date, """
+    + ", ".join(
+        f"(sum(n) over w{p})::bigint as n{p}, round(sum(v) over w{p}, 6) as total{p}, round((sum(v) over w{p}) / {p}.0, 6) as mean{p}" for p in (7, 30, 90)
+    )
+    + " from r window "
+    + ", ".join(f"w{p} as (partition by repo_id, window_days order by day rows between {p - 1} preceding and current row)" for p in (7, 30, 90)),
+)
+def p6_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of 7-, 30- and 90-day commit counts: how many windows ended, and the commits reported, in the trailing 7, 30 and 90 days."""
+    t = F.col("time_window")
+    days = (F.unix_micros(t["end_ts"].cast("timestamp")) - F.unix_micros(t["start_ts"].cast("timestamp"))) / F.lit(86_400_000_000)
+    amount = F.when(F.abs("value.num") < float("inf"), F.col("value.num")).otherwise(0.0)
+    e = table(spark, d, "evidence").where("evidence_type = 'recent_commit_count'")
+    e = e.select("repo_id", "evidence_id", "load_id", days.alias("window_days"), rolling.day_number("time_window.end_ts").alias("day"), amount.alias("v")).distinct()
+    daily = e.where(F.col("window_days").isin(7, 30, 90)).groupBy("repo_id", F.col("window_days").cast("int").alias("window_days"), "day")
+    r = rolling.rolling_totals(daily.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")), ["repo_id", "window_days"], (7, 30, 90))
+    sums = [c for p in (7, 30, 90) for c in (F.col(f"n{p}"), F.round(f"total{p}", 6).alias(f"total{p}"), F.round(f"mean{p}", 6).alias(f"mean{p}"))]
+    return r.select("repo_id", "window_days", F.date_from_unix_date("day").alias("date"), *sums)
+
+
 # -- 7: quality profile --------------------------------------------------------------------------------------------
 
 _PAIRS = ", ".join(f"'{s}:{t}'" for s, types in profile.REGISTRY.items() for t in types.split())
