@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.operators.history import running_before
+from loamline.plans.storage import cut
 
 #: Days per shard, a power of two.
 SHARD = 64
@@ -62,21 +63,27 @@ def correct_trees(trees: DataFrame, corrections: DataFrame, entity: str | Sequen
     return both.select(*keys, "shard", F.when(F.col("tree").isNotNull() & F.col("_delta").isNotNull(), merged).otherwise(F.coalesce("tree", "_delta")).alias("tree"))
 
 
-def _range(tree: str, lo: str, hi: str) -> str:
-    """SQL for the struct (n, total) of leaves lo .. hi - 1 (0 <= lo, hi <= SHARD): at most two nodes of each level."""
-    a, b = f"shiftright({lo} + {SHARD - 1} + shiftleft(1, k), k)", f"shiftright({hi} + {SHARD}, k)"
-    nodes = f"flatten(transform(sequence(0, {LEVELS}), k -> array(if({a} % 2 = 1 and {a} < {b}, {a}, 0), if({b} % 2 = 1 and {a} < {b}, {b} - 1, 0))))"
-    add = "named_struct('n', s.n + coalesce(t[i].n, 0L), 'total', s.total + coalesce(t[i].total, 0D))".replace("t[", f"{tree}[")
-    return f"aggregate(filter({nodes}, i -> i > 0 and {tree} is not null), named_struct('n', 0L, 'total', 0D), (s, i) -> {add})"
+def range_nodes(lo: int, hi: int) -> list[int]:
+    """The nodes that leaves lo .. hi - 1 consist of (0 <= lo, hi <= SHARD), at most two of each level."""
+    out, a, b = [], lo + SHARD, hi + SHARD
+    while a < b:
+        out += [a] * (a % 2) + [b - 1] * (b % 2)
+        a, b = (a + 1) // 2, b // 2
+    return out
+
+
+def _lookup(tree: str, leaf: str, days: int, back: int) -> str:
+    """SQL for the part (n, total) of a trailing period that lies `back` shards before the leaf's; which nodes it consists of is one constant for each leaf."""
+    nodes = [range_nodes(max(i - days + 1 + back * SHARD, 0), SHARD if back else i + 1) for i in range(SHARD)]
+    table = ", ".join(f"array({', '.join(map(str, x))})" if x else "cast(array() as array<int>)" for x in nodes)
+    add = f"named_struct('n', s.n + coalesce({tree}[i].n, 0L), 'total', s.total + coalesce({tree}[i].total, 0D))"
+    return f"aggregate(if({tree} is null, cast(array() as array<int>), array({table})[{leaf}]), named_struct('n', 0L, 'total', 0D), (s, i) -> {add})"
 
 
 def trailing(trees: Sequence[str], leaf: str, days: int) -> Column:
     """(n, total) over the leaf's day and the days - 1 before it; trees: columns of the shard, the one before it, ..."""
-    parts = []
-    for back, tree in enumerate(trees):
-        if back == 0 or days - 1 > (back - 1) * SHARD:  # else the period never reaches so far back
-            lo = f"least(greatest({leaf} - {days - 1} + {back * SHARD}, 0), {SHARD})"
-            parts.append(F.expr(_range(tree, lo, f"({leaf} + 1)" if back == 0 else f"{SHARD}")))
+    # a period of so many days never reaches farther back
+    parts = [F.expr(_lookup(tree, leaf, days, back)) for back, tree in enumerate(trees) if back == 0 or days - 1 > (back - 1) * SHARD]
     if len(parts) == 1:
         return parts[0]
     add = lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), (s["total"] + x["total"]).alias("total"))
@@ -128,5 +135,5 @@ def late_commits(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
     c = c.groupBy("repo_id", "sha", "day").agg(F.min("_at").alias("_at"))
     c = running_before(c.withColumn("_newest", F.col("day")), ["repo_id"], "_at", [], ["_newest"], piece=LOG_PIECE)
     late = F.coalesce(F.col("before__newest") > F.col("day"), F.lit(False))
-    n = c.groupBy("repo_id", "day", late.alias("_late")).agg(F.count(F.lit(1)).alias("n"))
+    n = cut(c.groupBy("repo_id", "day", late.alias("_late")).agg(F.count(F.lit(1)).alias("n")), "arrivals")
     return n.where("not _late").drop("_late"), n.where("_late").drop("_late")

@@ -3,7 +3,8 @@
 The load of every key is counted with a map-side combine. Keys above a share of one task are heavy: at most
 `tasks * SPLIT` keys can be, whatever the data, so the list of heavy keys is small enough to broadcast. A heavy key is
 cut into shards in proportion to its load. All other keys are hashed into a fixed number of buckets. Shards and
-buckets are packed into tasks, largest first, each into the task with the least load so far.
+buckets are packed into tasks, largest first, each into the task with the least load so far. Rows go to the planned
+tasks; of a matching side, a row goes to every task that holds a shard of its key, and to no other.
 """
 
 import heapq
@@ -19,6 +20,8 @@ from loamline.plans.storage import cut
 SPLIT = 4
 #: Buckets of light keys per task.
 BUCKETS_PER_TASK = 16
+#: Rows that make another task worth its while, up to the session's number of shuffle partitions.
+ROWS_PER_TASK = 200_000
 #: Names that no table has.
 TASK, HEAVY, PLACES = "_loamline_task", "_loamline_heavy", "_loamline_places"
 
@@ -30,6 +33,7 @@ class LoadPlan:
     tasks: int
     heavy: DataFrame  # (key, PLACES ARRAY<INT>): the tasks that hold the key's shards
     bucket_places: list[int]
+    loads: DataFrame  # (key, n): the rows of every key, a written table
 
     def place_light(self):
         """The task of a light key; the list is one constant, however long."""
@@ -45,10 +49,10 @@ def plan_load(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
     keys (at most tasks * SPLIT) and the loads of tasks * BUCKETS_PER_TASK buckets.
     """
     spark = df.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = tasks * BUCKETS_PER_TASK
     loads = cut(df.groupBy(F.col(key)).agg(F.count(F.lit(1)).alias("_n")), "loads")
     total = loads.agg(F.sum("_n")).first()[0] or 0
+    tasks = tasks or min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-total // ROWS_PER_TASK)))
+    buckets = tasks * BUCKETS_PER_TASK
     limit = max(1, total // (tasks * SPLIT))
     heavy = loads.where(F.col("_n") > limit).collect()
     light = (
@@ -73,7 +77,7 @@ def plan_load(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
             places[i].add(t)
         heapq.heappush(free, (load + n, t))
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(PLACES, T.ArrayType(T.IntegerType()))])
-    return LoadPlan(key, total, tasks, spark.createDataFrame([(r[key], sorted(p)) for r, p in zip(heavy, places, strict=True)], schema), bucket_places)
+    return LoadPlan(key, total, tasks, spark.createDataFrame([(r[key], sorted(p)) for r, p in zip(heavy, places, strict=True)], schema), bucket_places, loads.withColumnRenamed("_n", "n"))
 
 
 def fragment(df: DataFrame, plan: LoadPlan) -> DataFrame:
@@ -115,11 +119,13 @@ def balanced_join(left: DataFrame, right: DataFrame, plan: LoadPlan, how: str =
     return a.join(b, [TASK, plan.key], how).drop(TASK)
 
 
-def balanced_per_key(df: DataFrame, plan: LoadPlan, time: str, value: str) -> DataFrame:
+def balanced_per_key(df: DataFrame, plan: LoadPlan, time: str, value: str, matching: DataFrame | None = None) -> DataFrame:
     """One row per key: n rows, latest time, mean of the finite values (summed exactly if the column is a decimal).
 
-    Each shard of a key is combined on its own (Spark combines before the exchange), then the few partial rows of a
-    key are merged. NaN and infinite values don't count in the mean; a key without finite values has a null mean.
+    Each shard of a key is combined within the tasks of the scan, then goes to its planned task. matching (key, ...), if
+    given, is replicated to the shards there: keys that it doesn't hold are left out, its other columns (one row per key)
+    are added. The few shards of a key are merged last. NaN and infinite values don't count in the mean; a key without
+    finite values has a null mean. A null key is a key unless there is a matching side, which it never matches.
     """
     v = F.col(value)
     if not isinstance(df.schema[value].dataType, T.DecimalType):
@@ -129,14 +135,20 @@ def balanced_per_key(df: DataFrame, plan: LoadPlan, time: str, value: str) -> Da
         fragment(df.select(F.col(plan.key), F.col(time).alias("_time"), v.alias("_value")), plan)
         .groupBy(TASK, plan.key)
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max("_time").alias("latest"),
+            F.count(F.lit(1)).alias("_n"),
+            F.max("_time").alias("_latest"),
             F.sum("_value").alias("_sum"),
             F.count("_value").alias("_values"),
         )
+        .repartitionById(plan.tasks, F.col(TASK))
     )
+    more = []
+    if matching is not None:
+        part = part.join(replicate(matching, plan).repartitionById(plan.tasks, F.col(TASK)), [TASK, plan.key])
+        more = [F.max(c).alias(c) for c in matching.columns if c != plan.key]
     return part.groupBy(plan.key).agg(
-        F.sum("n").alias("n"),
-        F.max("latest").alias("latest"),
+        F.sum("_n").alias("n"),
+        F.max("_latest").alias("latest"),
         F.when(F.sum("_values") > 0, F.sum("_sum").cast("double") / F.sum("_values")).alias("mean_value"),
+        *more,
     )

@@ -38,8 +38,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     for field, rows in _FIELDS:
         df = rows(spark, d)
         plan = skew.plan_load(df, "key")
-        per_key = skew.balanced_per_key(df, plan, "as_of", "value")
-        out.append(per_key.where(f"key is not null and 25 * n >= {plan.total}").select(F.lit(field).alias("field"), F.col("key").alias("key_value")))
+        large = plan.loads.where(25 * F.col("n") >= plan.total).select("key")  # meets the shards in their tasks
+        per_key = skew.balanced_per_key(df, plan, "as_of", "value", large)
+        out.append(per_key.where(f"25 * n >= {plan.total}").select(F.lit(field).alias("field"), F.col("key").alias("key_value")))
     return out[0].unionByName(out[1])
 
 
@@ -182,7 +183,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Quiet and busy days of repositories, by their trailing commit counts."""
     r = _rolling(spark, d).where("day >= first_day + 29")
     kind = F.when(F.col("n30") == 0, "quiet").when((F.col("n7") >= 6) & (10 * F.col("n7") >= 7 * F.col("n30")), "surge")
-    return r.select("repo_id", F.date_format("date", "yyyyMMdd").cast("int").alias("day_key"), kind.alias("kind")).where("kind is not null")
+    some = F.explode(F.array_compact(F.array(kind)))  # a filter would look everything up once more
+    return r.select("repo_id", F.date_format("date", "yyyyMMdd").cast("int").alias("day_key"), some.alias("kind"))
 
 
 @R.add(

@@ -34,6 +34,18 @@ def test_per_key_equals_plain_grouping(spark):
         assert got[k][2] == (pytest.approx(s / c) if c else None)
 
 
+def test_per_key_with_a_matching_side(spark):
+    df = spark.createDataFrame(rows(), "k string, t int, v double").repartition(5)
+    plan = skew.plan_load(df, "k", tasks=6)
+    facts = spark.createDataFrame([("hot", 7), ("k1", 8), ("none", 9), (None, 1)], "k string, fact int")
+    plain = {r["k"]: r for r in skew.balanced_per_key(df, plan, "t", "v").collect()}
+    got = {r["k"]: r for r in skew.balanced_per_key(df, plan, "t", "v", facts).collect()}
+    assert {k: (r["n"], r["latest"], r["fact"]) for k, r in got.items()} == {k: (plain[k]["n"], plain[k]["latest"], f) for k, f in (("hot", 7), ("k1", 8))}
+    copies = {r["k"]: r["count"] for r in skew.replicate(facts, plan).groupBy("k").count().collect()}
+    shards = {r["k"]: r["n"] for r in skew.fragment(df, plan).groupBy("k").agg(F.countDistinct(skew.TASK).alias("n")).collect()}
+    assert copies["hot"] == shards["hot"] > 1 and copies["k1"] == shards["k1"] == 1
+
+
 def test_a_hot_key_is_spread_in_proportion_and_light_keys_stay_whole(spark):
     df = spark.createDataFrame(rows(), "k string, t int, v double").repartition(5)
     plan = skew.plan_load(df, "k", tasks=6)
