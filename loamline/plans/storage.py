@@ -28,14 +28,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loamline-{uuid.uuid4().hex[:12]}/{name}"
 
 
-def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str, by: str | None = None, placed: bool = False) -> DataFrame:
     """Write df once and go on from the written table, so that nothing behind it runs again.
 
-    by: a column of few values, whose values become folders, so that a reader of some of them opens no others.
+    by: a column whose values become folders, so that a reader of some of them opens no others. placed: the rows of a
+    value lie in one task already.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    w = (df.repartition(by) if by else df).write.option("compression", "zstd")
+    w = (df.repartition(by) if by and not placed else df).write.option("compression", "zstd")
     (w.partitionBy(by) if by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
