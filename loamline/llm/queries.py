@@ -72,27 +72,31 @@ s as (select p.repo_id, p.module, p.a, p.b, p.n as n_ab, ia.n as n_a, ib.n as n_
 """
 
 
-def _pair_scores(spark: SparkSession, d: str, least: int) -> DataFrame:
-    """Counts built in two batches: commits up to a late moment, then the rest."""
-    baskets = cut(cooccurrence.commit_baskets(table(spark, d, "touches"), table(spark, d, "components")), "all-baskets")
-    late = F.coalesce(F.col("t"), F.lit(0)) > (baskets.agg(F.max("t")).first()[0] or 0) - 90 * 86_400_000_000
-    state = cooccurrence.PairCounts.empty(spark)
-    for batch in (baskets.where(~late), baskets.where(late)):
-        state = state.apply(batch)
-    return state.scores(least)
+def _pair_scores(spark: SparkSession, d: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """Scores by numbers, and the dictionary. Commits are counted as their own touches tell them; what only partner lists name comes as a
+    second batch, which changes the baskets that it adds to."""
+    names = cooccurrence.dictionary(table(spark, d, "components"))
+    cooccurrence.check_dictionary(names)
+    baskets = cut(cooccurrence.commit_baskets(table(spark, d, "touches"), names), "all-baskets")
+    key = cooccurrence.BASKET
+    state = cooccurrence.PairCounts().apply(baskets.where(F.size("own") > 0).select(*key, F.col("own").alias("ids")))
+    before = cut(state.scores(least), "scores")
+    state = state.apply(baskets.where(F.size("own") < F.size("ids")).select(*key, "ids"))
+    return state.rescored(before, least), names
 
 
 @R.add("p2_found", _P2 + "select distinct repo_id, a as component_a, b as component_b from s where n_ab >= 5 and n_ab * n >= 4 * n_a * n_b")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of components of a module that change together often and at least four times as often as by chance."""
-    s = _pair_scores(spark, d, 5).where("n_ab * n >= 4 * n_a * n_b")
+    scores, names = _pair_scores(spark, d, 5)
+    s = cooccurrence.named(scores.where("n_ab * n >= 4 * n_a * n_b"), names)
     return s.select("repo_id", F.col("a").alias("component_a"), F.col("b").alias("component_b")).distinct()
 
 
 @R.add("p2_scores", _P2 + "select repo_id, module, a, b, n_ab, n_a, n_b, n, n_ab * n / (n_a * n_b) as lift from s")
 def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every pair's counts and lift."""
-    return _pair_scores(spark, d, 1)
+    return cooccurrence.named(*_pair_scores(spark, d, 1))
 
 
 # -- 8: encoding of the whole corpus --------------------------------------------------------------------------------
