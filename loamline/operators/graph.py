@@ -1,4 +1,4 @@
-"""Connected components of a large graph by alternating star contraction."""
+"""Large graphs: connected components by alternating star contraction, ends of chains by pointer doubling."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,3 +39,26 @@ def components(links: DataFrame) -> DataFrame:
         e = nxt
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+
+
+def ends(links: DataFrame) -> DataFrame:
+    """links (node, to), one link a node -> (node, end): where a walk from node along the links ends.
+
+    A walk ends at a node without link. One that runs into a circle ends at the circle's first node that it meets; a
+    node on a circle is its own end. Each round doubles the length of all walks and is written; when the number of
+    distinct unfinished ends no longer falls, those ends are the nodes on circles, and become ends for good.
+    """
+    links = cut(links.select("node", "to"), "links")
+    walks, before = links, -1
+    while True:
+        unfinished = walks.select("to").distinct().join(links.select(F.col("node").alias("to")), "to", "left_semi")
+        left = unfinished.count()
+        if not left:
+            return walks.withColumnRenamed("to", "end")
+        if left == before:
+            break
+        before = left
+        further = walks.select(F.col("node").alias("to"), F.col("to").alias("_to"))
+        walks = cut(walks.join(further, "to", "left").select("node", F.coalesce("_to", "to").alias("to")), "walks")
+    circles = cut(unfinished, "circles").select(F.col("to").alias("node"))
+    return ends(links.join(circles, "node", "left_anti")).unionByName(circles.select("node", F.col("node").alias("end")))

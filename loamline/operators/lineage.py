@@ -1,33 +1,25 @@
 """Attribution of file changes to components, following renames.
 
-Changes are read from the newest to the oldest (log order, then file order). From a rename backwards, its old path
-stands for what its new path became; a path that is renamed away or renamed to again starts a new life. Only renames
-change this state, and only for paths that renames connect, so the state is worked out per connected group of paths
-and then joined to all changes by the stretch of the log in which it holds.
+The log lists the newest change first. A rename is the end of one stretch of the log on each of its two paths, and the
+beginning of one, on its old path: below it, older changes of the old path belong to whatever the new path stood for at
+that place. A window over the renames that touch a path gives its stretches, and for each rename the one whose meaning
+it hands on; chains of such renames are shortened by pointer doubling. No group of paths is gathered.
 """
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.paths import component_of_path
-from loamline.operators.graph import components as connected
+from loamline.operators.graph import ends
 from loamline.plans.storage import cut
 
-#: Files of one commit that the order number leaves room for.
-FILES = 1 << 20
-LAST = (1 << 63) - 1
-#: In place of a stretch: where a path leads in general.
-LEADS = -1
-
-LIVES = "repo_id string, path string, final_path string, set_seq bigint, kill_seq bigint"
-
 
 def ordered_changes(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """Changes with `seq`, their place in the log. A repeated commit counts at its first place; repeated files once."""
     place = commits.where("repo_id is not null and sha is not null").groupBy("repo_id", "sha").agg(F.min("log_ord").alias("log_ord"))
     files = changes.select("repo_id", "sha", "file_ord", "path", "old_path", "added", "deleted", "is_file_deletion").distinct()
-    return files.join(place, ["repo_id", "sha"]).withColumn("seq", F.col("log_ord") * FILES + F.col("file_ord"))
+    seq = F.struct("log_ord", "file_ord", "sha", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("old_path", F.lit("")).alias("old_path"))
+    return files.join(place, ["repo_id", "sha"]).withColumn("seq", seq)
 
 
 def live_paths(components: DataFrame) -> DataFrame:
@@ -36,56 +28,31 @@ def live_paths(components: DataFrame) -> DataFrame:
     return first.groupBy("repo_id", "path").agg(F.min("component_id").alias("component_id"))
 
 
-def _lives(group: pd.DataFrame) -> pd.DataFrame:
-    """Stretches in which old paths stand for later ones, and where paths lead in general; of many groups of paths at once."""
-    group = group.sort_values(["repo_id", "seq"])
-    new, old = list(zip(group["repo_id"], group["path"])), list(zip(group["repo_id"], group["old_path"]))
-    live = {p for p, is_live in [*zip(new, group["path_live"]), *zip(old, group["old_live"])] if is_live}
-    newest: dict[tuple[str, str], tuple[str, str]] = {}
-    for was, became in zip(old, new):
-        newest.setdefault(was, became)
-
-    def follow(path: tuple[str, str]) -> tuple[str, str]:
-        seen = {path}
-        while path not in live and path in newest:
-            path = newest[path]
-            if path in seen:
-                break
-            seen.add(path)
-        return path
-
-    now: dict[tuple[str, str], tuple[tuple[str, str], int]] = {}
-    out = []
-    for seq, became, was in zip(group["seq"], new, old):
-        final = now[became][0] if became in now else follow(became)
-        for gone in (became, was):
-            if gone in now:
-                to, since = now.pop(gone)
-                out.append((*gone, to[1], since, seq))
-        now[was] = (final, seq)
-    out += [(*p, to[1], since, LAST) for p, (to, since) in now.items()]
-    out += [(*p, follow(p)[1], LEADS, LEADS) for p in newest if p not in live]
-    return pd.DataFrame(out, columns=["repo_id", "path", "final_path", "set_seq", "kill_seq"])
-
-
-def rename_lives(ordered: DataFrame, live: DataFrame) -> DataFrame:
-    """(repo_id, path, final_path, set_seq, kill_seq): within set_seq < seq <= kill_seq the path stands for final_path.
-
-    Rows with LEADS in place of numbers say where a path that no longer exists leads in the end.
+def stretches(ordered: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repo_id, path, begin, end, then) and (repo_id, path, leads).
+
+    Below `begin` and down to `end` (null: to the log's last change) the path stands for `then`. leads is where a path
+    that no file has any more leads in general: along the newest rename of each path, until one is the file of a known
+    component, is never renamed, or was met before.
     """
-    r = ordered.where("old_path is not null and path is not null and path <> old_path").select("repo_id", "path", "old_path", "seq")
-    name = lambda c: F.concat("repo_id", F.lit("\n"), c)
-    links = r.select(F.greatest(name("path"), name("old_path")).alias("u"), F.least(name("path"), name("old_path")).alias("v")).distinct()
-    group = connected(links).withColumnRenamed("label", "_group")
-    is_live = live.select("repo_id", "path", F.lit(True).alias("_is"))
-    r = r.join(is_live.withColumnRenamed("_is", "path_live"), ["repo_id", "path"], "left").join(
-        is_live.withColumnsRenamed({"path": "old_path", "_is": "old_live"}), ["repo_id", "old_path"], "left"
-    )
-    r = r.fillna(False, ["path_live", "old_live"]).withColumn("node", name("path")).join(group, "node").drop("node")
-    # whole groups of paths go to one bucket; a task works through the renames of many groups together
-    buckets = 4 * int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = r.withColumn("_bucket", F.pmod(F.xxhash64("_group"), F.lit(buckets)))
-    return r.groupBy("_bucket").applyInPandas(lambda pdf: _lives(pdf), LIVES)
+    r = cut(ordered.where("old_path is not null and path is not null and path <> old_path").select("repo_id", "seq", "path", "old_path"), "renames")
+    newest = r.groupBy("repo_id", F.col("old_path").alias("path")).agg(F.min_by("path", "seq").alias("_to")).join(live, ["repo_id", "path"], "left_anti")
+    leads = ends(newest.select(F.struct("repo_id", "path").alias("node"), F.struct("repo_id", F.col("_to").alias("path")).alias("to")))
+    leads = leads.select("node.repo_id", "node.path", F.col("end.path").alias("leads"))
+
+    side = lambda path, begins: F.struct(F.col(path).alias("path"), F.lit(begins).alias("begins"))
+    marks = r.select("repo_id", "seq", F.explode(F.array(side("old_path", True), side("path", False))).alias("_m")).select("repo_id", "seq", "_m.*")
+    w = Window.partitionBy("repo_id", "path").orderBy("seq")
+    marks = marks.withColumns({"_above": F.when(F.lag("begins").over(w), F.lag("seq").over(w)), "_next": F.lead("seq").over(w)})
+    marks = cut(marks, "marks")
+    # a rename hands on what the stretch of its new path means that it ends, if there is one
+    above = marks.where("not begins and _above is not null").select(F.struct("repo_id", "seq").alias("node"), F.struct("repo_id", F.col("_above").alias("seq")).alias("to"))
+    first = ends(above).select("node.repo_id", "node.seq", F.col("end.seq").alias("_first"))
+    means = r.select("repo_id", "seq").join(first, ["repo_id", "seq"], "left").select("repo_id", "seq", F.coalesce("_first", "seq").alias("_first"))
+    means = means.join(r.select("repo_id", F.col("seq").alias("_first"), "path"), ["repo_id", "_first"]).join(leads, ["repo_id", "path"], "left")
+    means = means.select("repo_id", "seq", F.coalesce("leads", "path").alias("then"))
+    begun = marks.where("begins").select("repo_id", "path", "seq", F.col("_next").alias("end"))
+    return begun.join(means, ["repo_id", "seq"]).withColumnRenamed("seq", "begin"), leads
 
 
 def attribute_changes(commits: DataFrame, changes: DataFrame, components: DataFrame) -> DataFrame:
@@ -96,14 +63,13 @@ def attribute_changes(commits: DataFrame, changes: DataFrame, components: DataFr
     """
     ordered = ordered_changes(commits, changes)
     live = live_paths(components)
-    lives = cut(rename_lives(ordered, live), "lives")
-    stretch = lives.where(F.col("set_seq") != LEADS).select("repo_id", "path", F.col("final_path").alias("_then"), "set_seq", "kill_seq")
-    leads = lives.where(F.col("set_seq") == LEADS).select("repo_id", "path", F.col("final_path").alias("_leads"))
-    c, s = ordered.alias("c"), stretch.alias("s")
-    on = [F.col("c.repo_id") == F.col("s.repo_id"), F.col("c.path") == F.col("s.path"), F.col("seq") > F.col("set_seq"), F.col("seq") <= F.col("kill_seq")]
-    found = c.join(s, on, "left").select("c.*", "_then")
+    begun, leads = stretches(ordered, live)
+    begun = cut(begun, "stretches")
+    c, s = ordered.alias("c"), begun.alias("s")
+    on = [F.col("c.repo_id") == F.col("s.repo_id"), F.col("c.path") == F.col("s.path"), F.col("seq") > F.col("begin"), F.col("end").isNull() | (F.col("seq") <= F.col("end"))]
+    found = c.join(s, on, "left").select("c.*", "then")
     found = found.join(live.select("repo_id", "path", F.lit(True).alias("_live")), ["repo_id", "path"], "left").join(leads, ["repo_id", "path"], "left")
-    found = found.withColumn("final_path", F.coalesce("_then", F.when(F.col("_live"), F.col("path")), "_leads", "path")).drop("_then", "_live", "_leads")
+    found = found.withColumn("final_path", F.coalesce("then", F.when(F.col("_live"), F.col("path")), "leads", "path")).drop("then", "_live", "leads")
     owner = live.withColumnRenamed("path", "final_path")
     found = found.join(owner, ["repo_id", "final_path"], "left")
     return found.withColumn("component_id", F.coalesce("component_id", component_of_path("final_path"))).where("component_id is not null")
