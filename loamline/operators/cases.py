@@ -9,6 +9,7 @@ from loamline.functions.ids import case_id
 from loamline.functions.paths import is_test_path
 from loamline.functions.subjects import is_bug_fix, is_cosmetic
 from loamline.operators import history
+from loamline.operators.evidence import FEATURES
 
 #: Labels by spread, days before the snapshot in which fixes may be missing, shares of the splits.
 HIGH_SPREAD, MEDIUM_SPREAD = 4, 1
@@ -39,11 +40,12 @@ def label(spread: Column | str, caused_bug_fix: Column | str) -> Column:
     )
 
 
-def candidates(touches: DataFrame, commits: DataFrame, duplicates: DataFrame, censor_days: int = CENSOR_DAYS) -> DataFrame:
+def candidates(touches: DataFrame, commits: DataFrame, duplicates: DataFrame, parent_paths: DataFrame | None = None, censor_days: int = CENSOR_DAYS) -> DataFrame:
     """One row per commit and production component: repo_id, sha, component_id, as_of, existing, reason, action, spread,
-    impacted_test_count.
+    impacted_test_count, parent, target_path.
 
-    A component is production in a commit unless all its paths there are test paths; it exists if it was alive just
+    target_path is where the parent commit has the component, by parent_paths (repo_id, sha, component_id, parent_path) as
+    lineage.first_paths makes them; without an entry it is the least path of the touch. A component is production in a commit unless all its paths there are test paths; it exists if it was alive just
     before. spread counts the other existing production components. The reason is null for commits that give cases.
     Repeated rows count once; a commit at its first place in the log.
     """
@@ -55,6 +57,8 @@ def candidates(touches: DataFrame, commits: DataFrame, duplicates: DataFrame, ce
         F.bool_and("removes_component").alias("removes"),
         F.min(F.array_min("paths")).alias("path"),
     )
+    if parent_paths is not None:
+        flags = flags.join(parent_paths, keys, "left").withColumn("path", F.coalesce("parent_path", "path")).drop("parent_path")
     head = commits.groupBy("repo_id", "sha").agg(F.min(F.struct("log_ord", "parent", "subject")).alias("_h")).select("repo_id", "sha", "_h.parent", "_h.subject")
     twice = duplicates.where("duplicate").select("repo_id", "sha", F.lit(True).alias("_twice"))
     end = activity.groupBy("repo_id").agg((F.max("t") - censor_days * history.DAY).alias("_censor"))
@@ -102,6 +106,41 @@ def mined(c: DataFrame, inducing: DataFrame | None = None) -> DataFrame:
     )
 
 
+#: A case's columns before and after its features.
+ID_COLUMNS = ("case_id", "repo_id", "commit_sha", "parent_sha", "as_of", "target_component_id", "target_parent_path", "action")
+LABEL_COLUMNS = ("label_spread", "label_impacted_test_count", "label_caused_bug_fix", "label_fix_commit_count", "label")
+
+
+def config_counts_at_parent(cases: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(case_id, config_config_reference_count): the evidence of that type on the target at the parent commit.
+
+    Of several rows the one of the latest load, then the smallest evidence_id, counts. Cases without such evidence give no row.
+    """
+    e = evidence.where("evidence_type = 'config_reference_count' and availability = 'AVAILABLE' and value.num is not null")
+    e = e.groupBy("repo_id", F.col("component_id").alias("target_component_id"), F.col("snapshot").alias("parent_sha")).agg(
+        F.min_by(F.col("value.num"), F.struct(-F.col("load_id"), "evidence_id", "value.num")).alias("config_config_reference_count")
+    )
+    return cases.join(e, ["repo_id", "target_component_id", "parent_sha"]).select("case_id", "config_config_reference_count")
+
+
+def with_features(mined_cases: DataFrame, touches: DataFrame, config_counts: DataFrame) -> DataFrame:
+    """Cases with their feature columns, as known strictly before each commit: ID_COLUMNS, the features, LABEL_COLUMNS.
+
+    A case whose features see its own commit or a later one is an error. What isn't known is null.
+    """
+    keys = ["repo_id", "component_id", "sha"]
+    a = history.asof_activity(touches).join(history.co_change_before(touches), keys)
+    leak = (F.col("last_sha") == F.col("sha")) | (F.col("days_since_last_change") < 0)
+    message = F.concat(F.lit("features can see the change or later: "), *[x for k in keys for x in (F.col(k), F.lit(" "))])
+    a = a.withColumn("as_of", F.when(leak, F.raise_error(message).cast("bigint")).otherwise(F.col("as_of")))
+    known = F.col("historical_commit_count") > 0
+    git = [F.when(known, F.col(f.removeprefix("git_")).cast("double")).alias(f) for f in FEATURES if f.startswith("git_")]
+    a = a.select(F.col("repo_id"), F.col("component_id").alias("target_component_id"), F.col("sha").alias("commit_sha"), F.col("as_of").alias("_seen"), *git)
+    c = mined_cases.join(a, ["repo_id", "target_component_id", "commit_sha"]).where(F.unix_micros(F.col("as_of").cast("timestamp")) == F.col("_seen"))
+    c = c.join(config_counts, "case_id", "left").withColumn("action_is_delete", F.when(F.col("action") == "DELETE", 1.0).otherwise(0.0))
+    return c.select(*ID_COLUMNS, *FEATURES, *LABEL_COLUMNS)
+
+
 def exclusion_tally(c: DataFrame) -> DataFrame:
     """(repo_id, reason, n): existing components that gave no case, by reason, and new_component, which always occurs."""
     new = c.groupBy("repo_id").agg(F.count_if(~F.col("existing")).alias("n")).select("repo_id", F.lit("new_component").alias("reason"), "n")

@@ -59,7 +59,7 @@ def asof_activity(touches: DataFrame, recent_days: int = 90) -> DataFrame:
 
     repo_id, component_id, sha, as_of (microseconds), historical_commit_count, recent_commit_count (the trailing
     window, its start included), lines_added, lines_deleted, total_churn, recent_churn, unique_contributors (nulls
-    aside), days_since_last_change and churn_ratio (recent by total churn, null without churn), last_sha and alive
+    aside), days_since_last_change and churn_ratio (recent by total churn to four places, null without churn), last_sha and alive
     (there was a touch before and the last one, by time then sha, didn't remove the component).
     """
     t = clean_touches(touches)
@@ -95,7 +95,7 @@ def asof_activity(touches: DataFrame, recent_days: int = 90) -> DataFrame:
         recent.alias("recent_churn"),
         F.col("authors").alias("unique_contributors"),
         F.floor((F.col("as_of") - F.col("last.t")) / DAY).alias("days_since_last_change"),
-        F.when(churn > 0, recent / churn).alias("churn_ratio"),
+        F.when(churn > 0, F.bround(recent / churn, 4)).alias("churn_ratio"),
         F.col("last.sha").alias("last_sha"),
         F.coalesce(~F.col("last.removes_component"), F.lit(False)).alias("alive"),
     )
@@ -143,7 +143,7 @@ def activity_at(touches: DataFrame, cutoffs: DataFrame, recent_days: int = 90, l
         "total_churn",
         "recent_churn",
         F.floor((F.col("as_of") - F.col("_last.t")) / DAY).alias("days_since_last_change"),
-        F.when(F.col("total_churn") > 0, F.col("recent_churn") / F.col("total_churn")).alias("churn_ratio"),
+        F.when(F.col("total_churn") > 0, F.bround(F.col("recent_churn") / F.col("total_churn"), 4)).alias("churn_ratio"),
         "first_t",
         F.col("_last.t").alias("last_t"),
         F.col("_last.sha").alias("last_sha"),

@@ -7,6 +7,7 @@ from loamline.functions import paths, subjects, text
 from loamline.functions.ids import evidence_id, iso_time
 from loamline.operators import cases, config, evidence, history, lineage, quality
 from loamline.plans.registry import Registry
+from loamline.plans.storage import cut
 from loamline.sources.tables import table
 
 R = Registry()
@@ -35,7 +36,7 @@ b as (select a.repo_id, a.component_id, a.sha, a.t as as_of, count(b.sha) as n,
     f"""with {_T}, {_BEFORE}
 select repo_id, component_id, sha, as_of, n as historical_commit_count, recent as recent_commit_count, added as lines_added,
   deleted as lines_deleted, added + deleted as total_churn, recent_churn, authors as unique_contributors, days as days_since_last_change,
-  case when added + deleted > 0 then recent_churn / (added + deleted) end as churn_ratio, struct_extract(last, 2) as last_sha,
+  case when added + deleted > 0 then round_even(recent_churn / (added + deleted), 4) end as churn_ratio, struct_extract(last, 2) as last_sha,
   coalesce(not struct_extract(last, 3), false) as alive
 from b""",
 )
@@ -44,18 +45,19 @@ def asof_activity(spark: SparkSession, d: str) -> DataFrame:
     return history.asof_activity(table(spark, d, "touches"))
 
 
-@R.add(
-    "co_change_before",
-    f"""with {_T},
-p as (select x.repo_id, x.component_id, y.component_id as partner, x.sha, x.t from t x join t y on x.repo_id = y.repo_id and x.sha = y.sha
+_PARTNERS_BEFORE = """
+pb as (select x.repo_id, x.component_id, y.component_id as partner, x.sha, x.t from t x join t y on x.repo_id = y.repo_id and x.sha = y.sha
   and x.component_id <> y.component_id where not x.is_bulk and not y.is_bulk),
-q as (select a.repo_id, a.component_id, a.sha, a.t, p.partner from t a join p on a.repo_id = p.repo_id and a.component_id = p.component_id and p.t < a.t
+qb as (select a.repo_id, a.component_id, a.sha, a.t, pb.partner from t a join pb on a.repo_id = pb.repo_id and a.component_id = pb.component_id and pb.t < a.t
   group by 1, 2, 3, 4, 5 having count(*) >= 2),
-l as (select q.repo_id, q.component_id, q.sha, q.partner, max((c.t, c.sha, c.gone)) as last from q
-  join t c on q.repo_id = c.repo_id and q.partner = c.component_id and c.t < q.t group by 1, 2, 3, 4),
-n as (select repo_id, component_id, sha, count(*) as n from l where not struct_extract(last, 3) group by 1, 2, 3)
-select repo_id, component_id, sha, coalesce(n, 0) as co_change_count from t left join n using (repo_id, component_id, sha)""",
-)
+lb as (select qb.repo_id, qb.component_id, qb.sha, qb.partner, max((c.t, c.sha, c.gone)) as last from qb
+  join t c on qb.repo_id = c.repo_id and qb.partner = c.component_id and c.t < qb.t group by 1, 2, 3, 4),
+nb as (select repo_id, component_id, sha, count(*) as n from lb where not struct_extract(last, 3) group by 1, 2, 3),
+cb as (select repo_id, component_id, sha, coalesce(n, 0) as n from t left join nb using (repo_id, component_id, sha))
+"""
+
+
+@R.add("co_change_before", f"with {_T}, {_PARTNERS_BEFORE} select repo_id, component_id, sha, n as co_change_count from cb")
 def co_change_before(spark: SparkSession, d: str) -> DataFrame:
     """How many partners a component had just before each of its touches."""
     return history.co_change_before(table(spark, d, "touches"))
@@ -82,7 +84,7 @@ n as (select t.repo_id, t.component_id, as_of, count(*) as n, count(*) filter (w
     f"""with {_T}, {_CUT}, {_NOW}
 select repo_id, component_id, as_of, n as historical_commit_count, recent as recent_commit_count, authors as unique_contributors,
   added as lines_added, deleted as lines_deleted, added + deleted as total_churn, recent_churn, days as days_since_last_change,
-  case when added + deleted > 0 then recent_churn / (added + deleted) end as churn_ratio, first_t, struct_extract(last, 1) as last_t,
+  case when added + deleted > 0 then round_even(recent_churn / (added + deleted), 4) end as churn_ratio, first_t, struct_extract(last, 1) as last_t,
   struct_extract(last, 2) as last_sha, not struct_extract(last, 3) as alive, shas as latest_shas from n""",
 )
 def snapshot_activity(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +132,7 @@ long as (
   union all select *, 'lines_added', added::double, first_t from base
   union all select *, 'lines_deleted', deleted::double, first_t from base
   union all select *, 'total_churn', (added + deleted)::double, first_t from base
-  union all select *, 'churn_ratio', case when added + deleted > 0 then recent_churn / (added + deleted) end, as_of - 90 * {DAY} from base
+  union all select *, 'churn_ratio', case when added + deleted > 0 then round_even(recent_churn / (added + deleted), 4) end, as_of - 90 * {DAY} from base
   union all select *, 'co_change_count', cc::double, first_t from base),
 ge as (select 'ev_' || left(sha1(concat_ws('|', repo_id, snapshot, component_id, 'GIT', evidence_type, {_ISO("as_of")},
     case when n is null or w is null then '' else {_ISO("w")} end, case when n is null or w is null then '' else {_ISO("as_of")} end)), 16) as evidence_id,
@@ -171,23 +173,68 @@ def co_change_edges(spark: SparkSession, d: str) -> DataFrame:
 # -- lineage and touches ---------------------------------------------------------------------------------------------
 
 
+_BELOW = " ".join(
+    f"when starts_with(path, '{r}') then path[{len(r) + 1}:] when instr(path, '/{r}') > 0 then path[instr(path, '/{r}') + {len(r) + 1}:]" for r in paths.SOURCE_ROOTS
+)
+_COMPONENT = f"case when ends_with(path, '.java') and not regexp_matches(path, '(^|/)(package|module)-info\\.java$') then replace(regexp_replace(case {_BELOW} end, '\\.java$', ''), '/', '.') end"
+# by walks: along the newest renames where a path leads, and from each rename up to the one whose meaning it hands on
+_LINEAGE = f"""
+place as (select repo_id, sha, min(log_ord) as log_ord from commits where repo_id is not null and sha is not null group by 1, 2),
+od as (select *, row_number() over (partition by repo_id order by log_ord, file_ord, sha, coalesce(path, ''), coalesce(old_path, '')) as seq
+  from (select distinct repo_id, sha, file_ord, path, old_path, added, deleted, is_file_deletion from file_changes) join place using (repo_id, sha)),
+lv as (select repo_id, path, min(component_id) as owner from (select repo_id, component_id, min(file_path) as path from components group by 1, 2) where path is not null group by 1, 2),
+rn as (select repo_id, seq, path, old_path from od where path <> old_path),
+nw as (select * from (select repo_id, old_path as path, arg_min(path, seq) as nxt from rn group by 1, 2) x anti join lv on x.repo_id = lv.repo_id and x.path = lv.path),
+walk as (select repo_id, path, nxt as hop, [path, nxt] as trail, nxt = path as met from nw
+  union all select w.repo_id, w.path, n.nxt, list_append(trail, n.nxt), list_contains(trail, n.nxt) from walk w join nw n on w.repo_id = n.repo_id and w.hop = n.path where not met),
+ld as (select repo_id, path, arg_max(hop, len(trail)) as leads from walk group by 1, 2),
+mk as (select *, lag(begins) over w as above, lag(seq) over w as above_seq, lead(seq) over w as below from
+  (select repo_id, old_path as path, seq, true as begins from rn union all select repo_id, path, seq, false from rn) window w as (partition by repo_id, path order by seq)),
+up as (select repo_id, seq, above_seq from mk where not begins and above),
+tops as (select repo_id, seq, seq as top from rn anti join up using (repo_id, seq) union all select u.repo_id, u.seq, t.top from up u join tops t on u.repo_id = t.repo_id and u.above_seq = t.seq),
+mn as (select t.repo_id, t.seq, coalesce(leads, r.path) as stands from tops t join rn r on r.repo_id = t.repo_id and r.seq = t.top left join ld on ld.repo_id = r.repo_id and ld.path = r.path),
+st as (select mk.repo_id, mk.path, mk.seq as top, mk.below, stands from mk join mn on mk.repo_id = mn.repo_id and mk.seq = mn.seq where begins),
+fp as (select od.*, coalesce(st.stands, case when lv.path is not null then od.path end, leads, od.path) as final_path from od
+  left join st on st.repo_id = od.repo_id and st.path = od.path and od.seq > st.top and (st.below is null or od.seq <= st.below)
+  left join lv on lv.repo_id = od.repo_id and lv.path = od.path left join ld on ld.repo_id = od.repo_id and ld.path = od.path),
+nm as (select distinct path, {_COMPONENT} as named from (select final_path as path from fp)),
+atc as (select fp.*, coalesce(owner, named) as component_id from fp left join lv on lv.repo_id = fp.repo_id and lv.path = fp.final_path left join nm on nm.path = fp.final_path
+  where coalesce(owner, named) is not null),
+fst as (select repo_id, sha, component_id, arg_min(coalesce(old_path, path), file_ord) as parent_path from atc group by 1, 2, 3)
+"""
+_BUILT = """
+pc as (select repo_id, sha, component_id, sum(coalesce(added, 0))::bigint as added, sum(coalesce(deleted, 0))::bigint as deleted, list_sort(list_distinct(list(path))) as paths,
+    bool_and(coalesce(is_file_deletion, false) and old_path is null) as removes_component from atc group by 1, 2, 3),
+sz as (select repo_id, sha, count(*) > 30 as is_bulk from (select distinct repo_id, sha, file_ord, path from file_changes) group by 1, 2),
+hx as (select repo_id, sha, min((log_ord, ts, lower(trim(author)))) as h from commits group by 1, 2),
+mb as (select repo_id, sha, list_sort(list(component_id)) as members from pc join sz using (repo_id, sha) where not is_bulk group by 1, 2),
+bt as (select pc.repo_id, pc.component_id, pc.sha, struct_extract(h, 2) as ts, struct_extract(h, 3) as author, added, deleted, array_to_string(paths, ',') as paths, is_bulk, removes_component,
+    coalesce(array_to_string(list_filter(members, lambda x: x <> pc.component_id), ','), '') as partners
+  from pc join sz using (repo_id, sha) join hx using (repo_id, sha) left join mb using (repo_id, sha))
+"""
+
+
 def _attributed(spark: SparkSession, d: str) -> DataFrame:
     return lineage.attribute_changes(table(spark, d, "commits"), table(spark, d, "file_changes"), table(spark, d, "components"))
 
 
-@R.add("attributed_changes")
+@R.add("attributed_changes", f"with recursive {_LINEAGE} select repo_id, sha, file_ord, path, final_path, component_id from atc")
 def attributed_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Each file change with the component that it belongs to by renames. A fold over the log: tested against brute force."""
+    """Each file change with the component that it belongs to by renames."""
     return _attributed(spark, d).select("repo_id", "sha", "file_ord", "path", "final_path", "component_id")
 
 
-@R.add("built_touches")
+def _built_touches(spark: SparkSession, d: str) -> DataFrame:
+    return lineage.build_touches(_attributed(spark, d), table(spark, d, "commits"), table(spark, d, "file_changes"))
+
+
+@R.add("built_touches", f"with recursive {_LINEAGE}, {_BUILT} select * from bt")
 def built_touches(spark: SparkSession, d: str) -> DataFrame:
     """Touches made from commits and attributed changes."""
-    return lineage.build_touches(_attributed(spark, d), table(spark, d, "commits"), table(spark, d, "file_changes"))
+    return _built_touches(spark, d).withColumns({c: F.array_join(c, ",") for c in ("paths", "partners")})
 
 
-@R.add("first_paths")
+@R.add("first_paths", f"with recursive {_LINEAGE} select * from fst")
 def first_paths(spark: SparkSession, d: str) -> DataFrame:
     """Where each commit found the components that it changes."""
     return lineage.first_paths(_attributed(spark, d))
@@ -199,11 +246,17 @@ def review_sample(spark: SparkSession, d: str) -> DataFrame:
     return quality.sample(table(spark, d, "components"), ["repo_id", "component_id"], 30)
 
 
-@R.add("touch_differences")
+@R.add(
+    "touch_differences",
+    f"""with recursive {_LINEAGE}, {_BUILT}, x as (select distinct repo_id, component_id, sha, added, deleted from touches)
+select coalesce(bt.repo_id, x.repo_id) as repo_id, count(*) filter (where bt.sha is not null and x.sha is not null) as in_both, count(*) filter (where x.sha is null) as only_ours,
+  count(*) filter (where bt.sha is null) as only_theirs, count(*) filter (where not (bt.added = coalesce(x.added, 0) and bt.deleted = coalesce(x.deleted, 0)) and x.sha is not null) as other_lines
+from bt full join x on bt.repo_id = x.repo_id and bt.component_id = x.component_id and bt.sha = x.sha group by 1""",
+)
 def touch_differences(spark: SparkSession, d: str) -> DataFrame:
     """How the touches that we make differ from those delivered, per repository."""
     keys = ["repo_id", "component_id", "sha"]
-    ours = built_touches(spark, d).select(*keys, "added", "deleted", F.lit(1).alias("_ours"))
+    ours = _built_touches(spark, d).select(*keys, "added", "deleted", F.lit(1).alias("_ours"))
     theirs = table(spark, d, "touches").select(*keys, F.col("added").alias("a"), F.col("deleted").alias("d"), F.lit(1).alias("_theirs")).distinct()
     both = ours.join(theirs, keys, "full")
     same = (F.col("added") == F.coalesce("a", F.lit(0))) & (F.col("deleted") == F.coalesce("d", F.lit(0)))
@@ -211,7 +264,7 @@ def touch_differences(spark: SparkSession, d: str) -> DataFrame:
         F.count_if(F.col("_ours").isNotNull() & F.col("_theirs").isNotNull()).alias("in_both"),
         F.count_if(F.col("_theirs").isNull()).alias("only_ours"),
         F.count_if(F.col("_ours").isNull()).alias("only_theirs"),
-        F.count_if(~same).alias("other_lines"),
+        F.count_if(F.col("_theirs").isNotNull() & ~same).alias("other_lines"),
     )
 
 
@@ -275,9 +328,9 @@ hd as (select repo_id, sha, struct_extract(h, 2) as parent, coalesce(struct_extr
 fl as (select repo_id, component_id, sha, bool_and(len(list_filter(coalesce(paths, []), lambda x: not (starts_with(x, 'src/test/') or contains(x, '/src/test/')))) = 0) as test,
     bool_or(is_bulk) as bulk, bool_and(removes_component) as removes, min(list_min(paths)) as path from touches group by 1, 2, 3),
 ce as (select repo_id, max(as_of) - 180 * {DAY} as censor from b group by 1),
-dd as (select b.repo_id, b.sha, b.component_id, b.as_of, coalesce(not struct_extract(last, 3), false) as existing, test, bulk, removes, path, parent, s,
+dd as (select b.repo_id, b.sha, b.component_id, b.as_of, coalesce(not struct_extract(last, 3), false) as existing, test, bulk, removes, coalesce(fst.parent_path, path) as path, parent, s,
     coalesce(du.duplicate, false) as dup, b.as_of >= censor as censored
-  from b join fl using (repo_id, component_id, sha) join hd using (repo_id, sha) left join du using (repo_id, sha) join ce using (repo_id)),
+  from b join fl using (repo_id, component_id, sha) join hd using (repo_id, sha) left join du using (repo_id, sha) join ce using (repo_id) left join fst using (repo_id, component_id, sha)),
 pe as (select *, count(*) filter (where not test and existing) over (partition by repo_id, sha) as ex, count(*) filter (where test) over (partition by repo_id, sha) as tests from dd),
 ca as (select repo_id, sha, component_id, make_timestamp(as_of) as as_of, existing,
     case when parent is null then 'root_commit' when dup then 'duplicate_patch' when bulk then 'bulk_commit' when {_COSMETIC_SQL} then 'cosmetic_commit'
@@ -294,10 +347,10 @@ ind as (select repo_id, struct_extract(src, 2) as sha, component_id, list(fix or
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return cases.candidates(table(spark, d, "touches"), table(spark, d, "commits"), _duplicates(spark, d))
+    return cases.candidates(table(spark, d, "touches"), table(spark, d, "commits"), _duplicates(spark, d), lineage.first_paths(_attributed(spark, d)))
 
 
-@R.add("case_candidates", f"with {_T}, {_BEFORE}, {_PRINT}, {_CANDIDATES} select * from ca")
+@R.add("case_candidates", f"with recursive {_LINEAGE}, {_T}, {_BEFORE}, {_PRINT}, {_CANDIDATES} select * from ca")
 def case_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Production components changed by each commit, and why a commit gives no cases."""
     return _candidates(spark, d)
@@ -305,7 +358,7 @@ def case_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "exclusion_tally",
-    f"""with {_T}, {_BEFORE}, {_PRINT}, {_CANDIDATES}
+    f"""with recursive {_LINEAGE}, {_T}, {_BEFORE}, {_PRINT}, {_CANDIDATES}
 select repo_id, reason, count(*) as n from ca where existing and reason is not null group by 1, 2
 union all select repo_id, 'new_component', count(*) filter (where not existing) from ca group by 1""",
 )
@@ -316,7 +369,7 @@ def exclusion_tally(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "inducing_commits",
-    f"with {_T}, {_BEFORE}, {_PRINT}, {_CANDIDATES}, {_INDUCING} select repo_id, sha, component_id, array_to_string(fixes, ',') as fixes from ind",
+    f"with recursive {_LINEAGE}, {_T}, {_BEFORE}, {_PRINT}, {_CANDIDATES}, {_INDUCING} select repo_id, sha, component_id, array_to_string(fixes, ',') as fixes from ind",
 )
 def inducing_commits(spark: SparkSession, d: str) -> DataFrame:
     """Commits that last added lines to what a later fix changed."""
@@ -325,7 +378,7 @@ def inducing_commits(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "fixes_traced",
-    f"""with {_T}, {_BEFORE}, {_PRINT}, {_CANDIDATES}, {_INDUCING}, x as (select repo_id, sha, unnest(fixes) as fix from ind)
+    f"""with recursive {_LINEAGE}, {_T}, {_BEFORE}, {_PRINT}, {_CANDIDATES}, {_INDUCING}, x as (select repo_id, sha, unnest(fixes) as fix from ind)
 select repo_id, count(distinct sha) as inducing, count(distinct fix) as fixes from x group by 1""",
 )
 def fixes_traced(spark: SparkSession, d: str) -> DataFrame:
@@ -333,18 +386,47 @@ def fixes_traced(spark: SparkSession, d: str) -> DataFrame:
     return quality.fixes_traced(cases.inducing_commits(table(spark, d, "touches"), table(spark, d, "commits")))
 
 
-@R.add(
-    "mined_cases",
-    f"""with {_T}, {_BEFORE}, {_PRINT}, {_CANDIDATES}, {_INDUCING}
-select repo_id || '@' || left(sha, 12) || ':' || component_id as case_id, repo_id, sha as commit_sha, parent as parent_sha, as_of, component_id as target_component_id,
+_MINED = """
+mc as (select repo_id || '@' || left(sha, 12) || ':' || component_id as case_id, repo_id, sha as commit_sha, parent as parent_sha, as_of, component_id as target_component_id,
   target_path as target_parent_path, action, spread as label_spread, impacted_test_count as label_impacted_test_count, fixes is not null as label_caused_bug_fix,
   coalesce(len(fixes), 0)::integer as label_fix_commit_count,
   case when fixes is not null or spread >= 4 then 'HIGH' when spread >= 1 then 'MEDIUM' else 'LOW' end as label
-from ca left join ind using (repo_id, sha, component_id) where existing and reason is null""",
-)
+from ca left join ind using (repo_id, sha, component_id) where existing and reason is null)
+"""
+
+
+def _mined(spark: SparkSession, d: str) -> DataFrame:
+    return cases.mined(_candidates(spark, d), cases.inducing_commits(table(spark, d, "touches"), table(spark, d, "commits")))
+
+
+@R.add("mined_cases", f"with recursive {_LINEAGE}, {_T}, {_BEFORE}, {_PRINT}, {_CANDIDATES}, {_INDUCING}, {_MINED} select * from mc")
 def mined_cases(spark: SparkSession, d: str) -> DataFrame:
     """Labelled change cases."""
-    return cases.mined(_candidates(spark, d), cases.inducing_commits(table(spark, d, "touches"), table(spark, d, "commits")))
+    return _mined(spark, d)
+
+
+@R.add(
+    "case_rows",
+    f"""with recursive {_LINEAGE}, {_T}, {_BEFORE}, {_PRINT}, {_CANDIDATES}, {_INDUCING}, {_MINED}, {_PARTNERS_BEFORE},
+cf as (select repo_id, component_id, snapshot, arg_min(value.num, (-load_id, evidence_id, value.num)) as refs from evidence
+  where evidence_type = 'config_reference_count' and availability = 'AVAILABLE' and value.num is not null group by 1, 2, 3),
+qs as (select repo_id, quantile_cont(epoch_us(as_of)::double, 0.7) as q1, quantile_cont(epoch_us(as_of)::double, 0.85) as q2 from mc group by 1)
+select mc.case_id, mc.repo_id, commit_sha, parent_sha, mc.as_of, target_component_id, target_parent_path, action,
+  case when action = 'DELETE' then 1.0 else 0.0 end as action_is_delete,
+  case when b.added + b.deleted > 0 then round_even(recent_churn / (b.added + b.deleted), 4) end as git_churn_ratio, cb.n::double as git_co_change_count,
+  days::double as git_days_since_last_change, b.n::double as git_historical_commit_count, b.added::double as git_lines_added, b.deleted::double as git_lines_deleted,
+  recent::double as git_recent_commit_count, (b.added + b.deleted)::double as git_total_churn, authors::double as git_unique_contributors, refs as config_config_reference_count,
+  label_spread, label_impacted_test_count, label_caused_bug_fix, label_fix_commit_count, label,
+  case when epoch_us(mc.as_of) < q1 then 'train' when epoch_us(mc.as_of) < q2 then 'validation' else 'test' end as split
+from mc join b on b.repo_id = mc.repo_id and b.sha = commit_sha and b.component_id = target_component_id
+join cb on cb.repo_id = mc.repo_id and cb.sha = commit_sha and cb.component_id = target_component_id
+left join cf on cf.repo_id = mc.repo_id and cf.component_id = target_component_id and cf.snapshot = parent_sha left join qs on qs.repo_id = mc.repo_id""",
+)
+def case_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The whole data set from commits, touches and evidence: cases with features as of their parent, labels and splits."""
+    m = cut(_mined(spark, d), "mined")
+    rows = cases.with_features(m, table(spark, d, "touches"), cases.config_counts_at_parent(m, table(spark, d, "evidence")))
+    return cases.chronological_splits(rows)
 
 
 @R.add("capped_cases")
@@ -526,9 +608,6 @@ def pipeline_stats(spark: SparkSession, d: str) -> DataFrame:
 
 # -- paths and configuration -----------------------------------------------------------------------------------------
 
-_BELOW = " ".join(
-    f"when starts_with(path, '{r}') then path[{len(r) + 1}:] when instr(path, '/{r}') > 0 then path[instr(path, '/{r}') + {len(r) + 1}:]" for r in paths.SOURCE_ROOTS
-)
 _MODULE = " ".join(f"when instr(path, '/{r}') > 1 then left(path, instr(path, '/{r}') - 1)" for r in paths.SOURCE_ROOTS)
 _PATHS = "p as (select distinct path from file_changes where path is not null union select distinct f.path from (select unnest(provenance.files) as f from evidence) where f.path is not null)"
 
@@ -536,7 +615,7 @@ _PATHS = "p as (select distinct path from file_changes where path is not null un
 @R.add(
     "path_functions",
     f"""with {_PATHS} select path,
-  case when ends_with(path, '.java') and not regexp_matches(path, '(^|/)(package|module)-info\\.java$') then replace(regexp_replace(case {_BELOW} end, '\\.java$', ''), '/', '.') end as component_id,
+  {_COMPONENT} as component_id,
   case {_MODULE} end as module, starts_with(path, 'src/test/') or contains(path, '/src/test/') as is_test from p""",
 )
 def path_functions(spark: SparkSession, d: str) -> DataFrame:
