@@ -2,33 +2,42 @@
 
 Each word has a latent chain: it is as written, or it was written in one encoding and read in another, perhaps more
 than once. A chain can be undone, which gives a candidate for the original. The likelihood of a word under a chain is
-that of its original under a character model of clean text; expectation-maximization learns the weights of the chains
-in every source together with the character model, so that rare evidence is pooled over all records. Each record is
-then repaired by posterior: the passage of words that gains most under a chain is weighed against the chain's weight.
+that of its original under a character model of clean text; expectation-maximization learns the weights of the chains'
+steps in every source together with the character model, so that rare evidence is pooled over all records. Each record
+is then repaired by posterior: the passage of words that gains most under a chain is weighed against the chain's weight.
 
 Everything that reaches the driver or is sent to tasks has a fixed size: the character model is a count-min sketch of
-MODEL_ROWS times 2**MODEL_BITS counts, chain weights are kept for SOURCE_POOLS hashed sources.
+MODEL_ROWS times 2**MODEL_BITS counts, step weights are kept for SOURCE_POOLS sources, and a bitmap of 2**FLAG_BITS
+tells words that some chain may explain from those that none can.
 """
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.plans.storage import cut
 
 MODEL_BITS = 18
 MODEL_ROWS = 3
+#: The sources with the most documents have weights of their own, up to one pool less than this; all others share the last pool.
 SOURCE_POOLS = 64
 ROUNDS = 4
-#: Characters of a word that are looked at together; longer ones are cut.
-WORD_CHARS = 128
+#: Bits of the word hash that the bitmap resolves; words that share a bit are looked at once more than needed.
+FLAG_BITS = 22
+#: A word inside a garbled passage is repaired with it unless that makes it less likely by more than this.
+INSIDE = 3.0
+#: A word beside one is repaired with it if it is likelier as it stands by less than this.
+BESIDE = 0.5
+#: Candidates below this posterior take no part in later rounds.
+NEGLIGIBLE = 1e-12
 #: Weight of the backed-off probability in the character model, in counts.
 BACKOFF = 0.05
 #: Characters of originals that are scored at once.
@@ -45,7 +54,7 @@ MULTIBYTE = ("gb18030", "cp932", "euc-jp", "big5", "euc-kr")
 #: (encoding in which the text was written, encoding in which it was read): all pairs. Text read as UTF-8 is lost, not garbled.
 UTF8_CHAINS = tuple(("utf-8", r) for r in (*SINGLE, *MULTIBYTE))
 CHAINS = (*UTF8_CHAINS, *((w, r) for r in (*SINGLE, *MULTIBYTE) for w in (*MULTIBYTE, *SINGLE) if w != r))
-#: How often a UTF-8 chain may have happened to a word.
+#: Steps of a chain. After a step that read UTF-8 wrongly is undone, every step is tried again on what it gives.
 DEPTH = 3
 CLEAN, LOST = "clean", "lost"
 LOST_CHAR = "\ufffd"
@@ -150,44 +159,131 @@ def _plausible(made: str, word: str) -> str | None:
     return made
 
 
-NAMES = [CLEAN, *(f"{w}>{r}" for w, r in CHAINS)]
+WIDTH = 1 + len(CHAINS)
 IS_UTF8 = np.array([False, *(w == "utf-8" for w, _ in CHAINS)])
+NUMBER = {c: i for i, c in enumerate(CHAINS, 1)}
 
 
-READS = tuple((r, tuple((i, w) for i, (w, x) in enumerate(CHAINS, 1) if x == r)) for r in (*SINGLE, *MULTIBYTE))
-NESTED = UTF8_CHAINS[:8]
+def steps(code: int) -> list[int]:
+    """A chain's steps, the one to undo first in front. Chains are numbers with the steps, from 1, as digits of base WIDTH; 0 is clean."""
+    out = []
+    while code:
+        code, digit = divmod(code, WIDTH)
+        out.append(digit)
+    return out
 
 
-def candidates(word: str) -> tuple[list[int], list[int], list[str]]:
-    """Chains (by number in NAMES), the place of each one's original in the last list, and the distinct originals.
+def name_of(code: int) -> str:
+    return "+".join(f"{w}>{r}" for w, r in (CHAINS[i - 1] for i in steps(code))) or CLEAN
 
-    The word itself, clean, comes first. Chains that lead to the same original all have their entry.
-    """
-    chains, which, seen = [0], [0], {word: 0}
 
-    def add(i: int, made: str) -> None:
-        chains.append(i)
-        which.append(seen.setdefault(made, len(seen)))
+#: Steps between two charsets of one byte a character, and those that read UTF-8 in one.
+SWAPS = tuple((NUMBER[w, r], w, r) for r in SINGLE for w in SINGLE if w != r)
 
-    wide = {c for c in word if c > "\x7f"}
-    for r, by in READS:
-        if r in SINGLE and wide.isdisjoint(_bytes_of(r)):
+
+@lru_cache(maxsize=None)
+def _swapped(char: str) -> tuple[tuple[str, ...], int, int]:
+    """What each of SWAPS makes of a character beyond ASCII, and as bits which swaps can take it and which change it."""
+    made, able, changes = [], 0, 0
+    for k, (_, w, r) in enumerate(SWAPS):
+        c = _swaps(w, r).get(ord(char), char)
+        made.append(c)
+        if c == char or (c != "\uffff" and not ODD.match(c)):
+            able |= 1 << k
+        if c != char:
+            changes |= 1 << k
+    return tuple(made), able, changes
+
+
+@lru_cache(maxsize=None)
+def _utf8_roles(char: str) -> tuple[int, int]:
+    """As bits, in which of SINGLE the character shows the first byte of a UTF-8 character, and in which a later one."""
+    first = later = 0
+    for k, r in enumerate(SINGLE):
+        byte = _bytes_of(r).get(char, 0)
+        first |= (0xC2 <= byte <= 0xF4) << k
+        later |= (0x80 <= byte <= 0xBF) << k
+    return first, later
+
+
+def _undone(word: str) -> Iterator[tuple[int, str]]:
+    """Every single step that can have made the word, with what the word was before."""
+    wide = sorted({c for c in word if c > "\x7f"})
+    # UTF-8 shows wherever the first byte of a character stands before a later one
+    shown, before = 0, 0
+    for c in word:
+        first, later = _utf8_roles(c) if c > "\x7f" else (0, 0)
+        shown |= before & later
+        before = first
+    for k, r in enumerate(SINGLE):
+        if shown >> k & 1:
+            made = undo(word, "utf-8", r)
+            if made is not None:
+                yield NUMBER["utf-8", r], made
+    # swaps that treat the word's characters alike give one original
+    each = [_swapped(c) for c in wide]
+    if ODD.search(word) or "\uffff" in word:
+        for i, w, r in SWAPS:
+            made = undo(word, w, r)
+            if made is not None:
+                yield i, made
+    elif each:
+        able, changes = -1, 0
+        for _, a, c in each:
+            able, changes = able & a, changes | c
+        todo, known = able & changes, {}
+        columns = list(zip(*(made for made, _, _ in each), strict=True))
+        while todo:
+            k = (todo & -todo).bit_length() - 1
+            todo &= todo - 1
+            made = known.get(columns[k])
+            if made is None:
+                made = known[columns[k]] = word.translate({ord(c): x for c, x in zip(wide, columns[k], strict=True)})
+            yield SWAPS[k][0], made
+    for r in SINGLE:
+        table = _bytes_of(r)
+        if any(c in table for c in wide):
+            for w in MULTIBYTE:
+                made = undo(word, w, r)
+                if made is not None:
+                    yield NUMBER[w, r], made
+    for r in MULTIBYTE:
+        try:
+            raw = word.encode(r)
+        except UnicodeEncodeError:
             continue
-        if r in MULTIBYTE:
-            try:
-                word.encode(r)
-            except UnicodeEncodeError:
-                continue
-        for i, w in by:
-            again = undo(word, w, r)
-            if again is None:
-                continue
-            add(i, again)
-            for _ in range(DEPTH - 1 if w == "utf-8" else 0):
-                again = next((x for x in (undo(again, *c) for c in NESTED) if x is not None), None)
-                if again is None:
-                    break
-                add(i, again)
+        for w in ("utf-8", *MULTIBYTE, *SINGLE):
+            if w != r:
+                try:
+                    made = _plausible(raw.decode(w), word)
+                except UnicodeDecodeError:
+                    continue
+                if made is not None:
+                    yield NUMBER[w, r], made
+
+
+def candidates(word: str) -> tuple[list[int], list[int], list[str]]:
+    """Chains, the place of each one's original in the last list, and the distinct originals.
+
+    The word itself, clean, comes first, then all single steps. What a UTF-8 step gives that explains all characters
+    beyond ASCII is looked at in the same way, up to DEPTH steps. Chains of equally few steps that lead to the same original all have their entry.
+    """
+    chains, which, seen = [0], [0], {word: 0}
+    level = [(0, 1, word)]
+    for _ in range(DEPTH):
+        known, further = len(seen), []
+        for code, place, text in level:
+            for i, made in _undone(text):
+                at = seen.setdefault(made, len(seen))
+                if at < known:
+                    continue  # fewer steps lead there
+                chains.append(code + i * place)
+                which.append(at)
+                if IS_UTF8[i] and not made.isascii() and _all_utf8(text, CHAINS[i - 1][1:]):
+                    further.append((code + i * place, place * WIDTH, made))
+        level = list({made: x for x in reversed(further) for made in (x[2],)}.values())
+        if not level:
+            break
     return chains, which, list(seen)
 
 
@@ -200,7 +296,7 @@ def _once(chains: list[int], which: list[int], originals: list[str]) -> tuple[li
 
 
 def words_of(text: str) -> Iterator[tuple[int, int]]:
-    """Places of the text's words beyond ASCII: cut at blanks, after wide punctuation, and every WORD_CHARS characters."""
+    """Places of the text's words beyond ASCII, however long: cut at blanks and after wide punctuation, which are whole characters in any chain."""
     if text.isascii():
         return
     at = 0
@@ -210,9 +306,8 @@ def words_of(text: str) -> Iterator[tuple[int, int]]:
         if piece.isascii():
             continue
         for part in WIDE_STOP.split(piece):
-            for k in range(0, len(part), WORD_CHARS):
-                if not part[k : k + WORD_CHARS].isascii():
-                    yield start + k, start + min(k + WORD_CHARS, len(part))
+            if not part.isascii():
+                yield start, start + len(part)
             start += len(part)
 
 
@@ -242,16 +337,31 @@ ANY, ALONE = 0x1FFFFE, 0x1FFFFF
 
 
 class Model:
-    """Chain weights by source pool and the sketch of character pairs, leading characters and characters."""
+    """Step weights by source pool, the sources that have one, the sketch of character pairs, leading characters and characters, and the bitmap of words."""
 
-    def __init__(self, weights: np.ndarray, sketch: np.ndarray) -> None:
-        self.weights, self.sketch = weights, sketch
+    def __init__(self, weights: np.ndarray, sketch: np.ndarray, sources: list[str], flags: np.ndarray | None = None) -> None:
+        self.weights, self.sketch, self.sources, self.flags = weights, sketch, sources, flags
+        self.logs = np.log(weights)
+
+    def pool(self) -> Column:
+        """The pool of a row's source."""
+        at = F.array_position(F.array(*[F.lit(x) for x in self.sources]).cast("array<string>"), F.coalesce("source", F.lit("")))
+        return F.when(at > 0, at - 1).otherwise(SOURCE_POOLS - 1).cast("int")
 
     def count(self, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
         return self.sketch[_slots(a, b)].min(axis=0)
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log likelihood of each word."""
+        out, at, size = [], 0, 0
+        for i, w in enumerate(words):
+            size += len(w) + 1
+            if size >= SCORED_CHARS:
+                out.append(self._score(words[at : i + 1]))
+                at, size = i + 1, 0
+        return np.concatenate([*out, self._score(words[at:])])
+
+    def _score(self, words: list[str]) -> np.ndarray:
         row, a, b = _pairs(words)
         total = max(1.0, float(self.count(np.zeros(1, np.int64), ALONE)[0]))  # every word has one end
         alone = np.minimum(1.0, (self.count(b, ALONE) + 1e-3) / (8 * total))
@@ -259,6 +369,18 @@ class Model:
         p = (np.minimum(self.count(a, b), lead) + BACKOFF * alone) / (lead + BACKOFF)
         return np.bincount(row, np.log(p), len(words))
 
+    def log_weight(self, pool: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Of each chain: the steps of a chain happen apart from each other."""
+        out, codes = self.logs[pool, codes % WIDTH], codes // WIDTH
+        while codes.any():
+            out = out + np.where(codes > 0, self.logs[pool, codes % WIDTH], 0.0)
+            codes = codes // WIDTH
+        return out
+
+
+def word_bit(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << FLAG_BITS) - 1)
+
 
 def expected(words: list[str], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(slots, amounts) that weighted words add to the model's counts."""
@@ -274,7 +396,7 @@ def posterior(model: Model, pool: np.ndarray, chains: list[list[int]], which: li
     first = np.repeat(np.cumsum([0, *(len(o) for o in originals)])[:-1], sizes)
     flat = np.array([i for c in chains for i in c], np.int64)
     at_original = first + np.array([i for c in which for i in c], np.int64)
-    score = model.score([o for os in originals for o in os])[at_original] + np.log(model.weights[np.repeat(pool, sizes), flat])
+    score = model.score([o for os in originals for o in os])[at_original] + model.log_weight(np.repeat(pool, sizes), flat)
     out, at = [], 0
     for n in sizes:
         s = score[at : at + n]
@@ -287,11 +409,13 @@ def posterior(model: Model, pool: np.ndarray, chains: list[list[int]], which: li
 # -- Spark --------------------------------------------------------------------------------------------------------
 
 
-def _pool(source: str) -> str:
-    return f"cast(pmod(xxhash64(coalesce({source}, '')), {SOURCE_POOLS}) as int)"
+def top_sources(documents: DataFrame) -> list[str]:
+    """The sources with the most documents, null as the empty one; at most SOURCE_POOLS - 1 names come back."""
+    n = documents.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    return [r["source"] for r in n.orderBy(F.desc("n"), "source").limit(SOURCE_POOLS - 1).collect()]
 
 
-def word_table(documents: DataFrame) -> DataFrame:
+def word_table(documents: DataFrame, pool: Column) -> DataFrame:
     """(pool, word, n, chains, which, originals) of the distinct words beyond ASCII, counted over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +449,7 @@ def word_table(documents: DataFrame) -> DataFrame:
                 names=["pool", "word", "n", "chains", "which", "originals"],
             )
 
-    texts = documents.select(F.expr(_pool("source")).alias("pool"), "text").where("text is not null").where(F.length("text") < F.octet_length("text"))
+    texts = documents.select(pool.alias("pool"), "text").where("text is not null").where(F.length("text") < F.octet_length("text"))
     words = texts.mapInArrow(count, "pool int, word string, n bigint").groupBy("pool", "word").agg(F.sum("n").alias("n"))
     # a word costs far more than its bytes, so tasks aren't joined by size; repeats in other pools lie side by side
     spark = documents.sparkSession
@@ -342,14 +466,14 @@ def _first_guess(chains: list[list[int]], words: list[str]) -> list[np.ndarray]:
     out = []
     for c, w in zip(chains, words, strict=True):
         p = np.zeros(len(c))
-        p[0] = not (IS_UTF8[c].any() and _all_utf8(w))
+        p[0] = not (IS_UTF8[np.array(c) % WIDTH].any() and _all_utf8(w, TELLING_READS))
         out.append(p)
     return out
 
 
-def _all_utf8(word: str) -> bool:
-    """Whether every character beyond ASCII belongs to a UTF-8 sequence in some reading that shows none by chance."""
-    for read in TELLING_READS:
+def _all_utf8(word: str, reads: Sequence[str]) -> bool:
+    """Whether every character beyond ASCII belongs to a UTF-8 sequence in one of the readings."""
+    for read in reads:
         if read in MULTIBYTE:
             if undo(word, "utf-8", read) is not None:
                 return True
@@ -362,49 +486,103 @@ def _all_utf8(word: str) -> bool:
     return False
 
 
+def _parts(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch of the word table in parts of about SCORED_CHARS characters of originals."""
+    if len(b):
+        size = np.array([sum(map(len, os)) + len(os) for os in b["originals"]])
+        yield from (part for _, part in b.groupby(np.cumsum(size) // SCORED_CHARS, sort=False))
+
+
+def _lists(b: pd.DataFrame) -> tuple[list[list[int]], list[list[int]], list[list[str]]]:
+    chains, which, originals = ([list(x) for x in b[c]] for c in ("chains", "which", "originals"))
+    return chains, which, originals
+
+
+WORDS = "pool int, word string, n bigint, chains array<int>, which array<int>, originals array<string>"
+
+
+def _without_negligible(words: DataFrame, model: Model) -> DataFrame:
+    """The word table without candidates whose posterior is as good as none; the clean reading stays."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part in _parts(b):
+                chains, which, originals = _lists(part)
+                kept = []
+                for c, w, o, p in zip(chains, which, originals, posterior(shared.value, part["pool"].to_numpy(np.int64), chains, which, originals), strict=True):
+                    some = [0, *(i for i in range(1, len(c)) if p[i] > NEGLIGIBLE)]
+                    kept.append(([c[i] for i in some], list(range(len(some))), [o[w[i]] for i in some]))  # every chain here has its own original
+                yield part.assign(chains=[k[0] for k in kept], which=[k[1] for k in kept], originals=[k[2] for k in kept])
+
+    return words.mapInPandas(prune, WORDS)
+
+
+def _flags(words: DataFrame, model: Model) -> np.ndarray:
+    """The bitmap of words that some chain makes likelier, or less likely by no more than INSIDE; at most 2**FLAG_BITS numbers come back."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part in _parts(b):
+                score, at, bits = shared.value.score([o for os in part["originals"] for o in os]), 0, set()
+                for w, os in zip(part["word"], part["originals"], strict=True):
+                    own = score[at : at + len(os)]
+                    if len(os) > 1 and own[1:].max() > own[0] - INSIDE:
+                        bits.add(word_bit(w))
+                    at += len(os)
+                yield pd.DataFrame({"bit": np.array(sorted(bits), np.int32)})
+
+    out = np.zeros(1 << FLAG_BITS, bool)
+    out[words.mapInPandas(flag, "bit int").distinct().toPandas()["bit"].to_numpy(np.int64)] = True
+    return np.packbits(out)
+
+
 def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Learn chain weights and character model from all words of all texts.
+    """Learn step weights and character model from all words of all texts.
 
-    Each round is one pass over the table of distinct words, which is written once; what comes back is at most
-    MODEL_ROWS * 2**MODEL_BITS + SOURCE_POOLS * len(NAMES) numbers. Without words the model knows nothing and repairs nothing.
+    Each round is one pass over the table of distinct words, which is written once, and once more without negligible
+    candidates; what comes back is at most MODEL_ROWS * 2**MODEL_BITS + SOURCE_POOLS * WIDTH numbers. Without words the
+    model knows nothing and repairs nothing.
     """
-    words = cut(word_table(documents), "words")
-    width = len(NAMES)
-    model: Model | None = None
-    for _ in range(rounds):
-
-        def add_part(b: pd.DataFrame, counts: np.ndarray, weights: np.ndarray, model: Model | None = model) -> None:
-            chains, which, originals = ([list(x) for x in b[c]] for c in ("chains", "which", "originals"))
-            pool, n = b["pool"].to_numpy(np.int64), b["n"].to_numpy(np.float64)
-            post = _first_guess(chains, list(b["word"])) if model is None else posterior(model, pool, chains, which, originals)
-            w = np.concatenate([p * k for p, k in zip(post, n, strict=True)])
-            some = np.flatnonzero(w > 1e-9)
-            flat = [o[i] for o, at in zip(originals, which, strict=True) for i in at]
-            slots, add = expected([flat[i] for i in some], w[some])
-            counts[slots] += add
-            at = np.repeat(pool, [len(c) for c in chains]) * width + np.array([i for c in chains for i in c])
-            weights += np.bincount(at, w, len(weights))
-
-        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            counts = np.zeros(MODEL_ROWS << MODEL_BITS)
-            weights = np.zeros(SOURCE_POOLS * width)
-            for b in batches:
-                if not len(b):
-                    continue
-                size = np.array([sum(map(len, os)) + len(os) for os in b["originals"]])
-                for _, part in b.groupby(np.cumsum(size) // SCORED_CHARS, sort=False):
-                    add_part(part, counts, weights)
+    sources = top_sources(documents)
+    model = Model(np.full((SOURCE_POOLS, WIDTH), 1 / WIDTH), np.zeros(MODEL_ROWS << MODEL_BITS), sources)
+    every = cut(word_table(documents, model.pool()), "words")
+    words, cells = every, MODEL_ROWS << MODEL_BITS
+    for done in range(rounds):
+        shared = documents.sparkSession.sparkContext.broadcast(model if done else None)
+
+        def step(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            counts, weights = np.zeros(cells), np.zeros(SOURCE_POOLS * WIDTH)
+            for part in (p for b in batches for p in _parts(b)):
+                chains, which, originals = _lists(part)
+                pool, n = part["pool"].to_numpy(np.int64), part["n"].to_numpy(np.float64)
+                post = _first_guess(chains, list(part["word"])) if shared.value is None else posterior(shared.value, pool, chains, which, originals)
+                w = np.concatenate([p * k for p, k in zip(post, n, strict=True)])
+                some = np.flatnonzero(w > 1e-9)
+                flat = [o[i] for o, at in zip(originals, which, strict=True) for i in at]
+                slots, add = expected([flat[i] for i in some], w[some])
+                counts[slots] += add
+                codes, pools = np.array([i for c in chains for i in c], np.int64), np.repeat(pool, [len(c) for c in chains])
+                at = np.arange(len(codes))
+                while len(at):  # every step of a chain counts
+                    weights += np.bincount(pools[at] * WIDTH + codes[at] % WIDTH, w[at], len(weights))
+                    codes = codes // WIDTH
+                    at = np.flatnonzero(codes)
             c, p = np.flatnonzero(counts), np.flatnonzero(weights)
-            yield pd.DataFrame({"slot": np.concatenate([c, p + len(counts)]), "amount": np.concatenate([counts[c], weights[p]])})
+            yield pd.DataFrame({"slot": np.concatenate([c, p + cells]), "amount": np.concatenate([counts[c], weights[p]])})
 
         got = words.mapInPandas(step, "slot bigint, amount double").groupBy("slot").agg(F.sum("amount").alias("amount")).toPandas()
-        all_ = np.zeros((MODEL_ROWS << MODEL_BITS) + SOURCE_POOLS * width)
+        all_ = np.zeros(cells + SOURCE_POOLS * WIDTH)
         all_[got["slot"].to_numpy(np.int64)] = got["amount"].to_numpy()
-        weights = all_[MODEL_ROWS << MODEL_BITS :].reshape(SOURCE_POOLS, width)
+        weights = all_[cells:].reshape(SOURCE_POOLS, WIDTH)
         # a pool's weights lean on those of all pools, so that small sources aren't left to chance
-        shared = (weights.sum(axis=0) + 0.5) / (weights.sum() + 0.5 * width)
-        weights = (weights + 50 * shared) / (weights.sum(axis=1, keepdims=True) + 50)
-        model = Model(weights, all_[: MODEL_ROWS << MODEL_BITS])
+        overall = (weights.sum(axis=0) + 0.5) / (weights.sum() + 0.5 * WIDTH)
+        weights = (weights + 50 * overall) / (weights.sum(axis=1, keepdims=True) + 50)
+        model = Model(weights, all_[:cells], sources)
+        if not done:
+            words = cut(_without_negligible(every, model), "words")
+    model.flags = _flags(every, model)
     return model
 
 
@@ -412,8 +590,6 @@ def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model:
 MARGIN = 3.0
 #: A chain's weight is per word; passages that it hit have about so many words.
 PASSAGE_WORDS = 20
-#: A word inside a garbled passage is repaired with it unless that makes it less likely by more than this.
-INSIDE = 3.0
 
 
 class Repairer:
@@ -423,7 +599,15 @@ class Repairer:
         self.model = model
         self.known: dict[str, dict[int, tuple[float, str]]] = {}
         self.better: dict[str, list[tuple[int, float]]] = {}  # the gains above 0 of known
-        self.hurdle = np.log(MARGIN) - np.log(np.minimum(0.5, PASSAGE_WORDS * model.weights))
+        self.costs = -np.log(np.minimum(0.5, PASSAGE_WORDS * model.weights))
+
+    def hurdle(self, pool: int, chain: int) -> float:
+        return float(np.log(MARGIN) + sum(self.costs[pool, i] for i in steps(chain)))
+
+    def may_gain(self, word: str) -> bool:
+        """Whether some chain may make the word likelier; words with lost characters aren't in the bitmap."""
+        bit = word_bit(word)
+        return self.model.flags is None or LOST_CHAR in word or bool(self.model.flags[bit >> 3] >> (7 - (bit & 7)) & 1)
 
     def gains(self, words: list[str]) -> list[dict[int, tuple[float, str]]]:
         """Of each word: chain -> (how much likelier its original is than the word, the original)."""
@@ -468,22 +652,27 @@ class Repairer:
         """
         places = list(words_of(text))
         words = [text[a:z] for a, z in places]
-        known = self.gains(words)
         first: dict[str, int] = {}
         for i, w in enumerate(words):
             first.setdefault(w, i)
-        fixed: dict[int, str] = {}
-        found: list[int] = []
+        some = [w for w in first if self.may_gain(w)]
+        self.gains(some)
         most: Counter[int] = Counter()  # no passage gains more than all words do that gain at all
-        for w in first:
+        for w in some:
             for c, g in self.better[w]:
                 most[c] += g
-        open_ = {c for c, g in most.items() if g > self.hurdle[pool, c]}
+        hurdle = {c: self.hurdle(pool, c) for c in most}
+        open_ = {c for c, g in most.items() if g > hurdle[c]}
+        if not open_:
+            return [], text
+        known = self.gains(words)
+        fixed: dict[int, str] = {}
+        found: list[int] = []
         while open_:
             best: tuple[float, int, list] = (0.0, 0, [])
             for chain in sorted(open_):
                 gain = [0.0 if i in fixed or first[w] != i or chain not in k else k[chain][0] for i, (w, k) in enumerate(zip(words, known, strict=True))]
-                over = self.passages(gain, self.hurdle[pool, chain])
+                over = self.passages(gain, hurdle[chain])
                 if over:
                     best = max(best, (sum(o for o, _, _ in over), chain, over))
                 else:
@@ -494,7 +683,12 @@ class Repairer:
             found.append(chain)
             open_ = open_ - {chain}
             undone = set()
+            goes_with = lambda i: i not in fixed and chain in known[i] and -BESIDE < known[i][chain][0] <= 0  # noqa: B023, E731
             for _, start, end in over:
+                while start > 0 and goes_with(start - 1):
+                    start -= 1
+                while end < len(words) and goes_with(end):
+                    end += 1
                 for i in range(start, end):
                     if i not in fixed and chain in known[i] and known[i][chain][0] > -INSIDE:
                         fixed[i] = known[i][chain][1]
@@ -508,7 +702,7 @@ class Repairer:
             a, z = places[i]
             out += [text[at:a], fixed[i]]
             at = z
-        return sorted(NAMES[c] for c in found), "".join([*out, text[at:]])
+        return sorted(map(name_of, found)), "".join([*out, text[at:]])
 
 
 def repair(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -539,5 +733,5 @@ def repair(documents: DataFrame, model: Model | None = None) -> DataFrame:
                 names=["doc_id", "garbled", "chains", "original", "lost"],
             )
 
-    rows = documents.select("doc_id", F.expr(_pool("source")).alias("pool"), "text")
+    rows = documents.select("doc_id", model.pool().alias("pool"), "text")
     return rows.mapInArrow(run, "doc_id bigint, garbled boolean, chains array<string>, original string, lost boolean")

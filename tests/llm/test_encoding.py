@@ -129,6 +129,48 @@ def test_chains_beyond_the_usual(spark, corpus):
     assert {i: r["original"] for i, r in got.items()} == truth
 
 
+def test_long_passages_and_mixed_chains(spark, corpus):
+    rows, _ = corpus
+    sentence = CLEAN["zh"].replace("，", "").replace("：", "").replace("。", "") * 5  # no blanks and no punctuation
+    assert len(sentence) > 130
+    twice = garble(garble(CLEAN["ru"], "cp1251", "koi8-r"), "utf-8", "cp1252")
+    texts = {50_000: garble(sentence, "utf-8", "cp1252"), 50_001: garble("v" + sentence, "gb18030", "cp1252"), 50_002: twice}
+    df = spark.createDataFrame([*rows, *((i, "s2", t) for i, t in texts.items())], "doc_id bigint, source string, text string").repartition(4)
+    got = {r["doc_id"]: r for r in encoding.repair(df).where("doc_id >= 50000").collect()}
+    assert all(r["garbled"] for r in got.values())
+    assert {i: r["original"] for i, r in got.items()} == {50_000: sentence, 50_001: "v" + sentence, 50_002: CLEAN["ru"].encode("cp1251", "ignore").decode("cp1251")}
+    assert got[50_002]["chains"] == ["utf-8>cp1252+cp1251>koi8-r"]
+
+
+def test_steps_are_those_that_plain_undoing_gives():
+    r = random.Random(3)
+    alphabet = [*"aé–Ð°Ã¼¶Пжя║дєи©\x85\xa0", "Å", "€"]
+    for _ in range(150):
+        word = "".join(r.choice(alphabet) for _ in range(r.randrange(1, 7)))
+        if word.isascii():
+            continue
+        want = {(i, made) for c, i in encoding.NUMBER.items() if (made := encoding.undo(word, *c)) is not None}
+        assert set(encoding._undone(word)) == want, word
+
+
+def test_words_without_a_chain_are_passed_over(spark, corpus):
+    rows, truth = corpus
+    model = encoding.fit(spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(4))
+    at_work, careful = encoding.Repairer(model), encoding.Repairer(model)
+    careful.may_gain = lambda word: True
+    texts = {i: t for i, _, t in rows if i % 10 == 0 or i in truth}
+    assert {i: at_work.repair(t, 0) for i, t in texts.items()} == {i: careful.repair(t, 0) for i, t in texts.items()}
+    assert not at_work.may_gain("Prüfung") and len(at_work.known) < len(careful.known)
+
+
+def test_rare_sources_share_a_pool(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "SOURCE_POOLS", 3)
+    df = spark.createDataFrame([("a",)] * 5 + [(None,)] * 4 + [("b",), ("c",)], "source string")
+    model = encoding.Model(encoding.np.ones((3, 2)), encoding.np.zeros(1), encoding.top_sources(df))
+    assert model.sources == ["a", ""]
+    assert {r[0]: r[1] for r in df.select("source", model.pool()).distinct().collect()} == {"a": 0, None: 1, "b": 2, "c": 2}
+
+
 def test_every_pair_is_undone():
     sample = {"cp1251": "Проверка", "cp866": "Проверка", "koi8-r": "Проверка", "koi8-u": "Проверка", "iso8859-5": "Проверка", "mac-cyrillic": "Проверка", "cp855": "Проверка", "iso8859-7": "έλεγχος", "cp1253": "έλεγχος"}
     for written, read in encoding.CHAINS:
@@ -141,4 +183,4 @@ def test_every_pair_is_undone():
             continue
         if bad != text:
             chains, which, originals = encoding.candidates(bad)
-            assert text in {originals[o] for c, o in zip(chains, which, strict=True) if encoding.NAMES[c] == f"{written}>{read}"}, (written, read)
+            assert text in {originals[o] for c, o in zip(chains, which, strict=True) if encoding.name_of(c) == f"{written}>{read}"}, (written, read)
