@@ -599,6 +599,7 @@ class Repairer:
         self.model = model
         self.known: dict[str, dict[int, tuple[float, str]]] = {}
         self.better: dict[str, list[tuple[int, float]]] = {}  # the gains above 0 of known
+        self.one: dict[tuple[str, int], tuple[float, str] | None] = {}
         self.costs = -np.log(np.minimum(0.5, PASSAGE_WORDS * model.weights))
 
     def hurdle(self, pool: int, chain: int) -> float:
@@ -628,6 +629,24 @@ class Repairer:
             self.better[w] = [(c, g) for c, (g, _) in got.items() if g > 0]
         return [self.known[w] for w in words]
 
+    def under(self, words: list[str], chains: list[int]) -> None:
+        """What gains() says of words that no chain makes likelier, for some chains only."""
+        if len(self.one) > HELD_WORDS:
+            self.one.clear()
+        asked = []
+        for w in words:
+            for c in chains:
+                if (w, c) not in self.one:
+                    made: str | None = w
+                    for i in steps(c):
+                        made = undo(made, *CHAINS[i - 1]) if made is not None else None
+                    self.one[w, c] = None
+                    if made is not None:
+                        asked.append((w, c, made))
+        score = self.model.score([x for w, _, made in asked for x in (w, made)])
+        for k, (w, c, made) in enumerate(asked):
+            self.one[w, c] = (float(score[2 * k + 1] - score[2 * k]), made)
+
     @staticmethod
     def passages(gain: list[float], hurdle: float) -> list[tuple[float, int, int]]:
         """Stretches of words whose total gain is over the hurdle: (by how much, first, end), apart from each other."""
@@ -665,7 +684,9 @@ class Repairer:
         open_ = {c for c, g in most.items() if g > hurdle[c]}
         if not open_:
             return [], text
-        known = self.gains(words)
+        looked = set(some)
+        self.under([w for w in first if w not in looked], sorted(open_))
+        known = [self.known[w] if w in looked else {c: x for c in open_ if (x := self.one[w, c]) is not None} for w in words]
         fixed: dict[int, str] = {}
         found: list[int] = []
         while open_:
