@@ -600,10 +600,25 @@ class Repairer:
         self.known: dict[str, dict[int, tuple[float, str]]] = {}
         self.better: dict[str, list[tuple[int, float]]] = {}  # the gains above 0 of known
         self.one: dict[tuple[str, int], tuple[float, str] | None] = {}
+        self.hurdles: dict[tuple[int, int], float] = {}
         self.costs = -np.log(np.minimum(0.5, PASSAGE_WORDS * model.weights))
 
     def hurdle(self, pool: int, chain: int) -> float:
-        return float(np.log(MARGIN) + sum(self.costs[pool, i] for i in steps(chain)))
+        if (pool, chain) not in self.hurdles:
+            self.hurdles[pool, chain] = float(np.log(MARGIN) + sum(self.costs[pool, i] for i in steps(chain)))
+        return self.hurdles[pool, chain]
+
+    def unlike(self, words: list[str], chains: set[int], hurdle: dict[int, float]) -> set[int]:
+        """Of chains that give the same originals for all these words only the likeliest."""
+        gives: dict[int, list[str]] = {c: [] for c in chains}
+        for w in words:
+            for c, (_, original) in self.known[w].items():
+                if c in gives:
+                    gives[c] += (w, original)
+        best: dict[tuple[str, ...], int] = {}
+        for c in sorted(chains, key=lambda c: (hurdle[c], -c)):
+            best.setdefault(tuple(gives[c]), c)
+        return set(best.values())
 
     def may_gain(self, word: str) -> bool:
         """Whether some chain may make the word likelier; words with lost characters aren't in the bitmap."""
@@ -616,6 +631,8 @@ class Repairer:
             self.known.clear()
             self.better.clear()
         new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if not new:
+            return [self.known[w] for w in words]
         made = [candidates(w) for w in new]
         scores, at = self.model.score([o for _, _, os in made for o in os]), 0
         for w, (chains, which, originals) in zip(new, made, strict=True):
@@ -684,6 +701,7 @@ class Repairer:
         open_ = {c for c, g in most.items() if g > hurdle[c]}
         if not open_:
             return [], text
+        open_ = self.unlike(some, open_, hurdle)
         looked = set(some)
         self.under([w for w in first if w not in looked], sorted(open_))
         known = [self.known[w] if w in looked else {c: x for c in open_ if (x := self.one[w, c]) is not None} for w in words]
