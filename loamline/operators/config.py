@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loamline.functions.paths import SERVICES_DIR, config_category, reference_kind
 from loamline.functions.text import BEAN_REFERENCE, CLASS_NAME, CONTEXT_CHARS, LINE_END, bean_name, package_of, strip_comments
 from loamline.operators import evidence
-from loamline.operators.history import clean_touches
+from loamline.operators.history import clean_touches, running_before
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -42,8 +42,8 @@ def resolve(found: DataFrame, components: DataFrame, scope: list[str], known: Da
 
     A class name is tried as it stands (up to a `$`), then without its last capitalised segments; the longest that is
     a component wins. A bean reference names the only component with that default bean name. Names in a package that
-    is or was one of ours, or below one, are UNRESOLVED, all others EXTERNAL. components and known (scope, component_id)
-    are what exists and what ever existed; a name without package never resolves.
+    is or was one of ours, or below one, are UNRESOLVED, all others EXTERNAL. components (scope, component_id) is what exists,
+    known what ever existed, with all columns of scope or some; a name without package never resolves.
     """
     have = components.select(*scope, "component_id").where("component_id is not null").distinct()
     parts = F.split(F.substring_index("token", "$", 1), r"\.")
@@ -54,12 +54,15 @@ def resolve(found: DataFrame, components: DataFrame, scope: list[str], known: Da
     best = tries.join(have, [*scope, "component_id"]).groupBy(*scope, "token").agg(F.max_by("component_id", "_n").alias("_class"))
     simple = F.regexp_extract("component_id", r"[^.]*$", 0)
     beans = have.groupBy(*scope, bean_name(simple).alias("token")).agg(F.count(F.lit(1)).alias("_n"), F.min("component_id").alias("_bean")).where("_n = 1").drop("_n")
-    ever = have if known is None else have.unionByName(known.select(*scope, "component_id"))
-    packages = ever.select(*scope, package_of("component_id").alias("package")).where("package <> ''").distinct()
+    packages_of = lambda df, by: df.select(*by, package_of("component_id").alias("package")).where("package <> ''").distinct()
     seg = F.split("_package", r"\.")
     above = names.select(*scope, "token", package_of("token").alias("_package"))
     above = above.select(*scope, "token", F.explode(F.transform(F.sequence(F.lit(1), F.size(seg)), lambda n: F.array_join(F.slice(seg, F.lit(1), n), "."))).alias("package"))
-    ours = above.join(packages, [*scope, "package"], "left_semi").select(*scope, "token").distinct().withColumn("_ours", F.lit(True))
+    ours = above.join(packages_of(have, scope), [*scope, "package"], "left_semi").select(*scope, "token")
+    if known is not None:
+        by = [c for c in scope if c in known.columns]
+        ours = ours.unionByName(above.join(packages_of(known, by), [*by, "package"], "left_semi").select(*scope, "token"))
+    ours = ours.distinct().withColumn("_ours", F.lit(True))
     bean = F.col("kind") == "BEAN_REFERENCE"
     out = found.join(best, [*scope, "token"], "left").join(beans, [*scope, "token"], "left").join(ours, [*scope, "token"], "left")
     component = F.when(bean, F.col("_bean")).otherwise(F.col("_class"))
@@ -135,8 +138,8 @@ def config_evidence_by_case(cases: DataFrame, tree: DataFrame, blobs: DataFrame,
 
     tree (repo_id, revision, path, blob), blobs (repo_id, blob, text). Every distinct file content is scanned once,
     whatever the number of revisions that hold it. A revision's references resolve to the components that were alive
-    just before the earliest of its cases; packages of components that ever existed count as ours. Only components that
-    some file could mean are looked up in the history. Cases without parent have no evidence.
+    just before the earliest of its cases; packages of components that ever existed count as ours. Only components that a
+    revision's files could mean are looked up, each as of that moment. Cases without parent have no evidence.
     """
     asked = cases.where("parent_sha is not null").groupBy("repo_id", F.col("parent_sha").alias("revision")).agg(F.min(F.unix_micros(F.col("as_of").cast("timestamp"))).alias("_t"))
     files = classify(tree.join(asked, ["repo_id", "revision"])).select("repo_id", "revision", "path", "blob", "category", "_t")
@@ -148,15 +151,20 @@ def config_evidence_by_case(cases: DataFrame, tree: DataFrame, blobs: DataFrame,
     ever = t.select("repo_id", "component_id").distinct()
     parts = F.split(F.substring_index("token", "$", 1), r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
-    meant = found.where("kind <> 'BEAN_REFERENCE'").select("repo_id", F.explode(ends).alias("component_id"))
-    beans = found.where("kind = 'BEAN_REFERENCE'").select("repo_id", F.col("token").alias("_bean")).distinct()
+    revision = ["repo_id", "revision", "_t"]
+    meant = at.where("kind <> 'BEAN_REFERENCE'").select(*revision, F.explode(ends).alias("component_id"))
+    meant = meant.distinct().join(ever, ["repo_id", "component_id"], "left_semi")
+    beans = at.where("kind = 'BEAN_REFERENCE'").select(*revision, F.col("token").alias("_bean")).distinct()
     # all components of a bean name, as only one alive of them makes it unambiguous
-    named = ever.withColumn("_bean", bean_name(F.regexp_extract("component_id", r"[^.]*$", 0))).join(beans, ["repo_id", "_bean"], "left_semi").select("repo_id", "component_id")
-    few = t.join(meant.unionByName(named).distinct(), ["repo_id", "component_id"], "left_semi")
-    last = few.join(asked, "repo_id").where(F.col("t") < F.col("_t")).groupBy("repo_id", "revision", "component_id").agg(F.max(F.struct("t", "sha", "removes_component")).alias("_l"))
-    alive = last.where("not _l.removes_component").select("repo_id", "revision", "component_id")
-    known = ever.join(asked.select("repo_id", "revision"), "repo_id")
-    refs = references(resolve(at, alive, ["repo_id", "revision"], known), ["repo_id", "revision"]).where("resolution = 'RESOLVED'")
+    named = ever.withColumn("_bean", bean_name(F.regexp_extract("component_id", r"[^.]*$", 0))).join(beans, ["repo_id", "_bean"]).select(*revision, "component_id")
+    asks = meant.unionByName(named.select(meant.columns)).distinct()
+    # what each of them was just before its revision's cutoff: a question and the touches before it lie on one time line
+    last = F.struct("t", "sha", "removes_component")
+    line = t.select("repo_id", "component_id", "t", last.alias("last"), F.lit(None).cast("string").alias("revision"))
+    line = line.unionByName(asks.select("repo_id", "component_id", F.col("_t").alias("t"), F.lit(None).cast(line.schema["last"].dataType).alias("last"), "revision"))
+    alive = running_before(line, ["repo_id", "component_id"], "t", [], ["last"]).where("revision is not null and not before_last.removes_component")
+    alive = alive.select("repo_id", "revision", "component_id")
+    refs = references(resolve(at, alive, ["repo_id", "revision"], ever), ["repo_id", "revision"]).where("resolution = 'RESOLVED'")
 
     target = cases.select("case_id", "repo_id", F.col("parent_sha").alias("revision"), F.col("target_component_id").alias("component_id"), "as_of").where("revision is not null")
     # a case stands where a component stands in a snapshot: its id takes the repository's place

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions.ids import evidence_id, feature_column, iso_time, locations
 from loamline.operators import history
+from loamline.sources.tables import micros
 
 #: The version written into rows, the methods that made them, and how many things a row lists.
 SCHEMA_VERSION = "1.2.0"
@@ -40,6 +41,14 @@ FEATURES = (
 #: Evidence types of which a component may have many rows; they are no features.
 MULTI_VALUED = ("config_reference",)
 
+#: Texts of notes.
+NOTE_LIFE = (" non-merge commits touching this component before as_of (latest ", " listed); renames followed")
+NOTE_RECENT = " commits in the last {} days"
+NOTE_TOGETHER = "partners changed together >= {} times: "
+NOTE_ALONE = "no partner reached the minimum co-change support"
+NOTE_NO_CHURN = "total churn is zero"
+NOTE_NO_HISTORY = "no commits found for this component before as_of"
+
 _NO_FILES = "cast(array() as array<struct<path string, line int>>)"
 _NO_TEXTS = "cast(array() as array<string>)"
 
@@ -59,8 +68,8 @@ def git_evidence(touches: DataFrame, scope: DataFrame, cutoffs: DataFrame, recen
     """Nine rows for each component in scope (repo_id, component_id, snapshot) at its repository's cutoff.
 
     Components without touches before the cutoff get UNKNOWN rows without value, unit and window; a churn ratio
-    without churn is UNKNOWN too but keeps its window. Values are doubles; the churn ratio isn't rounded. Notes about
-    partners list the strongest, ties in order of name.
+    without churn is UNKNOWN too but keeps its window. Values are doubles; the churn ratio has four places. Notes about
+    partners list the strongest, ties in order of name. Rows with a value list all files of the touches, in order.
     """
     a = history.activity_at(touches, cutoffs, recent_days)
     p = history.partners_at(touches, cutoffs, support)
@@ -69,7 +78,10 @@ def git_evidence(touches: DataFrame, scope: DataFrame, cutoffs: DataFrame, recen
     top = p.withColumn("_rank", rank).where(F.col("_rank") <= LISTED_PARTNERS)
     names = F.transform(F.array_sort(F.collect_list(F.struct("_rank", "partner", "n"))), lambda x: F.concat(x["partner"], F.lit(" ("), x["n"].cast("string"), F.lit(")")))
     p = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("co_change_count")).join(top.groupBy(*keys).agg(F.array_join(names, ", ").alias("_partners")), keys)
-    d = scope.select(*keys, "snapshot").distinct().join(cutoffs, "repo_id").join(a.drop("as_of"), keys, "left").join(p, keys, "left")
+    f = touches.join(cutoffs, "repo_id").where(micros("ts") < F.col("as_of")).select(*keys, F.explode("paths").alias("_path")).where("_path is not null").distinct()
+    f = f.groupBy(*keys).agg(F.array_sort(F.collect_list("_path")).alias("_paths"))  # the names that a component ever had
+    d = scope.select(*keys, "snapshot").distinct().join(cutoffs, "repo_id").join(a.drop("as_of"), keys, "left").join(p, keys, "left").join(f, keys, "left")
+    files = F.transform(F.coalesce("_paths", F.expr(_NO_TEXTS)), lambda x: F.struct(x.alias("path"), F.lit(None).cast("int").alias("line")))
     known = F.col("historical_commit_count").isNotNull()
     d = d.withColumn("co_change_count", F.when(known, F.coalesce("co_change_count", F.lit(0))))
     ts = lambda c: F.timestamp_micros(c)
@@ -80,11 +92,9 @@ def git_evidence(touches: DataFrame, scope: DataFrame, cutoffs: DataFrame, recen
     window = {"recent_commit_count": trailing, "churn_ratio": trailing, "days_since_last_change": none}
     total = F.col("historical_commit_count")
     shown = F.least(total, F.lit(LISTED_COMMITS))
-    life_note = F.concat(total.cast("string"), F.lit(" non-merge commits touching this component before as_of (latest "), shown.cast("string"), F.lit(" listed); renames followed"))
-    recent_note = F.concat(F.col("recent_commit_count").cast("string"), F.lit(f" commits in the last {recent_days} days"))
-    together = F.when(F.col("co_change_count") > 0, F.concat(F.lit(f"partners changed together >= {support} times: "), F.col("_partners"))).otherwise(
-        "no partner reached the minimum co-change support"
-    )
+    life_note = F.concat(total.cast("string"), F.lit(NOTE_LIFE[0]), shown.cast("string"), F.lit(NOTE_LIFE[1]))
+    recent_note = F.concat(F.col("recent_commit_count").cast("string"), F.lit(NOTE_RECENT.format(recent_days)))
+    together = F.when(F.col("co_change_count") > 0, F.concat(F.lit(NOTE_TOGETHER.format(support)), F.col("_partners"))).otherwise(NOTE_ALONE)
     notes = {"recent_commit_count": recent_note, "churn_ratio": recent_note, "co_change_count": together, "days_since_last_change": F.lit(None).cast("string")}
     commits = {
         "days_since_last_change": F.array("last_sha"),
@@ -95,13 +105,14 @@ def git_evidence(touches: DataFrame, scope: DataFrame, cutoffs: DataFrame, recen
 
     def row(kind: str, unit: str) -> Column:
         has = F.col(kind).isNotNull()
-        note = F.when(has, notes.get(kind, life_note)).when(known, "total churn is zero").otherwise("no commits found for this component before as_of")
+        note = F.when(has, notes.get(kind, life_note)).when(known, NOTE_NO_CHURN).otherwise(NOTE_NO_HISTORY)
         return F.struct(
             F.lit(kind).alias("evidence_type"),
             F.col(kind).cast("double").alias("num"),
             F.when(has, unit).alias("unit"),
             F.when(known, window.get(kind, lifetime)).alias("time_window"),
             F.when(has, commits.get(kind, F.col("latest_shas"))).otherwise(F.expr(_NO_TEXTS)).alias("commits"),
+            F.when(has, files).otherwise(F.expr(_NO_FILES)).alias("files"),
             note.alias("note"),
         )
 
@@ -121,7 +132,7 @@ def git_evidence(touches: DataFrame, scope: DataFrame, cutoffs: DataFrame, recen
         F.when(F.col("e.num").isNotNull(), "AVAILABLE").otherwise("UNKNOWN").alias("availability"),
         ts(F.col("as_of")).alias("as_of"),
         "e.time_window",
-        F.struct(F.col("e.commits").alias("commits"), F.expr(_NO_FILES).alias("files"), F.expr(_NO_TEXTS).alias("trace_ids"), F.col("e.note").alias("note")).alias("provenance"),
+        F.struct(F.col("e.commits").alias("commits"), F.col("e.files").alias("files"), F.expr(_NO_TEXTS).alias("trace_ids"), F.col("e.note").alias("note")).alias("provenance"),
         F.lit(GIT_METHOD).alias("extraction_method"),
     )
     return with_ids(d)

@@ -120,10 +120,15 @@ _SCOPE = "s as (select repo_id, component_id, min(snapshot) as snapshot from com
 _ISO = lambda c: f"strftime(make_timestamp({c}), '%Y-%m-%dT%H:%M:%S') || case when {c} % 1000000 = 0 then '' else strftime(make_timestamp({c}), '.%f') end || '+00:00'"
 _GIT = f"""
 cc as (select repo_id, component_id, count(*) as cc from pp group by 1, 2),
-base as (select s.repo_id, s.component_id, s.snapshot, k.as_of, n.n, recent, days, authors, added, deleted, recent_churn, first_t,
+pa as (select repo_id, component_id, array_to_string(list_sort(list_distinct(list(path))), ',') as files from (select t.repo_id, component_id, unnest(paths) as path
+    from touches t join k using (repo_id) where epoch_us(ts) < as_of) where path is not null group by 1, 2),
+top as (select repo_id, component_id, string_agg(partner || ' (' || n || ')', ', ' order by n desc, partner) as top from (select *, row_number() over (partition by repo_id, component_id order by n desc, partner) as i from pp)
+  where i <= 10 group by 1, 2),
+base as (select s.repo_id, s.component_id, s.snapshot, k.as_of, n.n, recent, days, authors, added, deleted, recent_churn, first_t, coalesce(files, '') as files, shas, struct_extract(last, 2) as last_sha, top,
     case when n.n is not null then coalesce(cc, 0) end as cc
   from s join k using (repo_id) left join n on s.repo_id = n.repo_id and s.component_id = n.component_id
-  left join cc on s.repo_id = cc.repo_id and s.component_id = cc.component_id),
+  left join cc on s.repo_id = cc.repo_id and s.component_id = cc.component_id left join pa on s.repo_id = pa.repo_id and s.component_id = pa.component_id
+  left join top on s.repo_id = top.repo_id and s.component_id = top.component_id),
 long as (
   select *, 'recent_commit_count' as evidence_type, recent::double as num, as_of - 90 * {DAY} as w from base
   union all select *, 'historical_commit_count', n::double, first_t from base
@@ -136,7 +141,14 @@ long as (
   union all select *, 'co_change_count', cc::double, first_t from base),
 ge as (select 'ev_' || left(sha1(concat_ws('|', repo_id, snapshot, component_id, 'GIT', evidence_type, {_ISO("as_of")},
     case when n is null or w is null then '' else {_ISO("w")} end, case when n is null or w is null then '' else {_ISO("as_of")} end)), 16) as evidence_id,
-  repo_id, component_id, snapshot, evidence_type, num, case when num is null then 'UNKNOWN' else 'AVAILABLE' end as availability from long)
+  repo_id, component_id, snapshot, evidence_type, num, case when num is null then 'UNKNOWN' else 'AVAILABLE' end as availability,
+  case when num is null then '' else files end as files,
+  case when num is null or evidence_type = 'co_change_count' then '' when evidence_type = 'days_since_last_change' then last_sha
+    when evidence_type in ('recent_commit_count', 'churn_ratio') then array_to_string((string_split(shas, ','))[1:least(recent, 20)], ',') else shas end as commits,
+  case when num is null then case when n is null then '{evidence.NOTE_NO_HISTORY}' else '{evidence.NOTE_NO_CHURN}' end
+    when evidence_type = 'days_since_last_change' then null when evidence_type in ('recent_commit_count', 'churn_ratio') then recent || '{evidence.NOTE_RECENT.format(90)}'
+    when evidence_type = 'co_change_count' then case when cc > 0 then '{evidence.NOTE_TOGETHER.format(2)}' || top else '{evidence.NOTE_ALONE}' end
+    else n || '{evidence.NOTE_LIFE[0]}' || least(n, 20) || '{evidence.NOTE_LIFE[1]}' end as note from long)
 """
 
 
@@ -152,7 +164,8 @@ def _git_evidence(spark: SparkSession, d: str) -> DataFrame:
 @R.add("git_evidence", f"with {_T}, {_CUT}, {_NOW}, {_PARTNERS}, {_SCOPE}, {_GIT} select * from ge")
 def git_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Nine evidence rows for each component, with ids."""
-    return _git_evidence(spark, d).select("evidence_id", "repo_id", "component_id", "snapshot", "evidence_type", F.col("value.num").alias("num"), "availability")
+    return _git_evidence(spark, d).select("evidence_id", "repo_id", "component_id", "snapshot", "evidence_type", F.col("value.num").alias("num"), "availability",
+        F.array_join("provenance.files.path", ",").alias("files"), F.array_join("provenance.commits", ",").alias("commits"), "provenance.note")
 
 
 @R.add(

@@ -27,10 +27,30 @@ def test_daily_counts(spark, tmp_path):
     assert sum(got.values()) == 21 and got["2024-01-01"] == 3
 
 
-def test_trees_follow_the_stream(spark, tmp_path):
-    live = LiveTrees(spark)
-    q = live.follow(stream(spark, tmp_path), str(tmp_path / "cp"), "400 days")
-    q.awaitTermination()
+def plain(df):
+    return {(r["repo_id"], r["shard"]): r["tree"] for r in df.collect()}
+
+
+def test_trees_follow_the_stream_over_a_restart(spark, tmp_path):
+    commits = stream(spark, tmp_path)
+    held = (tmp_path / "in" / "2.parquet").rename(tmp_path / "2.parquet")
+    LiveTrees(spark, str(tmp_path / "state")).follow(commits, str(tmp_path / "cp"), "400 days").awaitTermination()
+    held.rename(tmp_path / "in" / "2.parquet")
+    live = LiveTrees(spark, str(tmp_path / "state"))  # a new process knows nothing but the folder
+    live.follow(commits, str(tmp_path / "cp"), "400 days").awaitTermination()
     whole = rolling.build_trees(rolling.commits_per_day(spark.read.parquet(str(tmp_path / "in"))), "repo_id")
-    plain = lambda df: {(r["repo_id"], r["shard"]): r["tree"] for r in df.collect()}
-    assert plain(live.trees) == plain(whole) and len(plain(whole)) == 3
+    assert plain(live.trees()) == plain(whole) and len(plain(whole)) == 3
+
+
+def test_a_batch_tried_again_counts_once(spark, tmp_path):
+    live = LiveTrees(spark, str(tmp_path / "state"))
+    batch = lambda *shas: spark.createDataFrame([("a/a", s, at(3)) for s in shas] + [("b/b", "x", at(5))], "repo_id string, sha string, ts timestamp")
+    live.take(batch("1", "2"), 0)
+    live.take(batch("3"), 1)
+    live.take(batch("3"), 1)
+    assert {k[0]: v[1]["n"] for k, v in plain(live.trees()).items()} == {"a/a": 3, "b/b": 2}
+    assert {k[0]: v[1]["n"] for k, v in plain(live.trees(before=1)).items()} == {"a/a": 2, "b/b": 1}
+    for number in (2, 3):
+        live.take(batch(f"n{number}").where("repo_id = 'a/a'"), number)
+    versions = live._versions().values()
+    assert sorted(len(v) for v in versions) == [2, 2] and max(max(v) for v in versions) == 3
