@@ -77,6 +77,24 @@ def references(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*same).agg(F.min_by(F.struct(*rest), "position").alias("_r")).select(*same, *[f"_r.{c}" for c in rest])
 
 
+#: Fixed value: shorter names say too little.
+NAME_CHARS = 4
+
+
+def misses(files: DataFrame, components: DataFrame, refs: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, path, line, component_id, name): lines that hold a component's simple or default bean name as a word, but no resolved reference to it.
+
+    Comments are left out. Several names of a component on a line count once, the least is shown.
+    """
+    simple = F.regexp_extract("component_id", r"[^.]*$", 0)
+    c = components.select(*scope, "component_id", simple.alias("_s")).where(F.length("_s") >= NAME_CHARS).distinct()
+    names = c.select(*scope, "component_id", F.explode(F.array_distinct(F.array(F.col("_s"), bean_name("_s")))).alias("name"))
+    lines = files.select(*scope, "path", F.posexplode(F.split(strip_comments("path", "text"), LINE_END)).alias("_n", "_line"))
+    words = lines.select(*scope, "path", (F.col("_n") + 1).alias("line"), F.explode(F.array_distinct(F.regexp_extract_all("_line", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("name"))
+    hits = words.join(names, [*scope, "name"]).groupBy(*scope, "path", "line", "component_id").agg(F.min("name").alias("name"))
+    return hits.join(refs.where("resolution = 'RESOLVED'"), [*scope, "path", "line", "component_id"], "left_anti")
+
+
 def scan_counts(files: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, what, name, n): files by category, references by resolution, resolved references by category."""
     parts = (

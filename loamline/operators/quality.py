@@ -97,6 +97,27 @@ def sample(df: DataFrame, keys: Sequence[str], most: int, seed: int = 42) -> Dat
     return d.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(most)
 
 
+def count_bounds(activity: DataFrame, components: DataFrame, changes: DataFrame, commits: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """(repo_id, component_id, counted, plain): components whose historical_commit_count is below its lower bound.
+
+    The bound is the number of commits before the cutoff (repo_id, as_of) that change the component's present file, its
+    least file_path. Components without counted history are not judged.
+    """
+    keys = ["repo_id", "component_id"]
+    live = components.groupBy(*keys).agg(F.min("file_path").alias("path")).where("path is not null")
+    when = commits.where("ts is not null").select("repo_id", "sha", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t")).distinct()
+    plain = changes.select("repo_id", "path", "sha").distinct().join(when, ["repo_id", "sha"]).join(cutoffs, "repo_id").where("_t < as_of")
+    plain = plain.select("repo_id", "path", "sha").distinct().join(live, ["repo_id", "path"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("plain"))
+    counted = activity.select(*keys, F.col("historical_commit_count").alias("counted"))
+    return counted.join(plain, keys).where("counted < plain")
+
+
+def link_sample(links: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """At most `most` (repo_id, inducing commit, component, fix) of links (repo_id, sha, component_id, fixes), for a review."""
+    each = links.select("repo_id", "sha", "component_id", F.explode("fixes").alias("fix"))
+    return sample(each, ["repo_id", "sha", "component_id", "fix"], most, seed)
+
+
 def fixes_traced(links: DataFrame) -> DataFrame:
     """(repo_id, inducing, fixes): commits that brought bugs in and fixes traced to them; links (repo_id, sha, fixes)."""
     each = links.select("repo_id", "sha", F.explode("fixes").alias("fix"))

@@ -534,9 +534,10 @@ def leakage_checks(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "review_metrics",
-    f"""with {_C}, g as (select repo_id, count(*) as reviewed, count(*) filter (where label = 'HIGH' and label_caused_bug_fix) as "right",
-    count(*) filter (where label = 'HIGH') as predicted, count(*) filter (where label_caused_bug_fix) as actual
-  from c where label is not null and label_caused_bug_fix is not null group by 1)
+    f"""with recursive {_LINEAGE}, {_T}, {_BEFORE}, {_PRINT}, {_CANDIDATES}, {_INDUCING}, {_C},
+v as (select c.repo_id, label = 'HIGH' as high, ind.fixes is not null as bug from c left join ind on ind.repo_id = c.repo_id and ind.sha = commit_sha and ind.component_id = target_component_id
+  where label is not null),
+g as (select repo_id, count(*) as reviewed, count(*) filter (where high and bug) as "right", count(*) filter (where high) as predicted, count(*) filter (where bug) as actual from v group by 1)
 select *, case when predicted > 0 then "right" / predicted end as precision, case when actual > 0 then "right" / actual end as recall,
   case when predicted > 0 then greatest(0, ("right" / predicted + 3.8416 / (2 * predicted)) / (1 + 3.8416 / predicted)
     - 1.96 * sqrt("right" / predicted * (1 - "right" / predicted) / predicted + 3.8416 / (4 * predicted * predicted)) / (1 + 3.8416 / predicted)) end as low,
@@ -544,9 +545,26 @@ select *, case when predicted > 0 then "right" / predicted end as precision, cas
     + 1.96 * sqrt("right" / predicted * (1 - "right" / predicted) / predicted + 3.8416 / (4 * predicted * predicted)) / (1 + 3.8416 / predicted)) end as high from g""",
 )
 def review_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """HIGH taken as a prediction of bug fixes: precision with its interval, and recall, by repository."""
-    c = _distinct_cases(spark, d).withColumn("predicted_high", F.col("label") == "HIGH")
-    return quality.review(c, ["repo_id"], "predicted_high", "label_caused_bug_fix")
+    """Delivered HIGH labels held against bug fixes that we trace ourselves from touches: precision with its interval, and recall, by repository."""
+    traced = cases.inducing_commits(table(spark, d, "touches"), table(spark, d, "commits"))
+    traced = traced.select("repo_id", F.col("sha").alias("commit_sha"), F.col("component_id").alias("target_component_id"), F.lit(True).alias("_bug"))
+    c = _distinct_cases(spark, d).where("label is not null").join(traced, ["repo_id", "commit_sha", "target_component_id"], "left")
+    c = c.withColumns({"predicted_high": F.col("label") == "HIGH", "traced": F.coalesce("_bug", F.lit(False))})
+    return quality.review(c, ["repo_id"], "predicted_high", "traced")
+
+
+@R.add(
+    "count_bounds",
+    f"""with {_T}, {_CUT}, {_NOW}, lv as (select repo_id, component_id, min(file_path) as path from components where file_path is not null group by 1, 2),
+cm as (select distinct repo_id, sha, epoch_us(ts) as t from commits where ts is not null),
+pl as (select lv.repo_id, lv.component_id, count(distinct f.sha) as plain from lv join file_changes f on f.repo_id = lv.repo_id and f.path = lv.path
+  join cm on cm.repo_id = f.repo_id and cm.sha = f.sha join k on k.repo_id = lv.repo_id where cm.t < k.as_of group by 1, 2)
+select repo_id, component_id, n.n as counted, plain from n join pl using (repo_id, component_id) where n.n < plain""",
+)
+def count_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Components with fewer delivered touches than commits that plainly name their present file: counts that can't be right."""
+    t, k = table(spark, d, "touches"), history.snapshot_cutoffs(table(spark, d, "touches"))
+    return quality.count_bounds(history.activity_at(t, k), table(spark, d, "components"), table(spark, d, "file_changes"), table(spark, d, "commits"), k)
 
 
 # -- evidence --------------------------------------------------------------------------------------------------------
@@ -746,6 +764,19 @@ def config_references(spark: SparkSession, d: str) -> DataFrame:
     return _references(spark, d)[1].select("repo_id", "path", F.col("line").cast("bigint").alias("line"), "kind", "token", "component_id", "resolution")
 
 
+@R.add(
+    "config_misses",
+    f"""with {_FILES}, {_LINES}, {_TOKENS}, {_RESOLVED},
+sn as (select repo_id, component_id, simple as name from co where length(simple) >= 4 union select repo_id, component_id, {_BEAN} from co where length(simple) >= 4),
+ws as (select repo_id, path, line, unnest(list_distinct(regexp_extract_all(l, '[\\p{{L}}\\p{{N}}_]+'))) as name from l1),
+hits as (select ws.repo_id, ws.path, ws.line, sn.component_id, min(ws.name) as name from ws join sn using (repo_id, name) group by 1, 2, 3, 4)
+select hits.* from hits anti join (select * from rf where resolution = 'RESOLVED') r on hits.repo_id = r.repo_id and hits.path = r.path and hits.line = r.line and hits.component_id = r.component_id""",
+)
+def config_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Places in configuration that hold a component's simple or bean name without a reference to it being reported there."""
+    return config.misses(config.classify(config_files(spark, d)), table(spark, d, "components"), _references(spark, d)[1], ["repo_id"]).withColumn("line", F.col("line").cast("bigint"))
+
+
 @R.add(
     "config_counts",
     f"""with {_FILES}, {_LINES}, {_TOKENS}, {_RESOLVED}, ct as (select repo_id, path, {_CATEGORY} as category from cf)

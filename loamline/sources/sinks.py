@@ -84,3 +84,21 @@ def json_schema(df: DataFrame, name: str) -> dict:
         return {"type": [kinds.get(str(t), "string"), "null"]}
 
     return {"$schema": "https://json-schema.org/draft/2020-12/schema", "$id": name, "title": name, **of(df.schema.jsonValue()), "type": "object"}
+
+
+def write_review(rows: DataFrame, path: str, verdict: str = "verdict") -> None:
+    """Rows for a review as CSV, with an empty column for the verdict."""
+    rows.withColumn(verdict, F.lit("")).coalesce(1).write.option("header", True).options(quoteAll=True, escape="\"", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)  # a sample fits a task
+
+
+def read_review(spark: SparkSession, path: str, verdict: str = "verdict") -> DataFrame:
+    """Reviewed rows: the verdict as true or false, null where none (or anything but yes, no, true, false, 1, 0) was given."""
+    d = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    said = F.lower(F.trim(verdict))
+    return d.withColumn(verdict, F.when(said.isin("yes", "true", "1"), True).when(said.isin("no", "false", "0"), False))
+
+
+def read_case_links(spark: SparkSession, path: str) -> DataFrame:
+    """(case_id, repo_id, commit_sha, target_component_id, fix) of cases written as JSON lines with the fixes in fix_commit_shas."""
+    schema = "case_id string, repo_id string, commit_sha string, target_component_id string, fix_commit_shas array<string>"
+    return spark.read.schema(schema).json(path).select("case_id", "repo_id", "commit_sha", "target_component_id", F.explode("fix_commit_shas").alias("fix"))

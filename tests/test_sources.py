@@ -5,7 +5,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from loamline.operators import cases, lineage
+from loamline.operators import cases, lineage, quality
 from loamline.sources import gitlog, sinks
 from loamline.sources.tables import table
 
@@ -120,3 +120,16 @@ def test_sinks(spark, tmp_path):
     assert "Dataset quality report" in open(f"{tmp_path}/out/quality_report.md").read()
     schema = sinks.json_schema(table(spark, "/root/testdata/sf0.001", "evidence"), "evidence_item")
     assert schema["properties"]["value"]["properties"]["num"] == {"type": ["number", "null"]} and "evidence_id" in schema["required"]
+
+
+def test_reviews(spark, tmp_path):
+    links = spark.createDataFrame([("a/b", f"s{i}", "p.C", [f"f{i}", "g"]) for i in range(20)], "repo_id string, sha string, component_id string, fixes array<string>")
+    some = quality.link_sample(links, 7)
+    assert some.count() == 7 and sorted(map(tuple, some.collect())) == sorted(map(tuple, quality.link_sample(links.repartition(5), 7).collect()))
+    sinks.write_review(some.withColumn("note", F.lit('a "b",\n')), str(tmp_path / "review"))
+    back = sinks.read_review(spark, str(tmp_path / "review"))
+    assert back.count() == 7 and {(r["verdict"], r["note"]) for r in back.collect()} == {(None, 'a "b",\n')}
+    (tmp_path / "done.csv").write_text('sha,verdict\n1,Yes\n2, no\n3,maybe\n4,\n')
+    assert [r["verdict"] for r in sinks.read_review(spark, str(tmp_path / "done.csv")).orderBy("sha").collect()] == [True, False, None, None]
+    links.selectExpr("'c' as case_id", "repo_id", "sha as commit_sha", "component_id as target_component_id", "fixes as fix_commit_shas").write.json(str(tmp_path / "cases"))
+    assert sinks.read_case_links(spark, str(tmp_path / "cases")).select("fix").distinct().count() == 21
