@@ -111,7 +111,9 @@ def rolling_totals(daily: DataFrame, entity: str | Sequence[str], periods: Seque
     back = -(-(max(periods) - 1) // SHARD)
     by_shard = Window.partitionBy(*keys).orderBy("shard")  # a row per shard, however many records
     names = ["tree", *(f"_tree{j}" for j in range(1, back + 1))]
-    rows = shards.join(trees, [*keys, "shard"], "left").withColumns({f"_tree{j}": F.lag("tree", j).over(by_shard) for j in range(1, back + 1)})
+    # trees are few bytes but many days: by size alone, Spark would give them to too few tasks
+    cores = daily.sparkSession.sparkContext.defaultParallelism
+    rows = shards.join(trees, [*keys, "shard"], "left").repartition(2 * cores, *keys).withColumns({f"_tree{j}": F.lag("tree", j).over(by_shard) for j in range(1, back + 1)})
     rows = rows.withColumn("day", F.explode(F.expr(f"sequence(greatest(first_day, shard * {SHARD}), least(_last, shard * {SHARD} + {SHARD - 1}))")))
     rows = rows.withColumn("_leaf", F.expr(f"pmod(day, {SHARD})"))
     rows = rows.select(*keys, "day", "first_day", *[trailing(names, "_leaf", p).alias(f"_s{p}") for p in periods])
