@@ -56,6 +56,8 @@ UTF8_CHAINS = tuple(("utf-8", r) for r in (*SINGLE, *MULTIBYTE))
 CHAINS = (*UTF8_CHAINS, *((w, r) for r in (*SINGLE, *MULTIBYTE) for w in (*MULTIBYTE, *SINGLE) if w != r))
 #: Steps of a chain. After a step that read UTF-8 wrongly is undone, every step is tried again on what it gives.
 DEPTH = 3
+#: A UTF-8 step that explains a smaller part of a word's characters shows UTF-8 by chance.
+TELLING_SHARE = 0.75
 CLEAN, LOST = "clean", "lost"
 LOST_CHAR = "\ufffd"
 
@@ -265,7 +267,7 @@ def _undone(word: str) -> Iterator[tuple[int, str]]:
 def candidates(word: str) -> tuple[list[int], list[int], list[str]]:
     """Chains, the place of each one's original in the last list, and the distinct originals.
 
-    The word itself, clean, comes first, then all single steps. What a UTF-8 step gives that explains all characters
+    The word itself, clean, comes first, then all single steps. What a UTF-8 step gives that explains most characters
     beyond ASCII is looked at in the same way, up to DEPTH steps. Chains of equally few steps that lead to the same original all have their entry.
     """
     chains, which, seen = [0], [0], {word: 0}
@@ -279,7 +281,7 @@ def candidates(word: str) -> tuple[list[int], list[int], list[str]]:
                     continue  # fewer steps lead there
                 chains.append(code + i * place)
                 which.append(at)
-                if IS_UTF8[i] and not made.isascii() and _all_utf8(text, CHAINS[i - 1][1:]):
+                if IS_UTF8[i] and not made.isascii() and _utf8_share(text, CHAINS[i - 1][1]) >= TELLING_SHARE:
                     further.append((code + i * place, place * WIDTH, made))
         level = list({made: x for x in reversed(further) for made in (x[2],)}.values())
         if not level:
@@ -287,6 +289,16 @@ def candidates(word: str) -> tuple[list[int], list[int], list[str]]:
     return chains, which, list(seen)
 
 
+def _utf8_share(word: str, read: str) -> float:
+    """The part of the characters beyond ASCII of this charset in the word that belong to UTF-8 sequences."""
+    if read in MULTIBYTE:
+        return 1.0  # else the step would have failed
+    table = _bytes_of(read)
+    shown = "".join(chr(table[c]) if c in table else " " for c in word)
+    wide = sum(not c.isascii() for c in shown)
+    return 1 - sum(not c.isascii() for c in UTF8_CHARS.sub("", shown)) / wide if wide else 0.0
+
+
 def _once(chains: list[int], which: list[int], originals: list[str]) -> tuple[list[int], list[int], list[str]]:
     """Of chains with equal originals only the first, so that its weight isn't split among look-alikes."""
     first: dict[int, int] = {}
