@@ -14,7 +14,7 @@ tells words that some chain may explain from those that none can.
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +30,10 @@ MODEL_ROWS = 3
 #: The sources with the most documents have weights of their own, up to one pool less than this; all others share the last pool.
 SOURCE_POOLS = 64
 ROUNDS = 4
+#: The most frequent of the words that some chain makes likelier are worked out once for all tasks, if they have no more characters than this; a
+#: task works out all others itself, with the same result.
+KNOWN_WORDS = 8192
+KNOWN_CHARS = 64
 #: Bits of the word hash that the bitmap resolves; words that share a bit are looked at once more than needed.
 FLAG_BITS = 22
 #: A word inside a garbled passage is repaired with it unless that makes it less likely by more than this.
@@ -62,6 +66,7 @@ CLEAN, LOST = "clean", "lost"
 LOST_CHAR = "\ufffd"
 
 BLANK = re.compile(r"[ \t\r\n]+")
+WIDE = re.compile(r"[^\x00-\x7f]")
 WIDE_STOP = re.compile(r"(?<=[。，、；：！？])")
 #: A character beyond ASCII as UTF-8 bytes, each byte shown as the character of the same number.
 UTF8_CHARS = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
@@ -208,6 +213,29 @@ def _utf8_roles(char: str) -> tuple[int, int]:
     return first, later
 
 
+@lru_cache(maxsize=20_000)
+def _swaps_of(wide: str) -> list[tuple[list[int], dict[int, str]]]:
+    """The steps of SWAPS that some text with these characters beyond ASCII can have gone through, those that change them alike together."""
+    able, changes = -1, 0
+    each = [_swapped(c) for c in wide]
+    for _, a, c in each:
+        able, changes = able & a, changes | c
+    todo, columns = able & changes, list(zip(*(made for made, _, _ in each), strict=True))
+    out: dict[tuple[str, ...], list[int]] = {}
+    while todo:
+        k = (todo & -todo).bit_length() - 1
+        todo &= todo - 1
+        out.setdefault(columns[k], []).append(SWAPS[k][0])
+    return [(steps, {ord(c): x for c, x in zip(wide, made, strict=True)}) for made, steps in out.items()]
+
+
+def _decoded(pieces: tuple, written: str, word: str) -> str | None:
+    try:
+        return _plausible("".join(p if isinstance(p, str) else p.decode(written) for p in pieces), word)
+    except UnicodeDecodeError:
+        return None
+
+
 def _undone(word: str) -> Iterator[tuple[int, str]]:
     """Every single step that can have made the word, with what the word was before."""
     wide = sorted({c for c in word if c > "\x7f"})
@@ -223,32 +251,27 @@ def _undone(word: str) -> Iterator[tuple[int, str]]:
             if made is not None:
                 yield NUMBER["utf-8", r], made
     # swaps that treat the word's characters alike give one original
-    each = [_swapped(c) for c in wide]
     if ODD.search(word) or "\uffff" in word:
         for i, w, r in SWAPS:
             made = undo(word, w, r)
             if made is not None:
                 yield i, made
-    elif each:
-        able, changes = -1, 0
-        for _, a, c in each:
-            able, changes = able & a, changes | c
-        todo, known = able & changes, {}
-        columns = list(zip(*(made for made, _, _ in each), strict=True))
-        while todo:
-            k = (todo & -todo).bit_length() - 1
-            todo &= todo - 1
-            made = known.get(columns[k])
-            if made is None:
-                made = known[columns[k]] = word.translate({ord(c): x for c, x in zip(wide, columns[k], strict=True)})
-            yield SWAPS[k][0], made
+    else:
+        for alike, table in _swaps_of("".join(wide)):
+            made = word.translate(table)
+            for i in alike:
+                yield i, made
+    # charsets that hold the same of the word's characters at the same bytes give one original
+    known: dict[tuple, list[tuple[str, str]]] = {}
     for r in SINGLE:
         table = _bytes_of(r)
-        if any(c in table for c in wide):
-            for w in MULTIBYTE:
-                made = undo(word, w, r)
-                if made is not None:
-                    yield NUMBER[w, r], made
+        if not any(c in table for c in wide):
+            continue
+        pieces = tuple(bytes(map(table.__getitem__, p)) if inside and not p.isascii() else p for p, inside in _runs(word, table))
+        if pieces not in known:
+            known[pieces] = [(w, made) for w in MULTIBYTE if (made := _decoded(pieces, w, word)) is not None]
+        for w, made in known[pieces]:
+            yield NUMBER[w, r], made
     for r in MULTIBYTE:
         try:
             raw = word.encode(r)
@@ -312,12 +335,11 @@ def words_of(text: str) -> Iterator[tuple[int, int]]:
     if text.isascii():
         return
     at = 0
-    for piece in BLANK.split(text):
-        start = text.index(piece, at)
-        at = start + len(piece)
-        if piece.isascii():
-            continue
-        for part in WIDE_STOP.split(piece):
+    while wide := WIDE.search(text, at):
+        start = 1 + max(at - 1, *(text.rfind(b, at, wide.start()) for b in " \t\r\n"))
+        blank = BLANK.search(text, wide.end())
+        at = blank.start() if blank else len(text)
+        for part in WIDE_STOP.split(text[start:at]):
             if not part.isascii():
                 yield start, start + len(part)
             start += len(part)
@@ -349,10 +371,12 @@ ANY, ALONE = 0x1FFFFE, 0x1FFFFF
 
 
 class Model:
-    """Step weights by source pool, the sources that have one, the sketch of character pairs, leading characters and characters, and the bitmap of words."""
+    """Step weights by source pool, the sources that have one, the sketch of character pairs, leading characters and characters, the bitmap of
+    words, and what gains() says of frequent ones."""
 
     def __init__(self, weights: np.ndarray, sketch: np.ndarray, sources: list[str], flags: np.ndarray | None = None) -> None:
         self.weights, self.sketch, self.sources, self.flags = weights, sketch, sources, flags
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.logs = np.log(weights)
 
     def pool(self) -> Column:
@@ -402,6 +426,13 @@ def expected(words: list[str], weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return used, np.bincount(at, np.tile(weight[row], 3 * MODEL_ROWS), len(used))
 
 
+def gains(scores: np.ndarray, chains: Sequence[int], which: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The chains that make a word likelier, and by how much; scores are those of its originals, the word itself in front."""
+    gain = scores[np.asarray(which, np.int64)] - scores[0]
+    up = np.flatnonzero(gain > 0)
+    return np.asarray(chains, np.int64)[up], gain[up]
+
+
 def posterior(model: Model, pool: np.ndarray, chains: list[list[int]], which: list[list[int]], originals: list[list[str]]) -> list[np.ndarray]:
     """Of each word the probabilities of its chains."""
     sizes = [len(c) for c in chains]
@@ -453,7 +484,7 @@ def word_table(documents: DataFrame, pool: Column) -> DataFrame:
             last = None
             found: list[tuple[list[int], list[int], list[str]]] = []
             for w in b.column(1).to_pylist():
-                found.append(found[-1] if w == last else _once(*candidates(w)))
+                found.append(found[-1] if w == last else candidates(w))
                 last = w
             kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(
@@ -520,34 +551,42 @@ def _without_negligible(words: DataFrame, model: Model) -> DataFrame:
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part in _parts(b):
-                chains, which, originals = _lists(part)
+                looked = [_once(*x) for x in zip(*_lists(part), strict=True)]
+                chains, which, originals = zip(*looked, strict=True)
                 kept = []
                 for c, w, o, p in zip(chains, which, originals, posterior(shared.value, part["pool"].to_numpy(np.int64), chains, which, originals), strict=True):
                     some = [0, *(i for i in range(1, len(c)) if p[i] > NEGLIGIBLE)]
-                    kept.append(([c[i] for i in some], list(range(len(some))), [o[w[i]] for i in some]))  # every chain here has its own original
+                    kept.append(([c[i] for i in some], list(range(len(some))), [o[w[i]] for i in some]))  # after _once() every chain has its own original
                 yield part.assign(chains=[k[0] for k in kept], which=[k[1] for k in kept], originals=[k[2] for k in kept])
 
     return words.mapInPandas(prune, WORDS)
 
 
-def _flags(words: DataFrame, model: Model) -> np.ndarray:
-    """The bitmap of words that some chain makes likelier, or less likely by no more than INSIDE; at most 2**FLAG_BITS numbers come back."""
+def _flag(words: DataFrame, model: Model) -> None:
+    """Give the model its bitmap of words that some chain makes likelier, or less likely by no more than INSIDE, and the gains of the most frequent.
+
+    At most 2**FLAG_BITS numbers come back, and the gains of KNOWN_WORDS words of KNOWN_CHARS characters.
+    """
     shared = words.sparkSession.sparkContext.broadcast(model)
 
     def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part in _parts(b):
-                score, at, bits = shared.value.score([o for os in part["originals"] for o in os]), 0, set()
-                for w, os in zip(part["word"], part["originals"], strict=True):
+                score, at, rows = shared.value.score([o for os in part["originals"] for o in os]), 0, []
+                for w, n, chains, which, os in zip(part["word"], part["n"], part["chains"], part["which"], part["originals"], strict=True):
                     own = score[at : at + len(os)]
                     if len(os) > 1 and own[1:].max() > own[0] - INSIDE:
-                        bits.add(word_bit(w))
+                        rows.append((w, n, word_bit(w), *gains(own, chains, which)))
                     at += len(os)
-                yield pd.DataFrame({"bit": np.array(sorted(bits), np.int32)})
+                yield pd.DataFrame(rows, columns=["word", "n", "bit", "chains", "gains"])
 
+    flagged = cut(words.mapInPandas(flag, "word string, n bigint, bit int, chains array<int>, gains array<double>"), "flagged")
     out = np.zeros(1 << FLAG_BITS, bool)
-    out[words.mapInPandas(flag, "bit int").distinct().toPandas()["bit"].to_numpy(np.int64)] = True
-    return np.packbits(out)
+    out[flagged.select("bit").distinct().toPandas()["bit"].to_numpy(np.int64)] = True
+    model.flags = np.packbits(out)
+    top = flagged.where(F.length("word") <= KNOWN_CHARS).groupBy("word").agg(F.sum("n").alias("n"), F.first("chains").alias("chains"), F.first("gains").alias("gains"))
+    top = top.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toArrow()
+    model.known = {w: (np.array(c, np.int64), np.array(g)) for w, c, g in zip(*(top[k].to_pylist() for k in ("word", "chains", "gains")), strict=True)}
 
 
 def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -567,7 +606,7 @@ def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model:
         def step(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             counts, weights = np.zeros(cells), np.zeros(SOURCE_POOLS * WIDTH)
             for part in (p for b in batches for p in _parts(b)):
-                chains, which, originals = _lists(part)
+                chains, which, originals = zip(*(_once(*x) for x in zip(*_lists(part), strict=True)), strict=True)
                 pool, n = part["pool"].to_numpy(np.int64), part["n"].to_numpy(np.float64)
                 post = _first_guess(chains, list(part["word"])) if shared.value is None else posterior(shared.value, pool, chains, which, originals)
                 w = np.concatenate([p * k for p, k in zip(post, n, strict=True)])
@@ -594,7 +633,7 @@ def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model:
         model = Model(weights, all_[:cells], sources)
         if not done:
             words = cut(_without_negligible(every, model), "words")
-    model.flags = _flags(every, model)
+    _flag(every, model)
     return model
 
 
@@ -609,8 +648,8 @@ class Repairer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.known: dict[str, dict[int, tuple[float, str]]] = {}
-        self.better: dict[str, list[tuple[int, float]]] = {}  # the gains above 0 of known
+        self.known: dict[str, list[tuple[int, float]]] = {}  # chains that make a word likelier, and by how much
+        self.own: dict[str, float] = {}
         self.one: dict[tuple[str, int], tuple[float, str] | None] = {}
         self.hurdles: dict[tuple[int, int], float] = {}
         self.costs = -np.log(np.minimum(0.5, PASSAGE_WORDS * model.weights))
@@ -620,68 +659,62 @@ class Repairer:
             self.hurdles[pool, chain] = float(np.log(MARGIN) + sum(self.costs[pool, i] for i in steps(chain)))
         return self.hurdles[pool, chain]
 
-    def unlike(self, words: list[str], chains: set[int], hurdle: dict[int, float]) -> set[int]:
-        """Of chains that give the same originals for all these words only the likeliest."""
-        gives: dict[int, list[str]] = {c: [] for c in chains}
-        for w in words:
-            for c, (_, original) in self.known[w].items():
-                if c in gives:
-                    gives[c] += (w, original)
-        best: dict[tuple[str, ...], int] = {}
-        for c in sorted(chains, key=lambda c: (hurdle[c], -c)):
-            best.setdefault(tuple(gives[c]), c)
-        return set(best.values())
-
     def may_gain(self, word: str) -> bool:
         """Whether some chain may make the word likelier; words with lost characters aren't in the bitmap."""
         bit = word_bit(word)
         return self.model.flags is None or LOST_CHAR in word or bool(self.model.flags[bit >> 3] >> (7 - (bit & 7)) & 1)
 
-    def gains(self, words: list[str]) -> list[dict[int, tuple[float, str]]]:
-        """Of each word: chain -> (how much likelier its original is than the word, the original)."""
+    def gains(self, words: list[str]) -> list[list[tuple[int, float]]]:
+        """Of each word the chains that make it likelier, and by how much."""
         if len(self.known) > HELD_WORDS:
             self.known.clear()
-            self.better.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if not new:
-            return [self.known[w] for w in words]
+        new = []
+        for w in dict.fromkeys(words):
+            if w not in self.known:
+                if w in self.model.known:
+                    c, g = self.model.known[w]
+                    self.known[w] = list(zip(c.tolist(), g.tolist(), strict=True))
+                else:
+                    new.append(w)
         made = [candidates(w) for w in new]
-        scores, at = self.model.score([o for _, _, os in made for o in os]), 0
+        scores, at = self.model.score([o for _, _, os in made for o in os]) if made else np.zeros(0), 0
         for w, (chains, which, originals) in zip(new, made, strict=True):
-            got: dict[int, tuple[float, str]] = {}
-            for c, o in zip(chains[1:], which[1:], strict=True):
-                gain = float(scores[at + o] - scores[at])
-                if c not in got or got[c][0] < gain:
-                    got[c] = (gain, originals[o])
+            c, g = gains(scores[at : at + len(originals)], chains, which)
+            self.known[w] = list(zip(c.tolist(), g.tolist(), strict=True))
             at += len(originals)
-            self.known[w] = got
-            self.better[w] = [(c, g) for c, (g, _) in got.items() if g > 0]
         return [self.known[w] for w in words]
 
-    def under(self, words: list[str], chains: list[int]) -> None:
-        """What gains() says of words that no chain makes likelier, for some chains only."""
+    def under(self, words: Iterable[str], chain: int) -> list[tuple[float, str] | None]:
+        """Of each word how much likelier (or less likely) its original under the chain is, and that original; None if the chain can't have made it."""
         if len(self.one) > HELD_WORDS:
             self.one.clear()
-        asked = []
+            self.own.clear()
+        words, asked = list(words), []
         for w in words:
-            for c in chains:
-                if (w, c) not in self.one:
-                    made: str | None = w
-                    for i in steps(c):
-                        made = undo(made, *CHAINS[i - 1]) if made is not None else None
-                    self.one[w, c] = None
-                    if made is not None:
-                        asked.append((w, c, made))
-        score = self.model.score([x for w, _, made in asked for x in (w, made)])
-        for k, (w, c, made) in enumerate(asked):
-            self.one[w, c] = (float(score[2 * k + 1] - score[2 * k]), made)
+            if (w, chain) not in self.one:
+                made: str | None = w
+                for i in steps(chain):
+                    made = undo(made, *CHAINS[i - 1]) if made is not None else None
+                self.one[w, chain] = None
+                if made is not None:
+                    asked.append((w, made))
+        if asked:
+            new = [w for w, _ in asked if w not in self.own]
+            score = self.model.score([*new, *(made for _, made in asked)]).tolist()
+            self.own.update(zip(new, score))
+            for (w, made), x in zip(asked, score[len(new) :], strict=True):
+                self.one[w, chain] = (x - self.own[w], made)
+        return [self.one[w, chain] for w in words]
 
     @staticmethod
-    def passages(gain: list[float], hurdle: float) -> list[tuple[float, int, int]]:
-        """Stretches of words whose total gain is over the hurdle: (by how much, first, end), apart from each other."""
+    def passages(gain: Sequence[float], hurdle: float, places: Sequence[int] | None = None) -> list[tuple[float, int, int]]:
+        """Stretches of words whose total gain is over the hurdle: (by how much, first, end), apart from each other.
+
+        places has the place of each gain's word, if others, which gain nothing, are left out.
+        """
         out: list[tuple[float, int, int]] = []
         best, total, start = (0.0, 0, 0), 0.0, 0
-        for i, g in enumerate([*gain, -np.inf]):
+        for i, g in zip([*(range(len(gain)) if places is None else places), -1], [*gain, -np.inf], strict=True):
             if total <= 0:
                 best, total, start = (0.0, 0, 0), 0.0, i
             total += g
@@ -696,58 +729,59 @@ class Repairer:
 
         For every chain the passages that gain most are weighed against the chain's weight in the source. The chain
         with the clearest ones is undone there and in repeats of their words, then the other chains have their turn. A
-        word that recurs is evidence once.
+        word that recurs is evidence once. A chain's passages gain no more than all words do that it makes likelier, so
+        those that can't be the clearest aren't looked at.
         """
         places = list(words_of(text))
         words = [text[a:z] for a, z in places]
         first: dict[str, int] = {}
         for i, w in enumerate(words):
             first.setdefault(w, i)
-        some = [w for w in first if self.may_gain(w)]
-        self.gains(some)
-        most: Counter[int] = Counter()  # no passage gains more than all words do that gain at all
-        for w in some:
-            for c, g in self.better[w]:
-                most[c] += g
-        hurdle = {c: self.hurdle(pool, c) for c in most}
-        open_ = {c for c, g in most.items() if g > hurdle[c]}
-        if not open_:
-            return [], text
-        open_ = self.unlike(some, open_, hurdle)
-        looked = set(some)
-        self.under([w for w in first if w not in looked], sorted(open_))
-        known = [self.known[w] if w in looked else {c: x for c in open_ if (x := self.one[w, c]) is not None} for w in words]
+        most: dict[int, float] = {}
+        for gained in self.gains([w for w in first if self.may_gain(w)]):
+            for c, g in gained:
+                most[c] = most.get(c, 0.0) + g
+        open_ = {c: h for c, g in most.items() if g > (h := self.hurdle(pool, c))}
         fixed: dict[int, str] = {}
         found: list[int] = []
         while open_:
             best: tuple[float, int, list] = (0.0, 0, [])
-            for chain in sorted(open_):
-                gain = [0.0 if i in fixed or first[w] != i or chain not in k else k[chain][0] for i, (w, k) in enumerate(zip(words, known, strict=True))]
-                over = self.passages(gain, hurdle[chain])
+            for chain in sorted(open_, key=lambda c: (open_[c] - most[c], c)):
+                if most[chain] - open_[chain] < best[0] - 1e-9:
+                    break
+                looked = {i: x[0] for i, x in zip(first.values(), self.under(first, chain), strict=True) if x is not None and i not in fixed}
+                over = self.passages(list(looked.values()), open_[chain], list(looked))
                 if over:
                     best = max(best, (sum(o for o, _, _ in over), chain, over))
                 else:
-                    open_ = open_ - {chain}  # others only take evidence away
+                    del open_[chain]  # others only take evidence away
             if not best[2]:
                 break
             _, chain, over = best
             found.append(chain)
-            open_ = open_ - {chain}
-            undone = set()
-            goes_with = lambda i: i not in fixed and chain in known[i] and -BESIDE < known[i][chain][0] <= 0  # noqa: B023, E731
+            del open_[chain]
+            known = dict(zip(first, self.under(first, chain), strict=True))
+            gain = [(known[w] or (-np.inf, ""))[0] for w in words]
+            before, undone = set(fixed), set()
+            goes_with = lambda i: i not in fixed and -BESIDE < gain[i] <= 0  # noqa: B023, E731
             for _, start, end in over:
                 while start > 0 and goes_with(start - 1):
                     start -= 1
                 while end < len(words) and goes_with(end):
                     end += 1
                 for i in range(start, end):
-                    if i not in fixed and chain in known[i] and known[i][chain][0] > -INSIDE:
-                        fixed[i] = known[i][chain][1]
-                        if known[i][chain][0] > 0:
+                    if i not in fixed and gain[i] > -INSIDE:
+                        fixed[i] = known[words[i]][1]
+                        if gain[i] > 0:
                             undone.add(words[i])
             for i, w in enumerate(words):
                 if i not in fixed and w in undone:
-                    fixed[i] = known[i][chain][1]
+                    fixed[i] = known[w][1]
+            for i in fixed.keys() - before:
+                if first[words[i]] == i and self.may_gain(words[i]):
+                    for c, g in self.known[words[i]]:
+                        most[c] -= g
+            open_ = {c: h for c, h in open_.items() if most[c] > h}
         out, at = [], 0
         for i in sorted(fixed):
             a, z = places[i]
