@@ -433,18 +433,17 @@ def gains(scores: np.ndarray, chains: Sequence[int], which: Sequence[int]) -> tu
     return np.asarray(chains, np.int64)[up], gain[up]
 
 
-def posterior(model: Model, pool: np.ndarray, chains: list[list[int]], which: list[list[int]], originals: list[list[str]]) -> list[np.ndarray]:
-    """Of each word the probabilities of its chains."""
+def posterior(model: Model, pools: Sequence[Sequence[int]], chains: list[list[int]], which: list[list[int]], originals: list[list[str]]) -> list[np.ndarray]:
+    """Of each word the probabilities of its chains, a row for each of its pools."""
     sizes = [len(c) for c in chains]
     first = np.repeat(np.cumsum([0, *(len(o) for o in originals)])[:-1], sizes)
     flat = np.array([i for c in chains for i in c], np.int64)
-    at_original = first + np.array([i for c in which for i in c], np.int64)
-    score = model.score([o for os in originals for o in os])[at_original] + model.log_weight(np.repeat(pool, sizes), flat)
+    score = model.score([o for os in originals for o in os])[first + np.array([i for c in which for i in c], np.int64)]
     out, at = [], 0
-    for n in sizes:
-        s = score[at : at + n]
-        e = np.exp(s - s.max())
-        out.append(e / e.sum())
+    for p, n in zip(pools, sizes, strict=True):
+        s = score[at : at + n] + model.log_weight(np.asarray(p, np.int64)[:, None], flat[None, at : at + n])
+        e = np.exp(s - s.max(axis=1, keepdims=True))
+        out.append(e / e.sum(axis=1, keepdims=True))
         at += n
     return out
 
@@ -459,7 +458,7 @@ def top_sources(documents: DataFrame) -> list[str]:
 
 
 def word_table(documents: DataFrame, pool: Column) -> DataFrame:
-    """(pool, word, n, chains, which, originals) of the distinct words beyond ASCII, counted over all texts."""
+    """(word, pools, ns, chains, which, originals) of the distinct words beyond ASCII, counted over all texts; ns has the count in each pool."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[tuple[int, str]] = Counter()
@@ -481,23 +480,20 @@ def word_table(documents: DataFrame, pool: Column) -> DataFrame:
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            last = None
-            found: list[tuple[list[int], list[int], list[str]]] = []
-            for w in b.column(1).to_pylist():
-                found.append(found[-1] if w == last else candidates(w))
-                last = w
+            found = [candidates(w) for w in b.column(0).to_pylist()]
             kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, *(pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), kinds, strict=True))] if found else [*b.columns, *(pa.array([], k) for k in kinds)],
-                names=["pool", "word", "n", "chains", "which", "originals"],
+                names=["word", "pools", "ns", "chains", "which", "originals"],
             )
 
     texts = documents.select(pool.alias("pool"), "text").where("text is not null").where(F.length("text") < F.octet_length("text"))
     words = texts.mapInArrow(count, "pool int, word string, n bigint").groupBy("pool", "word").agg(F.sum("n").alias("n"))
-    # a word costs far more than its bytes, so tasks aren't joined by size; repeats in other pools lie side by side
+    # a word costs far more than its bytes, so tasks aren't joined by size; a word is in SOURCE_POOLS pools at most
     spark = documents.sparkSession
-    words = words.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "word").sortWithinPartitions("word")
-    return words.mapInArrow(explain, "pool int, word string, n bigint, chains array<int>, which array<int>, originals array<string>")
+    words = words.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "word")
+    words = words.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("pool", "n"))).alias("in")).select("word", F.col("in.pool").alias("pools"), F.col("in.n").alias("ns"))
+    return words.mapInArrow(explain, WORDS)
 
 
 #: In the charsets left out, ordinary words (such as those of [р-я][а-п][а-п] in cp866) are valid UTF-8 by chance.
@@ -541,11 +537,11 @@ def _lists(b: pd.DataFrame) -> tuple[list[list[int]], list[list[int]], list[list
     return chains, which, originals
 
 
-WORDS = "pool int, word string, n bigint, chains array<int>, which array<int>, originals array<string>"
+WORDS = "word string, pools array<int>, ns array<bigint>, chains array<int>, which array<int>, originals array<string>"
 
 
 def _without_negligible(words: DataFrame, model: Model) -> DataFrame:
-    """The word table without candidates whose posterior is as good as none; the clean reading stays."""
+    """The word table without candidates whose posterior is as good as none in all pools; the clean reading stays."""
     shared = words.sparkSession.sparkContext.broadcast(model)
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -554,8 +550,8 @@ def _without_negligible(words: DataFrame, model: Model) -> DataFrame:
                 looked = [_once(*x) for x in zip(*_lists(part), strict=True)]
                 chains, which, originals = zip(*looked, strict=True)
                 kept = []
-                for c, w, o, p in zip(chains, which, originals, posterior(shared.value, part["pool"].to_numpy(np.int64), chains, which, originals), strict=True):
-                    some = [0, *(i for i in range(1, len(c)) if p[i] > NEGLIGIBLE)]
+                for c, w, o, p in zip(chains, which, originals, posterior(shared.value, list(part["pools"]), chains, which, originals), strict=True):
+                    some = [0, *(i for i in range(1, len(c)) if p[:, i].max() > NEGLIGIBLE)]
                     kept.append(([c[i] for i in some], list(range(len(some))), [o[w[i]] for i in some]))  # after _once() every chain has its own original
                 yield part.assign(chains=[k[0] for k in kept], which=[k[1] for k in kept], originals=[k[2] for k in kept])
 
@@ -573,10 +569,10 @@ def _flag(words: DataFrame, model: Model) -> None:
         for b in batches:
             for part in _parts(b):
                 score, at, rows = shared.value.score([o for os in part["originals"] for o in os]), 0, []
-                for w, n, chains, which, os in zip(part["word"], part["n"], part["chains"], part["which"], part["originals"], strict=True):
+                for w, n, chains, which, os in zip(part["word"], part["ns"], part["chains"], part["which"], part["originals"], strict=True):
                     own = score[at : at + len(os)]
                     if len(os) > 1 and own[1:].max() > own[0] - INSIDE:
-                        rows.append((w, n, word_bit(w), *gains(own, chains, which)))
+                        rows.append((w, n.sum(), word_bit(w), *gains(own, chains, which)))
                     at += len(os)
                 yield pd.DataFrame(rows, columns=["word", "n", "bit", "chains", "gains"])
 
@@ -584,8 +580,7 @@ def _flag(words: DataFrame, model: Model) -> None:
     out = np.zeros(1 << FLAG_BITS, bool)
     out[flagged.select("bit").distinct().toPandas()["bit"].to_numpy(np.int64)] = True
     model.flags = np.packbits(out)
-    top = flagged.where(F.length("word") <= KNOWN_CHARS).groupBy("word").agg(F.sum("n").alias("n"), F.first("chains").alias("chains"), F.first("gains").alias("gains"))
-    top = top.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toArrow()
+    top = flagged.where(F.length("word") <= KNOWN_CHARS).orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toArrow()
     model.known = {w: (np.array(c, np.int64), np.array(g)) for w, c, g in zip(*(top[k].to_pylist() for k in ("word", "chains", "gains")), strict=True)}
 
 
@@ -607,17 +602,20 @@ def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model:
             counts, weights = np.zeros(cells), np.zeros(SOURCE_POOLS * WIDTH)
             for part in (p for b in batches for p in _parts(b)):
                 chains, which, originals = zip(*(_once(*x) for x in zip(*_lists(part), strict=True)), strict=True)
-                pool, n = part["pool"].to_numpy(np.int64), part["n"].to_numpy(np.float64)
-                post = _first_guess(chains, list(part["word"])) if shared.value is None else posterior(shared.value, pool, chains, which, originals)
-                w = np.concatenate([p * k for p, k in zip(post, n, strict=True)])
+                pools, ns = list(part["pools"]), [x.astype(np.float64) for x in part["ns"]]
+                post = _first_guess(chains, list(part["word"])) if shared.value is None else posterior(shared.value, pools, chains, which, originals)
+                each = [n[:, None] * p for n, p in zip(ns, post, strict=True)]  # a row for each pool
+                w = np.concatenate([x.sum(axis=0) for x in each])
                 some = np.flatnonzero(w > 1e-9)
                 flat = [o[i] for o, at in zip(originals, which, strict=True) for i in at]
                 slots, add = expected([flat[i] for i in some], w[some])
                 counts[slots] += add
-                codes, pools = np.array([i for c in chains for i in c], np.int64), np.repeat(pool, [len(c) for c in chains])
+                codes = np.concatenate([np.tile(np.array(c, np.int64), len(p)) for c, p in zip(chains, pools, strict=True)])
+                pool = np.concatenate([np.repeat(p, len(c)) for c, p in zip(chains, pools, strict=True)])
+                w = np.concatenate([x.ravel() for x in each])
                 at = np.arange(len(codes))
                 while len(at):  # every step of a chain counts
-                    weights += np.bincount(pools[at] * WIDTH + codes[at] % WIDTH, w[at], len(weights))
+                    weights += np.bincount(pool[at] * WIDTH + codes[at] % WIDTH, w[at], len(weights))
                     codes = codes // WIDTH
                     at = np.flatnonzero(codes)
             c, p = np.flatnonzero(counts), np.flatnonzero(weights)
