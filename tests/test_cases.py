@@ -78,6 +78,8 @@ def test_reports_on_dirty_and_empty_cases(spark, tmp_path, query):
         }
         for i in range(80)
     ]
+    for name in ("touches", "commits", "file_changes", "components"):  # review_metrics traces fixes in them
+        write(tmp_path, name, [])
     d = write(tmp_path, "cases", rows + rows[:9])
     assert compare(spark, d, R.queries[query], R.sql[query]) == ""
     assert R.queries[query](spark, write(tmp_path, "cases", [])).count() >= 0
